@@ -10,7 +10,8 @@ anchor) repeats too. Stage 1 counts anchors, about one for seven words, in one e
 hashes the windows over repeated anchors to 128 bits and finds the smallest document of each in
 one exchange. Both pre-aggregate a batch first: of a hash that a batch holds more than once, one
 row travels, so a passage in a third of all documents adds a row for each batch, not for each
-document. Texts are exchanged once, by row key, for stage 2 and for the removal.
+document. Copies of a whole text are found first and take no part in either stage: all their
+windows start earlier. Texts are exchanged once, by row key; every stage reuses that exchange.
 
 Edge cases. Null text has no words. Null ids come after all others. Rows that share an id are
 separate texts of equal rank: neither is earlier than the other. Empty tables give no rows; extra
@@ -31,7 +32,7 @@ from meridia.llm import _shared as sh
 from meridia.llm import _tokens as tk
 
 WINDOW, INNER = 20, 8
-LAST = np.iinfo(np.int64).max
+LAST = 2**63 - 1
 
 
 def _anchors(hashes: np.ndarray, first: np.ndarray, window: int, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +134,6 @@ def window_rows(window: int, inner: int):
             same[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
             again = np.zeros(len(h1), bool)
             again[1:] = same[1:] & (row[1:] == row[:-1])
-            lead = np.flatnonzero(~again)
             smallest = doc[np.flatnonzero(~same)][np.cumsum(~same) - 1]
             known = again | (doc > smallest)
             query = np.flatnonzero(~known)
@@ -142,7 +142,6 @@ def window_rows(window: int, inner: int):
                 [pa.array(h1[query]), pa.array(h2[query]), pa.array(np.zeros(len(query), bool)), pa.array(rk[query]), pa.array(doc[query]), pa.array(pos[query].astype(np.int32)), pa.nulls(len(query), pa.list_(pa.int32()))],
                 names=["h1", "h2", "known", "rk", "doc", "pos", "more"],
             )
-            del lead
             gone = np.flatnonzero(known)
             if len(gone):
                 gone = gone[np.argsort(row[gone], kind="stable")]
@@ -159,7 +158,7 @@ def window_rows(window: int, inner: int):
 
 
 def removal_rows(window: int):
-    """Arrow batches of (rk, doc_id, text, pos) to (doc_id, n_words, n_removed, spans, kept)."""
+    """Arrow batches of (doc_id, text, copy, gone) to (doc_id, n_words, n_removed, spans, kept, kept_sha256)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,6 +173,8 @@ def removal_rows(window: int):
                 np.add.at(mark, at, 1)
                 np.add.at(mark, at + window, -1)
                 gone = np.cumsum(mark[:n]) > 0
+                whole = batch.column("copy").slice(i, j - i).to_numpy(zero_copy_only=False) & (np.diff(first) >= window)
+                gone |= np.repeat(whole, np.diff(first))
                 count = np.zeros(n + 1, np.int64)
                 np.cumsum(gone, out=count[1:])
                 removed = count[first[1:]] - count[first[:-1]]
@@ -204,6 +205,13 @@ def removal_rows(window: int):
     return run
 
 
+def _copies(base: DataFrame) -> DataFrame:
+    """rk and copy of the rows whose whole text has a smaller document."""
+    rows = base.where("text is not null").select("rk", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), "text").alias("t2"))
+    first = rows.groupBy("t1", "t2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("most > least").select("t1", "t2", "least")
+    return rows.join(first, ["t1", "t2"]).where("doc > least").select("rk").distinct().withColumn("copy", F.lit(True))
+
+
 def removals(docs: DataFrame, window: int = WINDOW, inner: int = INNER, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, spans (word intervals, end exclusive), kept and its sha256.
 
@@ -211,7 +219,8 @@ def removals(docs: DataFrame, window: int = WINDOW, inner: int = INNER, keep_tex
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     base = base.withColumn("rk", sh.row_key())
-    anchors = base.select("rk", "text").mapInArrow(anchor_rows(window, inner), "part long, known boolean, rk long, anchor long")
+    texts = base.join(_copies(base).hint("shuffle_hash"), "rk", "left").select("rk", "doc_id", "text", "copy")
+    anchors = texts.where("copy is null").select("rk", "doc_id", "text").mapInArrow(anchor_rows(window, inner), "part long, known boolean, rk long, anchor long")
     by_anchor = Window.partitionBy("part", "known")
     repeated = (
         anchors.withColumn("n", F.count(F.lit(1)).over(by_anchor))
@@ -219,8 +228,7 @@ def removals(docs: DataFrame, window: int = WINDOW, inner: int = INNER, keep_tex
         .groupBy("rk")
         .agg(F.collect_set("anchor").alias("anchors"))
     )
-    texts = base.withColumn("doc", F.coalesce("doc_id", F.lit(int(LAST))))
-    asked = texts.join(repeated.hint("shuffle_hash"), "rk", "left").where("anchors is not null").select("rk", "doc", "text", "anchors")
+    asked = texts.where("copy is null").join(repeated.hint("shuffle_hash"), "rk").select("rk", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text", "anchors")
     rows = asked.mapInArrow(window_rows(window, inner), "h1 long, h2 long, known boolean, rk long, doc long, pos int, more array<int>")
     by_hash = Window.partitionBy("h1", "h2", "known")
     gone = (
@@ -230,7 +238,8 @@ def removals(docs: DataFrame, window: int = WINDOW, inner: int = INNER, keep_tex
         .groupBy("rk")
         .agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     )
-    full = texts.join(gone.hint("shuffle_hash"), "rk", "left").select("doc_id", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    none = F.array().cast("array<int>")
+    full = texts.join(gone.hint("shuffle_hash"), "rk", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("gone", none).alias("gone"))
     out = full.mapInArrow(removal_rows(window), "doc_id long, n_words long, n_removed long, spans array<array<int>>, kept string, kept_sha256 string")
     return out if keep_text else out.drop("kept")
 
