@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.llm import substring_dedup
+from meridia.llm import bpe, decontamination, language_id, line_dedup, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+        "op4_decontamination": decontamination.op4_decontamination,
+        "op8_bpe": bpe.op8_bpe,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_line_dedup": line_dedup.ORACLE_SQL,
+    }
