@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from meridia.llm import _shared as sh
 
-BOOKS, WORDS, BEAM = 8, 256, 4
+BOOKS, WORDS, BEAM = 16, 256, 4
 SAMPLE, ROUNDS, REFITS = 12_000, 6, 2
-SHORTLIST, TOP = 200, 5
+SHORTLIST, TOP = 600, 5
 CODE_BLOCK, QUERY_BLOCK, GROUP = 8192, 1024, 32
 
 
@@ -116,12 +116,12 @@ def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") ->
     """vec_id and v of the rows that take part, each id once."""
     v = F.col(vec_col)
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"), ok.alias("ok")).where("ok and vec_id is not null")
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), ok.alias("ok")).where("ok and vec_id is not null")
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
 def _units(x: np.ndarray) -> np.ndarray:
