@@ -16,8 +16,10 @@ Classes are the connected components of verified links. Copies are collapsed bef
 In a bucket of candidates pairs are tested star by star: leaders, those with most neighbours in
 buckets first, against all members of other components; a leader then retires, so each pair of a
 bucket is tested or already in one component. The number of leaders grows each round, and buckets
-of at most ``all_pairs`` texts are tested at once. Nothing is capped: rounds go on until no pair is
-left. Links, components and buckets stay in DataFrames; each round's result is a written table.
+of at most ``ALL_PAIRS`` texts are tested at once. From the second round on, a text's shingles that
+another remaining text has are counted, and a pair is tested only if both have enough of them for
+the similarity: an exact bound, which spares the scattered members of a large group. Nothing is
+capped: rounds go on until no pair is left. Links, components and buckets stay in DataFrames; each round's result is a written table.
 
 Edge cases. Null text and text without words are in classes of their own rows (equal texts without
 words still share one). Null ids take part; a class has its smallest id that isn't null.
@@ -38,7 +40,7 @@ from meridia.llm import _tokens as tk
 
 K, SIMILARITY = 5, 0.8
 BANDS, ROWS, PICK = 16, 2, 2
-ALL_PAIRS, LEADERS = 12, 8
+ALL_PAIRS, LEADERS = 8, 1
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -183,29 +185,49 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _ranked(buckets: DataFrame, label: DataFrame | None, leaders: int, all_pairs: int) -> DataFrame:
-    """Buckets (key, node, n, hub) of more than one component, with component c and whether a node leads."""
+    """Buckets of more than one component, with component c and whether a node leads."""
     if label is None:
         rows = buckets.withColumn("c", F.col("node"))
     else:
         rows = buckets.join(label.select("node", "component"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    size = Window.partitionBy("key")
-    rows = rows.withColumn("of_c", F.count(F.lit(1)).over(Window.partitionBy("key", "c"))).withColumn("m", F.count(F.lit(1)).over(size))
-    rows = rows.where("of_c < m")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("of_c", F.desc("hub"), "node"))
+    bucket = Window.partitionBy("key")
+    rows = rows.withColumn("of_c", F.count(F.lit(1)).over(Window.partitionBy("key", "c"))).withColumn("m", F.count(F.lit(1)).over(bucket)).where("of_c < m")
+    rank = F.row_number().over(bucket.orderBy("of_c", F.desc("hub"), "doc", "node"))
     return rows.withColumn("rank", rank).withColumn("leads", (F.col("m") <= all_pairs) | (F.col("rank") <= leaders))
 
 
+def shingle_rows(k: int):
+    """Arrow batches (node, text) to a (node, h) for each labelled shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offs in tk.blocks(batch.column("text")):
+                labelled, owner, _, _ = shingles(data, offs, k)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i).take(pa.array(owner)), pa.array(tk.signed(labelled))], names=["node", "h"])
+
+    return run
+
+
+def _shared_counts(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """node and s: how many of its shingles another of these nodes has too, which bounds any overlap."""
+    rows = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(shingle_rows(k), "node binary, h long")
+    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h")
+    return rows.join(common, "h", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
+
+
 def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, pick: int = PICK) -> DataFrame:
     """doc_id, rk, class_id, class_size and stays of every row.
 
     class_id is the smallest doc_id of the class; equal rows have equal rk, and stays marks those
     that a class keeps.
     """
+    sh.small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("rk", sh.row_key())
     sketches = base.select("doc_id", "rk", "text").mapInArrow(sketch_rows(k, bands, rows, pick), "doc_id long, rk long, sig binary, n long, keys array<long>")
     sketches = sh.written(sketches, "sketches")
-    nodes = sketches.where("n > 0").groupBy("sig").agg(F.min(F.struct("rk", "n", "keys")).alias("s")).select(F.col("sig").alias("node"), "s.*")
-    exploded = nodes.select("node", "n", F.explode("keys").alias("key"))
+    doc = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc")
+    nodes = sketches.where("n > 0").groupBy("sig").agg(F.min(F.struct(doc, "rk", "n", "keys")).alias("s")).select(F.col("sig").alias("node"), "s.*")
+    exploded = nodes.select("node", "doc", "n", F.explode("keys").alias("key"))
     shared_keys = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1")
     buckets = exploded.join(shared_keys, "key")
     buckets = sh.written(buckets, "buckets")
@@ -213,18 +235,20 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
     # Texts of candidates only, written once.
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "rk")
     texts = sh.written(base.select("rk", "text").join(wanted.hint("shuffle_hash"), "rk").dropDuplicates(["node"]).select("node", "text"), "texts")
-    buckets = sh.written(buckets.join(hub, "node").select("key", "node", "n", "hub"), "buckets")
+    buckets = sh.written(buckets.join(hub, "node").select("key", "node", "doc", "n", "hub", F.col("n").alias("s")), "buckets")
     links: DataFrame | None = None
     label: DataFrame | None = None
     leaders = LEADERS
     while True:
         ranked = sh.written(_ranked(buckets, label, leaders, ALL_PAIRS), "ranked")
-        a = ranked.where("leads").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-        b = ranked.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-        pairs = a.join(b, "key").where((F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")))
-        pairs = sh.written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
         if not ranked.take(1):
             break
+        a = ranked.where("leads").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("s").alias("s_a"))
+        b = ranked.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), F.col("s").alias("s_b"))
+        # An overlap of L needs L >= similarity (n + m) / (1 + similarity), and both sides to share as much.
+        enough = F.least("s_a", "s_b") * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b"))
+        pairs = a.join(b, "key").where((F.col("c_a") != F.col("c_b")) & enough)
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         new = sh.written(with_b.select("a", "b", "text_a", "text_b").mapInArrow(verify_rows(k, similarity), "a binary, b binary"), "links")
@@ -232,8 +256,12 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
         if new.take(1):
             label = components(links)
             links = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        buckets = sh.written(ranked.where(~F.col("leads")).select("key", "node", "n", "hub"), "buckets")
-        leaders *= 4
+        rest = ranked.where(~F.col("leads"))
+        if leaders == LEADERS and rest.take(1):
+            counts = sh.written(_shared_counts(rest.select("node").distinct(), texts, k), "shared-shingles")
+            rest = rest.drop("s").join(counts, "node")
+        buckets = sh.written(rest.select("key", "node", "doc", "n", "hub", "s"), "buckets")
+        leaders *= 64
     found = sketches.select("doc_id", "rk", F.when(F.col("n") > 0, F.col("sig")).otherwise(F.concat(F.lit("row").cast("binary"), F.col("rk").cast("string").cast("binary"))).alias("node"))
     if label is not None:
         found = found.join(label, "node", "left").select("doc_id", "rk", F.coalesce("component", "node").alias("component"))
