@@ -39,7 +39,8 @@ def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the ids and digests of ids and decoded text."""
-    del spark, sf_dir
+    del sf_dir
+    sh.small_batches(spark)
     out = bpe.encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -35,6 +35,13 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send at most that many rows at once to Python, so long texts take bounded memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, rows)
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A 64-bit key of a row: equal rows share it, and nulls have one."""
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit("")))

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 MASK = (1 << 64) - 1
 #: Bytes in a block, unless one text alone is longer.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 #: Words of anything but ASCII white space.
 SPACED = np.ones(256, bool)

@@ -35,7 +35,7 @@ from meridia.llm import _shared as sh
 LEAF = 4096
 #: Texts with a chunk this long go the parallel way.
 LONG_CHUNK = 65536
-CACHE = 300_000
+CACHE = 120_000
 VOCABULARY = "word_bpe_49k.json"
 
 SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")

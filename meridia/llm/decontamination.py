@@ -249,6 +249,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_i
 
     keep names further columns of docs to carry along.
     """
+    sh.small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     base = docs.select("doc_id", "text", *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", n_words long, n_hit long, spans array<array<long>>, items array<string>"
@@ -306,10 +307,11 @@ def cut_rows(min_span: int, max_coverage: float):
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_span: int = MIN_SPAN, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """docs without contaminated spans; a document hit for more than max_coverage of its words goes."""
-    base = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    found = contamination(base, items, window, keep=("row",))
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    base = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    found = contamination(base, items, window, keep=tuple(names.values()))
     cut = found.mapInArrow(cut_rows(min_span, max_coverage), found.schema).where("not (n_hit > 0 and text is null)")
-    return cut.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return cut.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op4_decontamination(spark, sf_dir) -> DataFrame:

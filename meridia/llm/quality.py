@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from meridia.llm import _shared as sh
 from meridia.llm import _tokens as tk
 
-SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 40_000_000
+SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 20_000_000
 BUCKETS, DIM, NONZERO, HIDDEN = 1 << 15, 32, 4, 24
 SHAPES = 1 << 8
 EPOCHS, RATE = 60, 0.01
@@ -202,19 +202,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     return train([r.text or "" for r in got], np.array([int(r.quality > 0) for r in got], int))
 
 
-def score(docs: DataFrame, model: Quality, *keep: str) -> DataFrame:
-    """The keep columns, score and predicted of each text."""
+def score(docs: DataFrame, model: Quality, *keep: str, text: bool = False) -> DataFrame:
+    """The keep columns, score and predicted of each text; the text too if asked for."""
+    sh.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.select(F.col("text").alias("_text"), *keep)
+    base = docs.select("text", *keep)
+    skip = 0 if text else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             got = [model.scores(data, offs) for _, _, data, offs in tk.blocks(batch.column(0))]
             s = np.concatenate(got) if got else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names[1:], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[skip:], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names[skip:], "score", "predicted"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[1:]] + ["score double", "predicted int"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[skip:]] + ["score double", "predicted int"])
     return base.mapInArrow(run, schema)
 
 
@@ -226,8 +228,9 @@ def learnable(labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs that the classifier doesn't reject."""
     model = fit(docs, learnable(labels))
-    base = docs.select("text", F.struct(*docs.columns).alias("row"))
-    return score(base, model, "row").where("predicted = 1").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    base = docs.select("text", *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return score(base, model, *names.values(), text=True).where("predicted = 1").select(*[F.col(names.get(c, "text")).alias(c) for c in docs.columns])
 
 
 def op5_quality(spark, sf_dir) -> DataFrame:
