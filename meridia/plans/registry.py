@@ -6,17 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracle: dict[str, str] = {}
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the DuckDB SQL of the same rows."""
+
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        _queries[key] = f
+        if sql is not None:
+            _oracle[key] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from meridia.plans import fact_queries, health_queries, metric_queries, panel_queries, text_queries  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
     """Query name -> callable(spark, sf_dir)."""
-    return {}
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name -> DuckDB SQL with the same rows."""
-    return {}
+    _load()
+    return dict(_oracle)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship query."""
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """The flagship query: ratio trends of every entity."""
+    return queries()["trend_direction"](spark, sf_dir)
