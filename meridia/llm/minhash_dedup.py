@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
     sketches = sh.written(sketches, "sketches")
     doc = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc")
     nodes = sketches.where("n > 0").groupBy("sig").agg(F.min(F.struct(doc, "rk", "n", "keys")).alias("s")).select(F.col("sig").alias("node"), "s.*")
-    exploded = nodes.select("node", "doc", "n", F.explode("keys").alias("key"))
+    exploded = nodes.select("node", "doc", "n", "keys", F.posexplode("keys").alias("band", "key"))
     shared_keys = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1")
     buckets = exploded.join(shared_keys, "key")
     buckets = sh.written(buckets, "buckets")
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
     # Texts of candidates only, written once.
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "rk")
     texts = sh.written(base.select("rk", "text").join(wanted.hint("shuffle_hash"), "rk").dropDuplicates(["node"]).select("node", "text"), "texts")
-    buckets = sh.written(buckets.join(hub, "node").select("key", "node", "doc", "n", "hub", F.col("n").alias("s")), "buckets")
+    buckets = sh.written(buckets.join(hub, "node").select("key", "band", "keys", "node", "doc", "n", "hub", F.col("n").alias("s")), "buckets")
     links: DataFrame | None = None
     label: DataFrame | None = None
     leaders = LEADERS
@@ -243,11 +243,13 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
         ranked = sh.written(_ranked(buckets, label, leaders, ALL_PAIRS), "ranked")
         if not ranked.take(1):
             break
-        a = ranked.where("leads").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("s").alias("s_a"))
-        b = ranked.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), F.col("s").alias("s_b"))
+        a = ranked.where("leads").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("s").alias("s_a"), F.col("keys").alias("k_a"), "band")
+        b = ranked.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), F.col("s").alias("s_b"), F.col("keys").alias("k_b"))
         # An overlap of L needs L >= similarity (n + m) / (1 + similarity), and both sides to share as much.
         enough = F.least("s_a", "s_b") * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b"))
-        pairs = a.join(b, "key").where((F.col("c_a") != F.col("c_b")) & enough)
+        # A pair that meets in several buckets is tested in that of its first common band only.
+        met = F.exists(F.zip_with(F.slice("k_a", F.lit(1), F.col("band")), F.slice("k_b", F.lit(1), F.col("band")), lambda x, y: x == y), lambda x: x)
+        pairs = a.join(b, "key").where((F.col("c_a") != F.col("c_b")) & enough & ~met)
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -260,7 +262,7 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
         if leaders == LEADERS and rest.take(1):
             counts = sh.written(_shared_counts(rest.select("node").distinct(), texts, k), "shared-shingles")
             rest = rest.drop("s").join(counts, "node")
-        buckets = sh.written(rest.select("key", "node", "doc", "n", "hub", "s"), "buckets")
+        buckets = sh.written(rest.select("key", "band", "keys", "node", "doc", "n", "hub", "s"), "buckets")
         leaders *= 64
     found = sketches.select("doc_id", "rk", F.when(F.col("n") > 0, F.col("sig")).otherwise(F.concat(F.lit("row").cast("binary"), F.col("rk").cast("string").cast("binary"))).alias("node"))
     if label is not None:
