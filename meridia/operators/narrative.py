@@ -70,7 +70,7 @@ def mood(sentence: Column, at: Column, length: Column) -> Column:
     through = F.substring(low, begin, at - begin + length)
     return (
         F.when(near.rlike(NEGATION), F.lit("negated"))
-        .when(through.rlike(COMPLIANCE), F.lit("negated"))
+        .when(through.rlike(COMPLIANCE) & ~through.rlike(r"\bnot (been )?in compliance\b"), F.lit("negated"))
         .when(low.rlike(REFERENCE), F.lit("referenced"))
         .when(before.rlike(CONDITIONAL), F.lit("hypothetical"))
         .when(before.rlike(FACTUAL), F.lit("asserted"))
