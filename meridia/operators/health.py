@@ -35,10 +35,19 @@ def last_periods(series: DataFrame, entity: str, n: int = ANALYSIS_WINDOW, year:
 
 def median_of(a: Column) -> Column:
     """The median of an array of numbers, null of none."""
-    s, n = F.array_sort(a), F.size(a)
-    odd = F.get(s, F.floor(n / 2).cast("int"))
-    even = (F.get(s, F.floor(n / 2).cast("int") - 1) + odd) / 2
-    return F.when(n % 2 == 1, odd).otherwise(even)
+
+    def of_sorted(s: Column) -> Column:
+        n = F.size(s)
+        odd = F.get(s, F.floor(n / 2).cast("int"))
+        return F.when(n % 2 == 1, odd).otherwise((F.get(s, F.floor(n / 2).cast("int") - 1) + odd) / 2)
+
+    # A lambda over one element binds the sorted array, so it's sorted once.
+    return F.get(F.transform(F.array(F.array_sort(a)), of_sorted), F.lit(0))
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows with every column computed: later lambdas read values instead of expressions."""
+    return rows.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))))
 
 
 def trends(series: DataFrame, key: Sequence[str], higher_is_stronger: Column | None = None, year: str = "fy") -> DataFrame:
@@ -46,14 +55,15 @@ def trends(series: DataFrame, key: Sequence[str], higher_is_stronger: Column | N
     negative = F.exists("warnings", lambda w: w == "NEGATIVE_EQUITY") if "warnings" in series.columns else F.lit(False)
     rows = series.select(*key, F.col(year).alias("fy"), F.when(F.col("status") == "calculated", F.col("value")).alias("v"), negative.alias("neg"))
     rows = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("fy", "v"))).alias("s"), F.bool_or("neg").alias("negative_equity"))
-    rows = rows.withColumn("x", F.transform("s", lambda e: e["v"])).withColumn("c", F.filter("x", lambda v: v.isNotNull()))
+    rows = settled(rows.withColumn("x", F.transform("s", lambda e: e["v"])).withColumn("c", F.filter("x", lambda v: v.isNotNull())))
     n, total = F.size("c"), F.size("x")
     known = F.filter(F.transform("s", lambda e: F.when(e["v"].isNotNull(), e["fy"])), lambda y: y.isNotNull())
-    rows = rows.withColumns({"lo": F.array_min(known), "hi": F.array_max(known)})
+    rows = settled(rows.withColumns({"lo": F.array_min(known), "hi": F.array_max(known)}))
     rows = rows.withColumn("gaps", F.transform(F.filter("s", lambda e: e["v"].isNull() & (e["fy"] > F.col("lo")) & (e["fy"] < F.col("hi"))), lambda e: e["fy"]))
     # Deltas of neighbouring positions; null where one isn't calculated.
     rows = rows.withColumn("d", F.transform(F.sequence(F.lit(1), F.greatest(total - 1, F.lit(1))), lambda i: F.get("x", i) - F.get("x", i - 1)))
     rows = rows.withColumn("cd", F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.get("c", i) - F.get("c", i - 1)))
+    rows = settled(rows)
     first, last = F.get("c", F.lit(0)), F.get("c", n - 1)
     absolute = last - first
     pct = F.when(F.abs(first) >= NEAR_ZERO_BASELINE, absolute / first)
@@ -61,7 +71,8 @@ def trends(series: DataFrame, key: Sequence[str], higher_is_stronger: Column | N
     direction = F.when(F.col("negative_equity"), F.lit("not_meaningful")).when(n == 0, F.lit("insufficient")).when(F.size("gaps") > 0, F.lit("discontinuous")).when(n < MIN_PERIODS, F.lit("insufficient"))
     direction = direction.when(~moving, F.lit("stable")).when(absolute > 0, F.lit("increasing")).otherwise(F.lit("decreasing"))
     rows = rows.withColumns({"direction": direction, "absolute": F.when(direction.isin("stable", "increasing", "decreasing"), absolute), "percent": F.when(direction.isin("stable", "increasing", "decreasing"), pct)})
-    sign = F.when(F.col("direction") == "increasing", 1).when(F.col("direction") == "decreasing", -1)
+    rows = settled(rows.withColumn("sign", F.when(F.col("direction") == "increasing", 1).when(F.col("direction") == "decreasing", -1)))
+    sign = F.col("sign")
     run = F.aggregate(
         F.reverse("cd"),
         F.struct(F.lit(0).alias("k"), F.lit(True).alias("on")),
@@ -73,7 +84,8 @@ def trends(series: DataFrame, key: Sequence[str], higher_is_stronger: Column | N
     newest = F.get("d", F.greatest(total - 2, F.lit(0)))
     before = F.filter(F.slice("d", F.lit(1), F.greatest(total - 2, F.lit(0))), lambda d: d.isNotNull())
     rows = rows.withColumns({"persistence": F.when(sign.isNotNull(), run).otherwise(F.lit(0)).cast("long"), "baseline": baseline, "deviation": last - baseline, "newest": F.when(total >= 2, newest), "before": before})
-    rows = rows.withColumn("mid", median_of(F.col("before"))).withColumn("mad", median_of(F.transform("before", lambda d: F.abs(d - F.col("mid")))))
+    rows = settled(settled(rows).withColumn("mid", median_of(F.col("before"))))
+    rows = rows.withColumn("mad", median_of(F.transform("before", lambda d: F.abs(d - F.col("mid")))))
     far = F.abs(F.col("newest") - F.col("mid"))
     unusual = (F.size("before") >= UNUSUAL_MIN_PRIOR) & F.when(F.col("mad") > 0, Z_FACTOR * far / F.col("mad") > UNUSUAL_Z).otherwise(far > CHANGE_NOISE)
     rows = rows.withColumn("unusual", F.coalesce(unusual, F.lit(False)))
