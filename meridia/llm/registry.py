@@ -26,5 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op4_decontamination": decontamination.ORACLE_SQL,
         "op10_line_dedup": line_dedup.ORACLE_SQL,
     }

@@ -247,3 +247,17 @@ def removals(docs: DataFrame, window: int = WINDOW, inner: int = INNER, keep_tex
 def op3_substring_dedup(spark, sf_dir) -> DataFrame:
     """Contract query: words removed from each whole document."""
     return removals(sh.documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(list_slice(w, p, p + {WINDOW - 1}), ' ') AS k
+        FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) - {WINDOW} + 2 AS BIGINT))) AS p FROM d WHERE len(w) >= {WINDOW})),
+late AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS rn FROM win) WHERE rn > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + {WINDOW})) AS x FROM late),
+words AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS x FROM d),
+kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY x) AS s FROM words ANTI JOIN gone USING (doc_id, x) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
