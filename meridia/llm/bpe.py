@@ -35,7 +35,7 @@ from meridia.llm import _shared as sh
 LEAF = 4096
 #: Texts with a chunk this long go the parallel way.
 LONG_CHUNK = 65536
-CACHE = 120_000
+CACHE = 60_000
 VOCABULARY = "word_bpe_49k.json"
 
 SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -302,7 +302,7 @@ def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, long_chun
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded of each text."""
     base = docs.select(F.col("text"), F.col("doc_id"))
     is_long = (F.coalesce(F.length("text"), F.lit(0)) >= long_chunk) & F.coalesce(F.col("text").rlike(r"\S{%d}" % long_chunk), F.lit(False))
-    short = base.where(~is_long).mapInArrow(encode_rows(path), "doc_id long, n_tokens long, ids binary, decoded string")
+    short = base.where(~is_long).mapInArrow(sh.frugal(encode_rows(path)), "doc_id long, n_tokens long, ids binary, decoded string")
     long = base.where(is_long).withColumn("rk", sh.row_key())
     joined = long.select("doc_id", "rk").join(_encode_long(long, path, leaf), "rk", "left")
     empty = F.unhex(F.lit(""))

@@ -163,8 +163,8 @@ def item_words(texts: list[str | None]) -> list[list[bytes]]:
     return out
 
 
-def hit_rows(shared):
-    """Arrow batches of (doc_id, text, …) to the same with n_words, n_hit, spans and items."""
+def hit_rows(shared, cut: tuple[int, float] | None = None):
+    """Arrow batches of (doc_id, text, …) to the same with n_words, n_hit, spans and items; cut as in contamination()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto: Automaton = shared.value
@@ -172,8 +172,8 @@ def hit_rows(shared):
         table = np.empty(0, tk.U64)
         if known:
             flat = b"".join(known)
-            cut = np.cumsum([0, *map(len, known)])
-            table = tk.span_hash(np.frombuffer(flat, np.uint8), cut[:-1], cut[1:])
+            edges = np.cumsum([0, *map(len, known)])
+            table = tk.span_hash(np.frombuffer(flat, np.uint8), edges[:-1], edges[1:])
         order = np.argsort(table)
         table = table[order]
         for batch in batches:
@@ -215,7 +215,7 @@ def hit_rows(shared):
                     for x, y in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):
                         spans[d].append([x, y, int(starts[a + x] - offs[d]), int(ends[a + y - 1] - offs[d])])
                 rows = batch.slice(i, docs)
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [
                         *rows.columns,
                         pa.array(np.diff(first)),
@@ -225,6 +225,10 @@ def hit_rows(shared):
                     ],
                     names=[*rows.schema.names, "n_words", "n_hit", "spans", "items"],
                 )
+                if cut is None:
+                    yield out
+                else:
+                    yield from cut_rows(*cut)(iter([out]))
 
     return run
 
@@ -244,21 +248,26 @@ def _blocks_of(items: DataFrame, id_col: str, text_col: str, limit: int) -> Iter
     yield block
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_item_words: int = MAX_ITEM_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_item_words: int = MAX_ITEM_WORDS, keep: tuple[str, ...] = (), cut: tuple[int, float] | None = None) -> DataFrame:
     """doc_id, text, n_words, n_hit, spans [[word, end, byte, end]] and items of each document.
 
-    keep names further columns of docs to carry along.
+    keep names further columns of docs to carry along. With cut, (least span, most coverage), the
+    text is what clean() leaves of it, null if nothing.
     """
     sh.small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     base = docs.select("doc_id", "text", *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", n_words long, n_hit long, spans array<array<long>>, items array<string>"
-    found: list[DataFrame] = []
+    found = []
     for block in _blocks_of(items, "item_id", "text", max_item_words):
-        found.append(base.mapInArrow(hit_rows(sc.broadcast(Automaton(block, window))), schema))
-    if len(found) == 1:
-        return found[0]
-    return _merged(found, window, keep)
+        found.append((sc.broadcast(Automaton(block, window)), base))
+    # One block, the rule, is cut in the pass that finds its hits.
+    single = len(found) == 1
+    frames = [base.mapInArrow(sh.frugal(hit_rows(shared, cut if single else None)), schema) for shared, base in found]
+    if single:
+        return frames[0]
+    merged = _merged(frames, window, keep)
+    return merged if cut is None else merged.mapInArrow(sh.frugal(cut_rows(*cut)), merged.schema)
 
 
 def _merged(found: list[DataFrame], window: int, keep: tuple[str, ...]) -> DataFrame:
@@ -309,8 +318,8 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_span: int
     """docs without contaminated spans; a document hit for more than max_coverage of its words goes."""
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     base = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    found = contamination(base, items, window, keep=tuple(names.values()))
-    cut = found.mapInArrow(cut_rows(min_span, max_coverage), found.schema).where("not (n_hit > 0 and text is null)")
+    found = contamination(base, items, window, keep=tuple(names.values()), cut=(min_span, max_coverage))
+    cut = found.where("not (n_hit > 0 and text is null)")
     return cut.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 

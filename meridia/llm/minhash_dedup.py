@@ -210,7 +210,7 @@ def shingle_rows(k: int):
 
 def _shared_counts(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """node and s: how many of its shingles another of these nodes has too, which bounds any overlap."""
-    rows = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(shingle_rows(k), "node binary, h long")
+    rows = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(sh.frugal(shingle_rows(k)), "node binary, h long")
     common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h")
     return rows.join(common, "h", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
 
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
     """
     sh.small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("rk", sh.row_key())
-    sketches = base.select("doc_id", "rk", "text").mapInArrow(sketch_rows(k, bands, rows, pick), "doc_id long, rk long, sig binary, n long, keys array<long>")
+    sketches = base.select("doc_id", "rk", "text").mapInArrow(sh.frugal(sketch_rows(k, bands, rows, pick)), "doc_id long, rk long, sig binary, n long, keys array<long>")
     sketches = sh.written(sketches, "sketches")
     doc = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc")
     nodes = sketches.where("n > 0").groupBy("sig").agg(F.min(F.struct(doc, "rk", "n", "keys")).alias("s")).select(F.col("sig").alias("node"), "s.*")
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        new = sh.written(with_b.select("a", "b", "text_a", "text_b").mapInArrow(verify_rows(k, similarity), "a binary, b binary"), "links")
+        new = sh.written(with_b.select("a", "b", "text_a", "text_b").mapInArrow(sh.frugal(verify_rows(k, similarity)), "a binary, b binary"), "links")
         links = new if links is None else links.unionByName(new)
         if new.take(1):
             label = components(links)

@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: Quality, *keep: str, text: bool = False) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns[skip:], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names[skip:], "score", "predicted"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[skip:]] + ["score double", "predicted int"])
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(sh.frugal(run), schema)
 
 
 def learnable(labels: DataFrame) -> DataFrame:
