@@ -136,7 +136,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, shortlist: i
     vectors and queries have vec_id and v, as usable() gives them.
     """
     spark = vectors.sparkSession
-    drawn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    drawn = sh.sample(vectors, sample, "vec_id").collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not drawn:
         return spark.createDataFrame([], schema)

@@ -256,7 +256,7 @@ def fit(train: DataFrame, order: int = ORDER, max_ngrams: int = MAX_NGRAMS, cali
     train = train.where("lang is not null and text is not null and doc_id is not null")
     aside = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(16)) == 0
     model = Model.fit(ngram_counts(train.where(~aside), order, max_ngrams), order)
-    sample = train.where(aside).select("lang", "text", F.xxhash64("doc_id").alias("h")).orderBy("h", "lang").limit(calibration_texts)
+    sample = sh.sample(train.where(aside).select("lang", "text", "doc_id"), calibration_texts, "doc_id", "lang").select("lang", "text")
     ent, truth = [], []
     shared = train.sparkSession.sparkContext.broadcast(model)
 

@@ -230,7 +230,9 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, recall: float = RECALL)
                 contexts.append(text[:200])
             yield pa.RecordBatch.from_arrays([pa.array([[x.tolist() for x in rows]], pa.list_(pa.list_(pa.int32()))), pa.array([labels], pa.list_(pa.int32())), pa.array([contexts[:200]], pa.list_(pa.string()))], names=["rows", "labels", "contexts"])
 
-    sample = docs.where("text is not null").select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample_rows).select("text")
+    # Rows by the hash of text and id, if there is one: copies of a text are separate rows.
+    key = ["text", "doc_id"] if "doc_id" in docs.columns else ["text"]
+    sample = sh.sample(docs.where("text is not null").select(*key), sample_rows, *key).select("text")
     rows, labels, contexts = [], [], []
     for r in sample.mapInArrow(found, "rows array<array<int>>, labels array<int>, contexts array<string>").collect():
         rows += [np.array(x) for x in r.rows]
