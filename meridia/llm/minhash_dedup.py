@@ -17,8 +17,8 @@ In a bucket of candidates pairs are tested star by star: leaders, those with mos
 buckets first, against all members of other components; a leader then retires, so each pair of a
 bucket is tested or already in one component. The number of leaders grows each round, and buckets
 of at most ``ALL_PAIRS`` texts are tested at once. From the second round on, a text's shingles that
-another remaining text has are counted, and a pair is tested only if both have enough of them for
-the similarity: an exact bound, which spares the scattered members of a large group. Nothing is
+a text of another component has are counted, and a pair is tested only if both have enough of them
+for the similarity: an exact bound, which spares the scattered members of a large group. Nothing is
 capped: rounds go on until no pair is left. Links, components and buckets stay in DataFrames; each round's result is a written table.
 
 Edge cases. Null text and text without words are in classes of their own rows (equal texts without
@@ -209,12 +209,23 @@ def shingle_rows(k: int):
 
 
 def _shared_counts(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """node and s: how many of its shingles another of these nodes has too, which bounds any overlap."""
-    rows = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(sh.frugal(shingle_rows(k)), "node binary, h long")
-    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h")
+    """node and s of nodes (node, c): how many of its shingles a node of another component has too.
+
+    The overlap of two texts of different components is at most the smaller s.
+    """
+    rows = texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(sh.frugal(shingle_rows(k)), "node binary, h long").join(nodes, "node")
+    common = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("h")
     return rows.join(common, "h", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
 
 
+def _latest(rows: DataFrame, label: DataFrame | None) -> DataFrame:
+    """node and its component c by now."""
+    nodes = rows.select("node").distinct()
+    if label is None:
+        return nodes.withColumn("c", F.col("node"))
+    return nodes.join(label.select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("c"))
+
+
 def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, pick: int = PICK) -> DataFrame:
     """doc_id, rk, class_id, class_size and stays of every row.
 
@@ -260,7 +271,7 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
             links = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
         rest = ranked.where(~F.col("leads"))
         if leaders == LEADERS and rest.take(1):
-            counts = sh.written(_shared_counts(rest.select("node").distinct(), texts, k), "shared-shingles")
+            counts = sh.written(_shared_counts(_latest(rest, label), texts, k), "shared-shingles")
             rest = rest.drop("s").join(counts, "node")
         buckets = sh.written(rest.select("key", "band", "keys", "node", "doc", "n", "hub", "s"), "buckets")
         leaders *= 64
