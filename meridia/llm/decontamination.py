@@ -163,11 +163,15 @@ def item_words(texts: list[str | None]) -> list[list[bytes]]:
     return out
 
 
-def hit_rows(shared, cut: tuple[int, float] | None = None):
-    """Arrow batches of (doc_id, text, …) to the same with n_words, n_hit, spans and items; cut as in contamination()."""
+def hit_rows(shared, cut: tuple[int, float] | None = None, again: bool = False):
+    """Arrow batches of (doc_id, text, …) to the same with n_words, n_hit, spans and items; cut as in contamination().
+
+    Batches that have these columns already keep their hits and gain this automaton's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto: Automaton = shared.value
+        names = [None if k is None else str(k) for k in auto.ids]
         known = sorted(auto.vocab, key=auto.vocab.__getitem__)
         table = np.empty(0, tk.U64)
         if known:
@@ -177,12 +181,22 @@ def hit_rows(shared, cut: tuple[int, float] | None = None):
         order = np.argsort(table)
         table = table[order]
         for batch in batches:
+            before = None
+            if again:
+                before = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
+                batch = batch.select(batch.schema.names[:-4])
             for i, j, raw, offs in tk.blocks(batch.column("text")):
                 data = tk.LOWER[raw]
                 starts, ends, first = tk.words(data, offs, tk.ALNUM)
                 n, docs = len(starts), j - i
-                hits = [set() for _ in range(docs)]
+                hits: list[set[str]] = [set() for _ in range(docs)]
                 mark = np.zeros(n + 1, np.int64)
+                if before is not None:
+                    for doc, (old, named) in enumerate(zip(before[0][i:j], before[1][i:j], strict=True)):
+                        hits[doc].update(named)
+                        for x, y, _, _ in old:
+                            mark[first[doc] + x] += 1
+                            mark[first[doc] + y] -= 1
                 if n and len(table):
                     hashes = tk.span_hash(data, starts, ends)
                     where = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
@@ -204,7 +218,7 @@ def hit_rows(shared, cut: tuple[int, float] | None = None):
                         for at, length, items in auto.stream(numbers[a:b].tolist()):
                             mark[a + at - length] += 1
                             mark[a + at] -= 1
-                            hits[doc].update(items)
+                            hits[doc].update(names[k] for k in items if names[k] is not None)
                 hit = np.cumsum(mark[:n]) > 0
                 count = np.zeros(n + 1, np.int64)
                 np.cumsum(hit, out=count[1:])
@@ -221,7 +235,7 @@ def hit_rows(shared, cut: tuple[int, float] | None = None):
                         pa.array(np.diff(first)),
                         pa.array(count[first[1:]] - count[first[:-1]]),
                         pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-                        pa.array([sorted({str(auto.ids[k]) for k in h if auto.ids[k] is not None}) for h in hits], pa.list_(pa.string())),
+                        pa.array([sorted(h) for h in hits], pa.list_(pa.string())),
                     ],
                     names=[*rows.schema.names, "n_words", "n_hit", "spans", "items"],
                 )
@@ -234,7 +248,7 @@ def hit_rows(shared, cut: tuple[int, float] | None = None):
 
 
 def _blocks_of(items: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """Items in blocks of at most limit words, one block on the driver at a time."""
+    """Items in blocks of at most limit words, each made when asked for."""
     block: list[tuple[object, list[bytes]]] = []
     have = 0
     rows = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator()
@@ -258,31 +272,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_i
     sc = docs.sparkSession.sparkContext
     base = docs.select("doc_id", "text", *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", n_words long, n_hit long, spans array<array<long>>, items array<string>"
-    found = []
-    for block in _blocks_of(items, "item_id", "text", max_item_words):
-        found.append((sc.broadcast(Automaton(block, window)), base))
-    # One block, the rule, is cut in the pass that finds its hits.
-    single = len(found) == 1
-    frames = [base.mapInArrow(sh.frugal(hit_rows(shared, cut if single else None)), schema) for shared, base in found]
-    if single:
-        return frames[0]
-    merged = _merged(frames, window, keep)
-    return merged if cut is None else merged.mapInArrow(sh.frugal(cut_rows(*cut)), merged.schema)
-
-
-def _merged(found: list[DataFrame], window: int, keep: tuple[str, ...]) -> DataFrame:
-    """Hits of several item blocks as those of one."""
-    del window
-    rows = found[0].select("doc_id", "text", *keep, "n_words", "spans", "items")
-    for more in found[1:]:
-        rows = rows.unionByName(more.select("doc_id", "text", *keep, "n_words", "spans", "items"))
-    words = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.sequence(s[0], s[1] - 1))))
-    spans = F.flatten(F.collect_list("spans"))
-    return (
-        rows.groupBy("doc_id", "text", *keep, "n_words")
-        .agg(words.alias("hit"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        .select("doc_id", "text", *keep, "n_words", F.size("hit").cast("long").alias("n_hit"), F.array_sort("spans").alias("spans"), "items")
-    )
+    blocks = _blocks_of(items, "item_id", "text", max_item_words)
+    block, rows, old = next(blocks), base, None
+    while block is not None:
+        shared, block = sc.broadcast(Automaton(block, window)), next(blocks, None)
+        # The last block, as a rule the only one, is cut in the pass that finds its hits.
+        rows = rows.mapInArrow(sh.frugal(hit_rows(shared, cut if block is None else None, old is not None)), schema)
+        if block is not None:
+            rows = sh.written(rows, "item-block")
+            shared.destroy()
+            if old is not None:
+                sh.drop_written(old)
+            old = rows
+    return rows
 
 
 def cut_rows(min_span: int, max_coverage: float):

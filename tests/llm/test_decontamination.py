@@ -77,6 +77,18 @@ def test_item_blocks_give_the_same(spark):
     assert digest(op.contamination(d.drop("spans"), i, max_item_words=60)) == brute(docs, items)
 
 
+def test_item_blocks_keep_repeated_rows(spark):
+    docs, items = fixture(7)
+    d, i = frames(spark, docs, items)
+    assert len(docs) > len(set(docs))
+    assert digest(op.contamination(d.drop("spans"), i, max_item_words=60)) == brute(docs, items)
+    one, several = op.contamination(d.drop("spans"), i), op.contamination(d.drop("spans"), i, max_item_words=60)
+    assert sorted(one.collect(), key=str) == sorted(several.collect(), key=str)
+    for least in (1, 12):
+        cut = [op.contamination(d.drop("spans"), i, max_item_words=n, cut=(least, 0.9)).collect() for n in (60, 1_000_000)]
+        assert sorted(cut[0], key=str) == sorted(cut[1], key=str)
+
+
 def test_clean_removes_spans_and_keeps_the_rest(spark):
     item = " ".join(f"q{i}" for i in range(12))
     docs = [(1, "Alpha beta. " + item.upper() + " gamma " + "delta " * 30), (2, item), (3, "nothing here"), (4, None)]
