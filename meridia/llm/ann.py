@@ -4,16 +4,20 @@ A vector, scaled to unit length, is coded as a sum of ``books`` codewords, each
 dimension. Codebooks start as residual k-means and are refitted jointly by least squares; codes
 come from a beam search. The norm of the decoded vector is stored beside its code. A query scores
 a code by one look-up in each of its tables, -2 q.c summed, plus the stored squared norm; the
-``shortlist`` best of all rows are reranked by the exact cosine in double precision.
+best distinct vectors, ``shortlist`` or ``share`` of all if that is more, are reranked by the exact
+cosine in double precision.
 
-How it scales. Codebooks are fitted on a bounded sample (``sample`` rows of lowest id hash). Every
-row is indexed, as blocks of codes. Queries are dealt into blocks too; a block of queries meets
+How it scales. Codebooks are fitted on a bounded sample (``sample`` distinct vectors of lowest id
+hash). Every distinct vector is indexed, as blocks of codes; of its equal rows the ``top`` + 1
+smallest ids stay beside it, all that can be among the nearest. The shortlist grows with the
+vectors, since the number that score better than a true neighbour does. Queries are dealt into blocks too; a block of queries meets
 each group of code blocks in one task, which keeps the best of its group only, so what leaves it
 is bounded by queries times shortlist. No vectors but the shortlist's are exchanged.
 
 Edge cases. Null, zero, non-finite vectors, vectors with null components and rows with a null id
 take no part, nor do vectors of another dimension than the most common of the sample. A repeated
-id counts once, with its smallest vector. Ties go to the smaller id, also in the shortlist.
+id counts once, with its smallest vector. Ties go to the smaller id, also in the shortlist. Equal
+rows take one place of the shortlist; rows that only nearly equal each other take one each.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from meridia.llm import _shared as sh
 
 BOOKS, WORDS, BEAM = 16, 256, 4
 SAMPLE, ROUNDS, REFITS = 12_000, 6, 2
-SHORTLIST, TOP = 600, 5
+SHORTLIST, SHARE, TOP = 600, 1 / 80, 5
 CODE_BLOCK, QUERY_BLOCK, GROUP = 8192, 1024, 32
 
 
@@ -130,12 +134,22 @@ def _units(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, shortlist: int = SHORTLIST, sample: int = SAMPLE, books: int = BOOKS, beam: int = BEAM) -> DataFrame:
+def distinct_vectors(vectors: DataFrame, keep: int) -> DataFrame:
+    """vec_id, v and ids: each vector once, with the keep smallest ids that have it, the smallest as its own."""
+    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    # The limit acts before the exchange too, so a vector with a third of the rows sends few.
+    few = vectors.withColumn("place", place).where(F.col("place") <= keep)
+    ids = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    return ids.select(F.col("ids")[0].alias("vec_id"), "v", "ids")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, shortlist: int = SHORTLIST, sample: int = SAMPLE, books: int = BOOKS, beam: int = BEAM, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id and score: the nearest found of each query among the other vectors.
 
     vectors and queries have vec_id and v, as usable() gives them.
     """
     spark = vectors.sparkSession
+    vectors = sh.written(distinct_vectors(vectors, top + 1), "distinct-vectors")
     drawn = sh.sample(vectors, sample, "vec_id").collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not drawn:
@@ -144,6 +158,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, shortlist: i
     model = train(_units(np.array([r.v for r in drawn if len(r.v) == dim], np.float64)), books)
     shared = spark.sparkContext.broadcast(model)
     vectors, queries = vectors.where(F.size("v") == dim), queries.where(F.size("v") == dim)
+    shortlist = max(shortlist, int(np.ceil(share * vectors.count())))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -155,7 +170,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, shortlist: i
                 norms = (model.decode(codes) ** 2).sum(1).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([int(ids.min())]), pa.array([ids.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()), pa.array([norms.tobytes()], pa.binary())], names=["block", "ids", "codes", "norms"])
 
-    blocks = sh.written(vectors.mapInArrow(index, "block long, ids binary, codes binary, norms binary"), "codes")
+    blocks = sh.written(vectors.select("vec_id", "v").mapInArrow(index, "block long, ids binary, codes binary, norms binary"), "codes")
     n_queries, n_blocks = queries.count(), blocks.count()
     if not n_queries:
         return spark.createDataFrame([], schema)
@@ -198,7 +213,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, shortlist: i
                             near = np.flatnonzero(score <= limit)
                         else:
                             near = np.arange(len(score))
-                        near = near[vec[near] != ids[i]]
                         s, v = np.concatenate([best[i][0], score[near]]), np.concatenate([best[i][1], vec[near]])
                         order = np.lexsort((v, s))[:shortlist]
                         best[i] = (s[order], v[order])
@@ -233,8 +247,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, shortlist: i
 
     pairs = found.join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(vectors, "vec_id")
     scored = pairs.select("query_id", "vec_id", "q", "v").mapInArrow(exact, "query_id long, vec_id long, score double")
+    # Each vector stands for one row at least, one of them perhaps the query: top + 1 with their ties suffice.
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    best = scored.withColumn("place", F.rank().over(by_score)).where(F.col("place") <= top + 1)
+    copies = best.join(vectors.select("vec_id", "ids"), "vec_id").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return copies.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_ann(spark, sf_dir) -> DataFrame:

@@ -57,3 +57,40 @@ def test_edge_cases(spark):
     assert [(r.vec_id, r.rank) for r in op.nearest(few, few.where("vec_id = 100")).collect()] == [(3, 1)]
     none = vectors.limit(0)
     assert op.nearest(none, none).count() == 0
+
+
+def test_copies_take_one_place_of_the_shortlist(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 16)).round(3)
+    rows = list(enumerate(x.tolist()))
+    ids = list(range(0, 400, 50))
+
+    def near(q, r):
+        step = rng.normal(size=16)
+        return (x[q] + r * step / np.linalg.norm(step)).round(4).tolist()
+
+    for q in ids:
+        # Two groups of copies, each larger than the shortlist, and six rows a little nearer than they are.
+        for group in range(2):
+            far = near(q, 1.05)
+            rows += [(1000 + 200 * q + 100 * group + i, far) for i in range(60)]
+        rows += [(100_000 + q + i, near(q, 1.0)) for i in range(1, 7)]
+    vectors = op.usable(spark.createDataFrame([(i, v, 0.5, 1) for i, v in rows], "vec_id long, embedding array<double>, score double, v int"))
+    got = {}
+    for r in op.nearest(vectors, vectors.where(f"vec_id in ({', '.join(map(str, ids))})"), shortlist=40, books=2).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    want = brute(rows, ids)
+    hit = sum(len({v for _, v in got[q]} & {v for v, _ in want[q]}) for q in want)
+    assert hit == 40, hit
+
+
+def test_shortlist_grows_with_the_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(300, 8)).tolist())]
+    vectors = op.usable(spark.createDataFrame([(i, v, 0.5, 1) for i, v in rows], "vec_id long, embedding array<double>, score double, v int"))
+    queries = vectors.where("vec_id % 50 = 0")
+    got = {}
+    for r in op.nearest(vectors, queries, shortlist=1, books=1, share=1.0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    want = brute(rows, [0, 50, 100, 150, 200, 250])
+    assert {q: [v for _, v in sorted(f)] for q, f in got.items()} == {q: [v for v, _ in w] for q, w in want.items()}
