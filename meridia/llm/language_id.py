@@ -12,8 +12,9 @@ of log-probabilities for each, and one of contexts with back-off weights; look-u
 searches, and a text looks up each of its distinct n-grams once.
 
 How it scales. N-grams of all training texts are counted: by sorting in each task, then by one
-aggregation. What reaches the driver and is broadcast is bounded: at most ``max_ngrams`` for each
-language, the most frequent first, whatever the input. Scoring needs no exchange.
+aggregation, and all are kept: discounts, totals and continuation counts are those of the whole
+input. The model reaches the driver and is broadcast, so it grows with the number of distinct
+n-grams, and the driver's memory bounds it. Scoring needs no exchange.
 
 Edge cases. Null texts and texts without letters are ``und`` with score 0. Null ids are never
 learned from nor held out. Null languages are never learned. Without any training text all
@@ -28,14 +29,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.llm import _shared as sh
 from meridia.llm import _tokens as tk
 
 ORDER = 4
-MAX_NGRAMS = 400_000
 CALIBRATION_TEXTS = 1_500
 REJECT_QUANTILE = 0.999
 UND = "und"
@@ -238,25 +238,27 @@ class Model:
         return self.langs[j], float(self.posterior(e)[j]), float(e[j]), over
 
 
-def ngram_counts(docs: DataFrame, order: int = ORDER, max_ngrams: int = MAX_NGRAMS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Counts over all rows of (lang, text); at most max_ngrams for each language reach the driver."""
+def ngram_counts(docs: DataFrame, order: int = ORDER) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Counts of all n-grams over all rows of (lang, text)."""
     rows = docs.select("lang", "text").mapInArrow(count_rows(order), "lang string, gram long, n long")
     total = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    got = total.withColumn("rank", rank).where(F.col("rank") <= max_ngrams).select("lang", "gram", "n").toArrow().to_pandas()
+    got = total.toArrow().to_pandas()
     return {k: (g["gram"].to_numpy().view(np.uint64), g["n"].to_numpy()) for k, g in got.groupby("lang")}
 
 
-def fit(train: DataFrame, order: int = ORDER, max_ngrams: int = MAX_NGRAMS, calibration_texts: int = CALIBRATION_TEXTS) -> Model:
+def fit(train: DataFrame, order: int = ORDER, calibration_texts: int = CALIBRATION_TEXTS) -> Model:
     """A calibrated model of (doc_id, lang, text) rows.
 
-    A bounded sample, the calibration_texts rows whose id hashes lowest among a sixteenth, is left
-    out of the counts and fits the temperature and the rejection bounds.
+    A bounded sample, the calibration_texts rows whose id hashes lowest among a sixteenth, fits the
+    temperature and the rejection bounds. Only rows with its ids are left out of the counts.
     """
     train = train.where("lang is not null and text is not null and doc_id is not null")
     aside = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(16)) == 0
-    model = Model.fit(ngram_counts(train.where(~aside), order, max_ngrams), order)
-    sample = sh.sample(train.where(aside).select("lang", "text", "doc_id"), calibration_texts, "doc_id", "lang").select("lang", "text")
+    sample = sh.sample(train.where(aside).select("lang", "text", "doc_id"), calibration_texts, "doc_id", "lang")
+    # At most calibration_texts ids, so they may be broadcast.
+    held = F.broadcast(sample.select("doc_id").distinct())
+    model = Model.fit(ngram_counts(train.join(held, "doc_id", "left_anti"), order), order)
+    sample = sample.select("lang", "text")
     ent, truth = [], []
     shared = train.sparkSession.sparkContext.broadcast(model)
 

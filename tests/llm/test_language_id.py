@@ -44,3 +44,22 @@ def test_edge_cases(spark):
     empty = op.fit(docs.limit(0))
     assert {r.lang_pred for r in op.predict(docs, empty).collect()} == {"und"}
     assert op.predict(docs.limit(0), model).count() == 0
+
+
+def test_all_ngrams_are_kept(spark):
+    rng = np.random.default_rng(1)
+    # More distinct n-grams than 400,000, almost all of them once.
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 50_000))) for _ in range(9)]
+    want, n = np.unique(np.concatenate([op.ngrams(op.symbols(t), op.ORDER) for t in texts]), return_counts=True)
+    docs = spark.createDataFrame([("x", t) for t in texts], "lang string, text string")
+    grams, counts = op.ngram_counts(docs)["x"]
+    sort = np.argsort(grams)
+    assert len(want) > 400_000 and (grams[sort] == want).all() and (counts[sort] == n).all()
+
+
+def test_only_the_calibration_rows_are_left_out(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "abc def", "x") for i in range(400)], "doc_id long, text string, lang string")
+    seen, real = [], op.ngram_counts
+    monkeypatch.setattr(op, "ngram_counts", lambda rows, *more: seen.append(rows.count()) or real(rows, *more))
+    op.fit(docs, calibration_texts=3)
+    assert seen == [397]
