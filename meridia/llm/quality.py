@@ -9,8 +9,9 @@ network of two layers in numpy scores it, and a temperature fitted on left-out s
 the score a probability.
 
 How it scales. The classifier is fitted on a bounded sample: at most ``sample_rows`` labelled
-documents, those whose id hashes lowest, and of them at most ``sample_bytes`` of text, whole
-documents each. Scoring is a map over whole texts with the model broadcast; its size depends on
+documents, those whose id hashes lowest, and of them, in the same order, whole documents until the
+next would exceed ``sample_bytes`` of text; rows after that are left out, whatever their length. The
+first document is taken even if it alone is larger. Scoring is a map over whole texts with the model broadcast; its size depends on
 the parameters alone.
 
 Edge cases. Null and empty texts score as texts without tokens. Null labels and null ids aren't
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from meridia.llm import _shared as sh
 from meridia.llm import _tokens as tk
 
-SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 20_000_000
+SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 40_000_000
 BUCKETS, DIM, NONZERO, HIDDEN = 1 << 15, 32, 4, 24
 SHAPES = 1 << 8
 EPOCHS, RATE = 60, 0.01
@@ -189,15 +190,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     chosen = rows.orderBy(order, "doc_id", "quality").limit(sample_rows)
     # At most sample_rows pairs of numbers: bounded, so it may be broadcast.
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    sizes = joined.select("doc_id", "quality", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).collect()
-    sizes.sort(key=lambda r: (r.size, r.doc_id))
-    have, limit = 0, -1
+    # Rows in the order of their ids' hashes; equal rows have one key.
+    size, text_hash = F.coalesce(F.octet_length("text"), F.lit(0)), F.xxhash64("text")
+    sizes = joined.select(order.alias("h"), "doc_id", "quality", size.alias("size"), text_hash.alias("t")).collect()
+    sizes.sort(key=lambda r: (r.h, r.doc_id, r.quality, r.t))
+    have, taken, last = 0, 0, None
     for r in sizes:
         have += r.size
-        if have > sample_bytes:
+        if have > sample_bytes and last is not None:
             break
-        limit = r.size
-    got = joined.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= limit).select("doc_id", "quality", "text").collect()
+        taken, last = taken + 1, r
+    if last is None:
+        return train([], np.empty(0, int))
+    key, end = (order, F.col("doc_id"), F.col("quality"), text_hash), (last.h, last.doc_id, last.quality, last.t)
+    got = joined.where(F.struct(*key) <= F.struct(*(F.lit(x).cast(t) for x, t in zip(end, ("long", "long", joined.schema["quality"].dataType, "long"), strict=True)))).select(order.alias("h"), "doc_id", "quality", "text", text_hash.alias("t")).collect()
+    got = sorted(got, key=lambda r: (r.h, r.doc_id, r.quality, r.t))[:taken]
     got.sort(key=lambda r: (r.doc_id, r.quality, r.text or ""))
     return train([r.text or "" for r in got], np.array([int(r.quality > 0) for r in got], int))
 

@@ -43,3 +43,16 @@ def test_edge_cases(spark):
         assert len(got) == 5 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     assert op.score(docs.limit(0), op.fit(docs, labels), "doc_id").count() == 0
     assert op.accepted(docs, labels).columns == docs.columns
+
+
+def test_the_byte_bound_takes_rows_of_any_length(spark, monkeypatch):
+    rows = [(i, ("long " if i % 2 else "short ") * (400 if i % 2 else 4), i // 2 % 2) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(op, "train", lambda texts, labels: seen.append(texts))
+    op.fit(docs, labels, sample_bytes=60_000)
+    assert 45_000 < sum(map(len, seen[0])) <= 60_000
+    assert 0.3 < sum(len(t) > 100 for t in seen[0]) / len(seen[0]) < 0.7
+    op.fit(docs.where("doc_id = 1"), labels, sample_bytes=10)
+    assert len(seen[1]) == 1
