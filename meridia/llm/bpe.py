@@ -2,8 +2,8 @@
 
 The vocabulary file is one of the public tokenizers library's: NFC, white space, lower case, a
 split into letters, digits and the rest, bytes as characters, merges by rank, a word-end suffix.
-White space ends every piece, so a text is the sequence of its white-space-free chunks; each
-chunk's ids are kept in a bounded cache.
+A text is the sequence of its pieces, and a piece's ids are kept in a bounded cache. The pieces of
+a batch that the cache lacks are merged together over flat arrays, one merge for each in a round.
 
 Long unsplit pieces. A piece of more than ``leaf`` bytes is cut into leaves, which are encoded in
 parallel as rows of their own, and joined pairwise, level by level. At a join a window of tokens
@@ -12,7 +12,9 @@ last the right side's there. BPE output is valid exactly when each pair of adjac
 by that agreement every pair is one of a valid encoding, so the result is that of the whole piece.
 
 Edge cases. Null and empty text have no tokens. Strings of special tokens become those tokens.
-Texts are never cut.
+Texts are never cut, however long. Repeated rows stay, each with its tokens; null ids stay null; no
+order matters, so there are no ties. An empty table gives an empty one. Columns other than doc_id
+and text aren't read, so none can clash.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -35,12 +38,14 @@ from meridia.llm import _shared as sh
 LEAF = 4096
 #: Texts with a chunk this long go the parallel way.
 LONG_CHUNK = 65536
-CACHE = 60_000
+#: Entries of a generation of a cache; there are two.
+CACHE = 100_000
+#: Pieces of at most so many bytes are merged together, longer ones by a queue of their own.
+SHORT_PIECE = 64
 VOCABULARY = "word_bpe_49k.json"
 
 SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: What str.split() takes for white space and the vocabulary's pattern doesn't.
-ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -61,6 +66,26 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+class Cache:
+    """A dict of two generations: what isn't asked for while one fills up is forgotten."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file."""
 
@@ -81,9 +106,15 @@ class Bpe:
             a, b = m.split(" ") if isinstance(m, str) else m
             self.merges[(vocab[a], vocab[b])] = (rank, new := vocab[a + b])
             self.symbols.setdefault(new, self.symbols[vocab[a]] + self.symbols[vocab[b]])
-        self.limit = cache
-        self.chunks: dict[str, tuple[bytes, str]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.width = max(self.names) + 1
+        codes = np.array([a * self.width + b for a, b in self.merges], np.int64)
+        order = np.argsort(codes)
+        self.codes = np.r_[codes[order], np.iinfo(np.int64).max]
+        both = np.array(list(self.merges.values()), np.int64).reshape(-1, 2)[order]
+        self.none = len(self.merges)
+        self.ranks, self.made = np.r_[both[:, 0], self.none], np.r_[both[:, 1], 0]
+        self.byte_inner, self.byte_final = np.array(self.inner, np.int64), np.array(self.final, np.int64)
+        self.pieces = Cache(cache)
 
     def base(self, piece: bytes, final: bool = True) -> list[int]:
         """A piece's bytes as symbols; the last of a whole piece ends the word."""
@@ -154,58 +185,115 @@ class Bpe:
             parts = [self.join(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0] if parts else []
 
+    def looked_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Where codes has the pairs; the last place stands for none."""
+        code = left * self.width + right
+        at = np.searchsorted(self.codes, code)
+        return np.where(self.codes[at] == code, at, self.none)
+
+    def merge_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of many short pieces: in each round the first pair of least rank of every piece merges."""
+        if not pieces:
+            return []
+        size = np.array([len(p) for p in pieces], np.int64)
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        last = np.cumsum(size) - 1
+        sym = self.byte_inner[data]
+        sym[last] = self.byte_final[data[last]]
+        owner = np.repeat(np.arange(len(pieces)), size)
+        out: list[list[int]] = [[]] * len(pieces)
+        at = np.full(len(sym), self.none)
+        at[:-1] = self.looked_up(sym[:-1], sym[1:])
+        at[last] = self.none
+        while len(sym):
+            start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            size = np.diff(np.r_[start, len(owner)])
+            rank = self.ranks[at]
+            least = np.minimum.reduceat(rank, start)
+            over = least == self.none
+            if over.any():
+                ended = np.repeat(over, size)
+                flat, cut = sym[ended].tolist(), np.r_[0, np.cumsum(size[over])].tolist()
+                for k, p in enumerate(owner[start[over]].tolist()):
+                    out[p] = flat[cut[k] : cut[k + 1]]
+                go = ~ended
+                sym, owner, at, rank = sym[go], owner[go], at[go], rank[go]
+                size, least = size[~over], least[~over]
+                if not len(sym):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(least, size))
+            hit = hit[np.r_[True, owner[hit[1:]] != owner[hit[:-1]]]]
+            sym[hit] = self.made[at[hit]]
+            keep = np.ones(len(sym), bool)
+            keep[hit + 1] = False
+            hit -= np.arange(len(hit))
+            sym, owner, at = sym[keep], owner[keep], at[keep]
+            for i in (hit, hit[hit > 0] - 1):
+                j = np.minimum(i + 1, len(sym) - 1)
+                same = (owner[i] == owner[j]) & (i < j)
+                at[i] = np.where(same, self.looked_up(sym[i], sym[j]), self.none)
+        return out
+
     def piece(self, piece: str, leaf: int = LEAF) -> list[int]:
-        got = self.pieces.get(piece)
-        if got is None:
-            raw = piece.encode()
-            if len(raw) > leaf:
-                return self.tree([self.merge(s) for s in self.leaves(raw, leaf)])
-            got = self.merge(self.base(raw))
-            if len(self.pieces) >= self.limit:
-                self.pieces.clear()
-            self.pieces[piece] = got
-        return got
+        raw = piece.encode()
+        if len(raw) > leaf:
+            return self.tree([self.merge(s) for s in self.leaves(raw, leaf)])
+        return self.merge(self.base(raw))
 
     def leaves(self, raw: bytes, leaf: int) -> list[list[int]]:
         whole = self.base(raw)
         return [whole[i : i + leaf] for i in range(0, len(whole), leaf)]
 
-    def split(self, chunk: str) -> list[str]:
-        """The pieces of a chunk without white space."""
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk)
-            chunk = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
-        else:
-            chunk = chunk.lower()
-        return PIECE.findall(chunk)
-
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text) of a chunk."""
-        ids = [i for p in self.split(chunk) for i in self.piece(p)]
-        got = np.asarray(ids, "<u4").tobytes(), " ".join([self.names[i] for i in ids])
-        if len(chunk) <= 256:
-            if len(self.chunks) >= self.limit:
-                self.chunks.clear()
-            self.chunks[chunk] = got
-        return got
+    def normal(self, text: str) -> str:
+        """text in NFC and lower case, character by character."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            if "Σ" in text:
+                return "".join(c.lower() for c in text)
+        return text.lower()
+
+    def split(self, text: str) -> list[str]:
+        """The pieces of a text."""
+        return ASCII_PIECE.findall(text.lower()) if text.isascii() else PIECE.findall(self.normal(text))
+
+    def learn(self, pieces: list[str]) -> list[tuple[bytes, str]]:
+        """(ids as little-endian unsigned 32-bit integers, decoded text) of distinct pieces."""
+        names, put = self.names, self.pieces.put
+        short = [p for p in pieces if len(p) <= SHORT_PIECE // 4]
+        found = dict(zip(short, self.merge_all([p.encode() for p in short]), strict=True))
+        out = []
+        for p in pieces:
+            ids = found[p] if len(p) <= SHORT_PIECE // 4 else self.piece(p)
+            out.append((struct.pack(f"<{len(ids)}I", *ids), names[ids[0]] if len(ids) == 1 else " ".join([names[i] for i in ids])))
+            if len(p) <= SHORT_PIECE:
+                put(p, out[-1])
+        return out
+
+    def texts(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """(ids, decoded text) of whole texts; pieces that aren't known are learned together."""
+        rows: list[list] = []
+        for text in texts:
+            if not text:
+                rows.append([])
+            elif "<|" in text and self.cut and self.cut.search(text):
+                rows.append([x for s in self.cut.split(text) for x in ([self.special[s]] if s in self.special else self.split(s))])
+            else:
+                rows.append(self.split(text))
+        get, ids, decoded = self.pieces.get, {}, {}
+        new = []
+        for p in set().union(*rows):
+            got = (struct.pack("<I", p), self.names[p]) if isinstance(p, int) else get(p)
+            if got is None:
+                new.append(p)
+            else:
+                ids[p], decoded[p] = got
+        for p, got in zip(new, self.learn(new), strict=True):
+            ids[p], decoded[p] = got
+        return [(b"".join([ids[p] for p in row]), " ".join([decoded[p] for p in row])) for row in rows]
 
     def text(self, text: str | None) -> tuple[bytes, str]:
         """(ids, decoded text) of a whole text."""
-        if not text:
-            return b"", ""
-        if "<|" in text and self.cut and self.cut.search(text):
-            parts = []
-            for s in self.cut.split(text):
-                if s in self.special:
-                    parts.append((np.asarray([self.special[s]], "<u4").tobytes(), s))
-                elif s:
-                    parts.append(self.text(s))
-            parts = [p for p in parts if p[0]]
-        else:
-            chunks = text.split() if not ODD_SPACE.search(text) else [x for x in SPACE.split(text) if x]
-            get, new = self.chunks.get, self.chunk
-            parts = [get(c) or new(c) for c in chunks]
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        return self.texts([text])[0]
 
     def decode(self, ids: bytes) -> str:
         names = self.names
@@ -231,7 +319,7 @@ def encode_rows(path: str | None):
         for batch in batches:
             texts = batch.column(0)
             for i in range(0, len(batch), 500):
-                got = [bpe.text(t) for t in texts.slice(i, 500).to_pylist()]
+                got = bpe.texts(texts.slice(i, 500).to_pylist())
                 rest = batch.slice(i, 500)
                 yield pa.RecordBatch.from_arrays(
                     [*rest.columns[1:], pa.array([len(g[0]) // 4 for g in got], pa.int64()), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string())],
@@ -261,7 +349,7 @@ def leaf_rows(path: str | None, leaf: int):
                             piece += 1
                 if rows:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
+                        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
                         names=["rk", "seq", "piece", "special", "symbols"],
                     )
 
@@ -293,9 +381,9 @@ def _encode_long(docs: DataFrame, path: str | None, leaf: int) -> DataFrame:
         raw = np.asarray(out, "<u4").tobytes()
         return pd.DataFrame({"rk": [part["rk"].iloc[0]], "n_tokens": [len(out)], "ids": [raw], "decoded": [bpe.decode(raw)]})
 
-    rows = docs.select("text", "rk").distinct().mapInArrow(leaf_rows(path, leaf), "rk long, seq long, piece long, special long, symbols binary")
-    rows = rows.repartition("rk", F.floor(F.col("seq") / 8)).mapInArrow(merge_rows(path), "rk long, seq long, piece long, special long, ids binary")
-    return rows.groupBy("rk").applyInPandas(concat, "rk long, n_tokens long, ids binary, decoded string")
+    rows = docs.select("text", "rk").distinct().mapInArrow(leaf_rows(path, leaf), "rk binary, seq long, piece long, special long, symbols binary")
+    rows = rows.repartition("rk", F.floor(F.col("seq") / 8)).mapInArrow(merge_rows(path), "rk binary, seq long, piece long, special long, ids binary")
+    return rows.groupBy("rk").applyInPandas(concat, "rk binary, n_tokens long, ids binary, decoded string")
 
 
 def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, long_chunk: int = LONG_CHUNK) -> DataFrame:
@@ -324,5 +412,6 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
 
 def op8_bpe(spark, sf_dir) -> DataFrame:
     """Contract query: digests of the ids and of the decoded text of each whole document."""
+    sh.small_batches(spark)
     out = encode(sh.documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
