@@ -13,12 +13,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str | None] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, as in tests, a folder of its own."""
+    """spark.checkpoint.dir; where that is unset, a folder of its own, on a single machine only."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
-        have = tempfile.mkdtemp(prefix="meridia-")
-        spark.conf.set("spark.checkpoint.dir", have)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        have = _own.get("folder") or tempfile.mkdtemp(prefix="meridia-")
+        _own["folder"] = have
     return have.rstrip("/")
 
 
@@ -30,13 +35,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Remove a written table whose rows no later plan needs."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def drop_written(*frames: DataFrame) -> None:
+    """Remove written tables whose rows no later plan needs."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -73,8 +78,23 @@ def sample(df: DataFrame, n: int, *key: str) -> DataFrame:
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A 64-bit key of a row: equal rows share it, and nulls have one."""
-    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit("")))
+    """A 128-bit binary key of id and text: equal rows share it; null and empty text differ."""
+    parts = (F.col(id_col).isNull(), F.col(id_col).cast("string"), F.col(text_col).isNull(), F.col(text_col))
+    digits = [F.lpad(F.hex(F.xxhash64(*salt, *parts)), 16, "0") for salt in ((), (F.lit("row"),))]
+    return F.unhex(F.concat(*digits))
+
+
+def short_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A 64-bit key of id and text, where tasks hold many keys as numbers."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("string"), F.col(text_col).isNull(), F.col(text_col))
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores after it until no column is called so."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def crc_mod(id_col: str, n: int) -> Column:

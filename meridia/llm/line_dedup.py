@@ -14,8 +14,9 @@ rest only. Joins on a hot line can be split by adaptive execution; the texts are
 by row key, against the removed line numbers of each document.
 
 Edge cases. Null text stays null and has no lines; null sites don't count; null ids come after
-all others. Rows sharing an id that is a line's first each keep it. Empty tables give no rows,
-further columns are carried along.
+all others. Rows sharing an id that is a line's first each keep it. A very long text is one row, its
+lines an array of it. Empty tables give no rows, further columns are carried along; where one is
+called as a count is, the count's name gets underscores after it.
 """
 
 from __future__ import annotations
@@ -67,8 +68,14 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MAR
     return spread.where(F.col("estimate") > high).select(*key, "first").unionByName(exact)
 
 
+def counts_of(docs: DataFrame) -> tuple[str, str]:
+    """Names of the two counts that line_dedup adds to docs."""
+    return sh.fresh("_n_lines", docs.columns), sh.fresh("_n_removed", docs.columns)
+
+
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, site_col: str = "source") -> DataFrame:
-    """docs with text cut, and _n_lines (not blank) and _n_removed."""
+    """docs with text cut, and _n_lines (not blank) and _n_removed (or sh.fresh names of them)."""
+    n_lines, n_removed = counts_of(docs)
     key = ["h1", "h2"]
     bad = boilerplate(docs, min_sites, margin, site_col)
     gone = (
@@ -81,7 +88,7 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARG
         .agg(F.flatten(F.collect_list("at")).alias("gone"))
         .where(F.size("gone") > 0)
     )
-    base = docs.select(sh.row_key().alias("rk"), F.col("text"), F.struct(*docs.columns).alias("row"))
+    base = docs.select(sh.row_key().alias("rk"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     base = base.select("rk", "row")
     full = base.join(gone.hint("shuffle_hash"), "rk", "left").select("row", "gone")
     text = F.col("row.text")
@@ -89,8 +96,8 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARG
     kept = F.filter(split, lambda x, i: ~F.array_contains(F.col("gone"), i))
     full = full.select(
         *[F.col(f"row.`{c}`").alias(c) if c != "text" else F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text") for c in docs.columns],
-        F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.filter(split, lambda x: F.trim(x) != ""))).cast("long").alias("_n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_n_removed"),
+        F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.filter(split, lambda x: F.trim(x) != ""))).cast("long").alias(n_lines),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(n_removed),
     )
     return full
 

@@ -16,13 +16,19 @@ Classes are the connected components of verified links. Copies are collapsed bef
 In a bucket of candidates pairs are tested star by star: leaders, those with most neighbours in
 buckets first, against all members of other components; a leader then retires, so each pair of a
 bucket is tested or already in one component. The number of leaders grows each round, and buckets
-of at most ``ALL_PAIRS`` texts are tested at once. From the second round on, a text's shingles that
-a text of another component has are counted, and a pair is tested only if both have enough of them
-for the similarity: an exact bound, which spares the scattered members of a large group. Nothing is
-capped: rounds go on until no pair is left. Links, components and buckets stay in DataFrames; each round's result is a written table.
-
-Edge cases. Null text and text without words are in classes of their own rows (equal texts without
-words still share one). Null ids take part; a class has its smallest id that isn't null.
+of at most ``ALL_PAIRS`` texts are tested at once. Two exact bounds spare the scattered members of a
+large group. A text carries a parity sketch, ``PARITY`` bits that each labelled shingle flips one of:
+bits that differ are at most the shingles that only one text has, so a pair is dropped in the join
+when too many differ. And from the second round on, a text's shingles that a text of another
+component has are counted; one with too few of them takes part no more. Nothing is capped: rounds go
+on until no pair is left. Links, components and buckets stay in DataFrames; each round's result is a
+written table, removed when no later round needs it.
+
+Edge cases. Null text and text without words are in classes of their own rows (equal rows without
+words still share one). Null ids take part; a class has its smallest id that isn't null. Very long
+texts are whole sequences, one at a time in memory. Of rows with equal id and text the one whose
+other columns hash lowest stays. Ties in rank go to the smaller id, then the smaller hash. An empty
+table gives an empty one; further columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
@@ -41,6 +47,8 @@ from meridia.llm import _tokens as tk
 K, SIMILARITY = 5, 0.8
 BANDS, ROWS, PICK = 16, 2, 2
 ALL_PAIRS, LEADERS = 8, 1
+PARITY = 512
+WORDS = [f"p{i}" for i in range(PARITY // 64)]
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,8 +99,15 @@ def band_keys(labelled: np.ndarray, owner: np.ndarray, docs: int, bands: int, ro
     return out
 
 
+def parity(labelled: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
+    """docs x PARITY / 64 words: each labelled shingle flips one bit."""
+    bit = (tk.mix(labelled ^ tk.U64(0x5851F42D4C957F2D)) % tk.U64(PARITY)).astype(np.int64)
+    odd = np.bincount(owner * PARITY + bit, minlength=docs * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(docs, PARITY), axis=1, bitorder="little").view("<i8")
+
+
 def sketch_rows(k: int, bands: int, rows: int, pick: int):
-    """Arrow batches (doc_id, rk, text) to (doc_id, rk, sig, n, keys)."""
+    """Arrow batches (doc_id, rk, text) to (doc_id, rk, sig, n, keys, parity words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,9 +123,16 @@ def sketch_rows(k: int, bands: int, rows: int, pick: int):
                 full = np.where(n > 0, bands, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(full)].astype(np.int32)), pa.array(keys.reshape(docs, bands)[n > 0].ravel()))
                 raw = sig.astype(">u8").tobytes()
+                bits = parity(labelled, owner, docs)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, docs), batch.column("rk").slice(i, docs), pa.array([raw[x : x + 16] for x in range(0, 16 * docs, 16)], pa.binary()), pa.array(n.astype(np.int64)), lists],
-                    names=["doc_id", "rk", "sig", "n", "keys"],
+                    [
+                        *(batch.column(c).slice(i, docs) for c in ("doc_id", "rk")),
+                        pa.array([raw[x : x + 16] for x in range(0, 16 * docs, 16)], pa.binary()),
+                        pa.array(n.astype(np.int64)),
+                        lists,
+                        *(pa.array(np.ascontiguousarray(bits[:, w])) for w in range(len(WORDS))),
+                    ],
+                    names=["doc_id", "rk", "sig", "n", "keys", *WORDS],
                 )
 
     return run
@@ -226,56 +248,76 @@ def _latest(rows: DataFrame, label: DataFrame | None) -> DataFrame:
     return nodes.join(label.select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("c"))
 
 
+def _pairs(ranked: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (a, b) of leaders and bucket members that the exact bounds allow."""
+    cols = ["node", "c", "n", "s", *WORDS]
+    a = ranked.where("leads").select("key", *[F.col(x).alias(f"a_{x}") for x in cols])
+    b = ranked.select("key", *[F.col(x).alias(f"b_{x}") for x in cols])
+    # An overlap of L needs L >= similarity (n + m) / (1 + similarity), and both sides to share as much;
+    # what only one side has, n + m - 2 L, is at least the number of differing parity bits.
+    both = F.col("a_n") + F.col("b_n")
+    enough = F.least("a_s", "b_s") * (1 + similarity) >= similarity * both
+    differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WORDS[1:]), F.bit_count(F.col(f"a_{WORDS[0]}").bitwiseXOR(F.col(f"b_{WORDS[0]}"))))
+    close = differ * (1 + similarity) <= (1 - similarity) * both
+    pairs = a.join(b, "key").where((F.col("a_c") != F.col("b_c")) & enough & close)
+    return pairs.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, pick: int = PICK) -> DataFrame:
     """doc_id, rk, class_id, class_size and stays of every row.
 
-    class_id is the smallest doc_id of the class; equal rows have equal rk, and stays marks those
-    that a class keeps.
+    class_id is the smallest doc_id of the class; rows of equal id and text have equal rk, and stays
+    marks those that a class keeps.
     """
     sh.small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("rk", sh.row_key())
-    sketches = base.select("doc_id", "rk", "text").mapInArrow(sh.frugal(sketch_rows(k, bands, rows, pick)), "doc_id long, rk long, sig binary, n long, keys array<long>")
+    words = ", ".join(f"{w} long" for w in WORDS)
+    sketches = base.select("doc_id", "rk", "text").mapInArrow(sh.frugal(sketch_rows(k, bands, rows, pick)), f"doc_id long, rk binary, sig binary, n long, keys array<long>, {words}")
     sketches = sh.written(sketches, "sketches")
     doc = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc")
-    nodes = sketches.where("n > 0").groupBy("sig").agg(F.min(F.struct(doc, "rk", "n", "keys")).alias("s")).select(F.col("sig").alias("node"), "s.*")
-    exploded = nodes.select("node", "doc", "n", "keys", F.posexplode("keys").alias("band", "key"))
+    nodes = sketches.where("n > 0").groupBy("sig").agg(F.min(F.struct(doc, "rk", "n", "keys", *WORDS)).alias("s")).select(F.col("sig").alias("node"), "s.*")
+    nodes = sh.written(nodes, "nodes")
+    exploded = nodes.select("node", F.explode("keys").alias("key")).distinct()
     shared_keys = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1")
-    buckets = exploded.join(shared_keys, "key")
-    buckets = sh.written(buckets, "buckets")
-    hub = buckets.groupBy("node").agg(F.sum("in_bucket").alias("hub"))
+    members = sh.written(exploded.join(shared_keys, "key"), "members")
+    hub = members.groupBy("node").agg(F.sum("in_bucket").alias("hub"))
     # Texts of candidates only, written once.
-    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "rk")
+    wanted = nodes.select("node", "rk").join(hub.select("node"), "node", "left_semi")
     texts = sh.written(base.select("rk", "text").join(wanted.hint("shuffle_hash"), "rk").dropDuplicates(["node"]).select("node", "text"), "texts")
-    buckets = sh.written(buckets.join(hub, "node").select("key", "band", "keys", "node", "doc", "n", "hub", F.col("n").alias("s")), "buckets")
-    links: DataFrame | None = None
+    carried = nodes.join(hub, "node").select("node", "doc", "n", "hub", F.col("n").alias("s"), *WORDS)
+    buckets = sh.written(members.select("key", "node").join(carried, "node").select("key", *carried.columns), "buckets")
+    sh.drop_written(nodes, members)
+    columns = buckets.columns
     label: DataFrame | None = None
     leaders = LEADERS
     while True:
         ranked = sh.written(_ranked(buckets, label, leaders, ALL_PAIRS), "ranked")
+        sh.drop_written(buckets)
         if not ranked.take(1):
             break
-        a = ranked.where("leads").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("s").alias("s_a"), F.col("keys").alias("k_a"), "band")
-        b = ranked.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), F.col("s").alias("s_b"), F.col("keys").alias("k_b"))
-        # An overlap of L needs L >= similarity (n + m) / (1 + similarity), and both sides to share as much.
-        enough = F.least("s_a", "s_b") * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b"))
-        # A pair that meets in several buckets is tested in that of its first common band only.
-        met = F.exists(F.zip_with(F.slice("k_a", F.lit(1), F.col("band")), F.slice("k_b", F.lit(1), F.col("band")), lambda x, y: x == y), lambda x: x)
-        pairs = a.join(b, "key").where((F.col("c_a") != F.col("c_b")) & enough & ~met)
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = sh.written(_pairs(ranked, similarity), "pairs")
         with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         new = sh.written(with_b.select("a", "b", "text_a", "text_b").mapInArrow(sh.frugal(verify_rows(k, similarity)), "a binary, b binary"), "links")
-        links = new if links is None else links.unionByName(new)
         if new.take(1):
+            before = label
+            old = [] if before is None else [before]
+            links = new if before is None else new.unionByName(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
             label = components(links)
-            links = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            sh.drop_written(*old)
+        sh.drop_written(new, pairs)
         rest = ranked.where(~F.col("leads"))
         if leaders == LEADERS and rest.take(1):
             counts = sh.written(_shared_counts(_latest(rest, label), texts, k), "shared-shingles")
-            rest = rest.drop("s").join(counts, "node")
-        buckets = sh.written(rest.select("key", "band", "keys", "node", "doc", "n", "hub", "s"), "buckets")
+            rest = rest.drop("s").join(counts, "node").where(F.col("s") >= similarity * F.col("n"))
+            buckets = sh.written(rest.select(*columns), "buckets")
+            sh.drop_written(counts)
+        else:
+            buckets = sh.written(rest.select(*columns), "buckets")
+        sh.drop_written(ranked)
         leaders *= 64
-    found = sketches.select("doc_id", "rk", F.when(F.col("n") > 0, F.col("sig")).otherwise(F.concat(F.lit("row").cast("binary"), F.col("rk").cast("string").cast("binary"))).alias("node"))
+    sh.drop_written(ranked, texts)
+    found = sketches.select("doc_id", "rk", F.when(F.col("n") > 0, F.col("sig")).otherwise(F.concat(F.lit("row").cast("binary"), F.col("rk"))).alias("node"))
     if label is not None:
         found = found.join(label, "node", "left").select("doc_id", "rk", F.coalesce("component", "node").alias("component"))
     else:
@@ -288,9 +330,10 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each class: the one of the smallest id, and one row of that id."""
     keep = near_duplicates(docs, **options).where("stays").select("rk").distinct()
-    base = docs.select(sh.row_key().alias("rk"), F.struct(*docs.columns).alias("row"))
-    kept = base.join(keep.hint("shuffle_hash"), "rk", "left_semi")
-    return kept.dropDuplicates(["rk"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    other = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    base = docs.select(sh.row_key().alias("rk"), F.xxhash64(*other, F.lit(0)).alias("tie"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = base.join(keep.hint("shuffle_hash"), "rk", "left_semi").groupBy("rk").agg(F.min_by("row", "tie").alias("row"))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op2_minhash_dedup(spark, sf_dir) -> DataFrame:

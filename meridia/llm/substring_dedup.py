@@ -218,7 +218,7 @@ def removals(docs: DataFrame, window: int = WINDOW, inner: int = INNER, keep_tex
     With keep_text false the kept text, which is as large as the input, is left out.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    base = base.withColumn("rk", sh.row_key())
+    base = base.withColumn("rk", sh.short_key())
     texts = base.join(_copies(base).hint("shuffle_hash"), "rk", "left").select("rk", "doc_id", "text", "copy")
     anchors = texts.where("copy is null").select("rk", "doc_id", "text").mapInArrow(anchor_rows(window, inner), "part long, known boolean, rk long, anchor long")
     by_anchor = Window.partitionBy("part", "known")
