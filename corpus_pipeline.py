@@ -22,8 +22,9 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without cross-site lines; those left without any line go, n_chars is renewed."""
     del spark, sf_dir
     out = line_dedup.line_dedup(docs)
-    emptied = (F.col("_n_removed") > 0) & (F.col("_n_removed") == F.col("_n_lines"))
-    return renewed(out.where(~emptied).drop("_n_lines", "_n_removed"))
+    n_lines, n_removed = line_dedup.counts_of(docs)
+    emptied = (F.col(n_removed) > 0) & (F.col(n_removed) == F.col(n_lines))
+    return renewed(out.where(~emptied).drop(n_lines, n_removed))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
