@@ -1,46 +1,67 @@
 """Main text of web pages by wrapper induction.
 
-A page is parsed into a tree of elements and text. For each host up to ``pages_per_host`` distinct
-pages (of the lowest hashes) are aligned pairwise with the first by simple tree matching, top down:
-children are matched in order so that the number of matched nodes is largest. A matched slot whose
-text is the same in the pages is constant; one whose text differs varies. A wrapper has the slots
-(paths of tags, classes and ids) where text varies, with their amounts, and the texts that are
-constant. The main content of a page is the element with most of the varying text: the smallest
-one whose paths hold at least ``share`` of it, never a menu, header, footer, sidebar, notice,
-advert, form, script, style or comment section. Pages of hosts with one known page, or that the
-wrapper doesn't fit, use an article or main element, or else the element of most text that isn't
-in links.
-
-Within the content, blocks are cut at block elements, white space becomes one space, and elements
-of the kinds above go. A block that is constant in all of ``constant_pages`` or more aligned pages
-goes too, as template. Nothing else is dropped.
-
-How it scales. The pages of a host that serve as samples are chosen with a limit before the
-exchange, so a host with a third of all pages sends few. Wrappers are small rows; pages are joined
-with them by host, and Spark broadcasts them only if their measured size is below its threshold.
-Alignment uses pages of at most ``max_nodes`` nodes; extraction has no such bound.
-
-Edge cases. Null or empty html has no text. Null or odd urls are hosts without a wrapper.
+A page is parsed into a tree of elements and text. Its *layout* is the path (tags and classes) of its
+densest element, so pages of one host that are built differently go apart. For each host and layout
+
+- the text of every node, with its path, is counted over all pages in Spark: what ``constant_share``
+  of the distinct pages hold, and ``constant_pages`` of them at least, is template;
+- ``pages_per_layout`` distinct pages (of the lowest hashes) are aligned with the first by simple tree
+  matching: children are matched in order so that the number of matched nodes is largest. A node
+  whose partner has the same text, or that is template, is constant; other text varies. The content
+  slot is the deepest path of a container with ``share`` of the varying text that isn't in links,
+  never a menu, header, footer, sidebar, notice, advert, form, script, style or comment section; if
+  an article or main element lies on the way to it, the outermost such element.
+
+The text of a page is that of all elements at the content slot of its layout, without template. Only
+a page whose layout has one known page, or that has nothing in the slot, uses its outermost article
+and main elements instead, or else its densest element. Within the content, blocks are cut at block
+elements, white space becomes one space, and elements of the kinds above go. Nothing else is dropped.
+
+Tree matching is exact and unbounded: equal shapes are weighed once, so its cost follows the number of
+distinct shapes; a pair of very long child lists is matched in halves, in memory linear in their length.
+The parser is linear: a tag that never ends is looked for once.
+
+How it scales. One pass parses every page and writes its blocks with their paths; what follows reads
+these. Counts combine before their exchange and are keyed by text, so a host with a third of all pages
+spreads. Aligned pages are chosen by a bound on their hash that follows from the layout's count, before
+any are ranked. Wrappers are small rows, joined by host and layout; Spark broadcasts them only if their
+measured size is below its threshold.
+
+Edge cases. Null or empty html has no text. Null or odd urls are hosts without a wrapper. Pages nested
+thousands deep and pages of any length are parsed whole, without recursion; below 512 levels elements
+become siblings, as browsers have it. Repeated rows each give
+their row, but count once in wrappers. Ties between slots go to the path that sorts last, between pages
+to the smaller hash. An empty table gives an empty one; further columns aren't read, so none can clash.
 """
 
 from __future__ import annotations
 
 import html as entities
-import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.llm import _shared as sh
 
-PAGES_PER_HOST, MAX_NODES, SHARE, CONSTANT_PAGES = 6, 600, 0.6, 4
+PAGES_PER_LAYOUT, SHARE, CONSTANT_PAGES, CONSTANT_SHARE = 6, 0.75, 4, 0.9
+#: Cells of a matching table; longer pairs of child lists are matched in halves.
+TABLE = 1 << 22
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+#: Elements nested deeper become siblings at that depth, as in browsers.
+DEPTH = 512
+
+MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">]++)*+)>""", re.S)
+#: A tag with a quote that never ends.
+LOOSE_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>")
+DIGITS = re.compile(r"\d+")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp svg math object select canvas".split())
@@ -61,17 +82,18 @@ OUT_NAME = re.compile(
     re.I,
 )
 SPACE = re.compile(r"\s+")
+CONTAINERS = frozenset("article main section div td body center root".split())
 
 
 class Node:
     """An element (children) or a stretch of text (tag '#'). out: left out of the content; soft: for its name only."""
 
-    __slots__ = ("tag", "name", "out", "soft", "children", "text", "size")
+    __slots__ = ("tag", "name", "out", "soft", "children", "text", "shape", "path")
 
     def __init__(self, tag: str, name: str = "", out: bool = False, text: str = "", soft: bool = False):
         self.tag, self.name, self.out, self.text, self.soft = tag, name, out, text, soft
         self.children: list[Node] = []
-        self.size = 1
+        self.shape, self.path = 0, ""
 
 
 def _element(tag: str, attributes: str) -> Node:
@@ -81,14 +103,18 @@ def _element(tag: str, attributes: str) -> Node:
     names = " ".join(x for x in (found.get("class", ""), found.get("id", "")) if x)
     soft = bool(names) and tag not in ("body", "html", "article", "main") and OUT_NAME.search(names) is not None
     out = tag in OUT_TAGS or found.get("role", "").lower() in OUT_ROLES or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("itemprop", "") == "comment"
-    return Node(tag, f"{tag}.{found['class'].split()[0]}" if found.get("class", "").split() else tag, out or soft, soft=soft and not out)
+    kind = DIGITS.sub("", (found.get("class", "").split() or [""])[0]).strip("-_")
+    return Node(tag, f"{tag}.{kind}" if kind else tag, out or soft, soft=soft and not out)
 
 
 def parse(page: str) -> Node:
     """The tree of a page; unclosed and stray tags are put right roughly as browsers do."""
     root = Node("root", "root")
+    root.path = "/root"
     stack, at, end = [root], 0, len(page)
-    doubtful: list[Node] = []
+    opened: Counter[str] = Counter()
+    paths: dict[tuple[str, str], str] = {}
+    doubtful = loose = False
 
     def text(s: str) -> None:
         if s and not s.isspace():
@@ -96,271 +122,346 @@ def parse(page: str) -> Node:
         elif s:
             stack[-1].children.append(Node("#", "#", text=" "))
 
+    def shut(i: int) -> None:
+        for n in stack[i:]:
+            opened[n.tag] -= 1
+        del stack[i:]
+
     while at < end:
-        m = TAG.search(page, at)
-        if m is None:
+        found = MARKUP.search(page, at)
+        if found is None:
             text(page[at:])
             break
-        text(page[at : m.start()])
+        here = found.start()
+        m = None if loose and page[here + 1] not in "!?" else TAG.match(page, here)
+        if m is None:
+            if page.startswith("</", here) and not page[here + 2 : here + 3].isalpha():
+                # Not a tag: a browser's comment, up to the next bracket.
+                text(page[at:here])
+                at = page.find(">", here) + 1 or end
+                continue
+            loose = True
+            m = LOOSE_TAG.match(page, here) if page.find(">", here) >= 0 else None
+            if m is None:
+                # No bracket follows: the tag never ends, and the page with it.
+                text(page[at:here])
+                break
+        text(page[at:here])
         at = m.end()
         if m[1] is None:
-            if page.startswith("<![CDATA[", m.start()):
-                text(page[m.start() + 9 : at - 3])
+            if page.startswith("<![CDATA[", here):
+                text(page[here + 9 : at - 3])
             continue
         tag = m[1].lower()
-        if page[m.start() + 1] == "/":
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "main", "body", "table", "td") and tag not in BLOCK:
-                    break
+        if page[here + 1] == "/":
+            if opened[tag] > 0:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        shut(i)
+                        break
+                    if stack[i].tag in ("article", "main", "body", "table", "td") and tag not in BLOCK:
+                        break
             continue
         if tag in RAW:
             if not m[2].rstrip().endswith("/") or tag not in ("svg", "math"):
                 close = CLOSERS[tag].search(page, at)
                 at = close.end() if close else end
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"] > 0:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    shut(i)
                     break
                 if stack[i].tag in BLOCK:
                     break
         if tag in IMPLIED:
-            shut, scope = IMPLIED[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in scope:
-                    break
-                if stack[i].tag in shut:
-                    del stack[i:]
-                    if tag in ("tr", "tbody", "thead", "tfoot"):
-                        continue
-                    break
+            closed, scope = IMPLIED[tag]
+            if any(opened[t] > 0 for t in closed):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag in scope:
+                        break
+                    if stack[i].tag in closed:
+                        shut(i)
+                        if tag in ("tr", "tbody", "thead", "tfoot"):
+                            continue
+                        break
         node = _element(tag, m[2]) if m[2] else Node(tag, tag, tag in OUT_TAGS)
-        if node.soft:
-            doubtful.append(node)
+        doubtful = doubtful or node.soft
+        if len(stack) >= DEPTH:
+            shut(DEPTH - 1)
+        step = (stack[-1].path, node.name)
+        node.path = paths.get(step) or paths.setdefault(step, "/".join(step))
         stack[-1].children.append(node)
         if tag not in VOID and not (m[2].endswith("/") and tag in ("path", "g")):
             stack.append(node)
+            opened[tag] += 1
     if doubtful:
-        whole = _letters(root)
-        for node in doubtful:
+        letters = _below(root, lambda n: len(n.text))
+        for node in _nodes(root):
             # A name like "with-sidebar" on the element that holds most of the page says little.
-            if 5 * _letters(node) > 2 * whole:
+            if node.soft and 5 * letters[id(node)] > 2 * letters[id(root)]:
                 node.out = False
     return root
 
 
-def _letters(node: Node) -> int:
-    total, todo = 0, [node]
-    while todo:
-        n = todo.pop()
-        total += len(n.text)
-        todo += n.children
-    return total
-
-
-def _measure(root: Node) -> int:
+def _nodes(root: Node) -> list[Node]:
+    """All nodes, parents before children."""
     order = [root]
     for n in order:
         order += n.children
+    return order
+
+
+def _below(root: Node, weight) -> dict[int, int]:
+    """The sum of weight at and below every node, by id."""
+    order = _nodes(root)
+    total = {}
     for n in reversed(order):
-        n.size = 1 + sum(c.size for c in n.children)
-    return root.size
+        total[id(n)] = weight(n) + sum(total[id(c)] for c in n.children)
+    return total
+
+
+class Matching:
+    """Simple tree matching of trees whose equal shapes (names without texts) share a number."""
+
+    def __init__(self) -> None:
+        self.shapes: dict[tuple, int] = {}
+        self.lists: list[list[int]] = []
+        self.names: list[str] = []
+        self.known: dict[tuple[int, int], int] = {}
+
+    def number(self, root: Node) -> None:
+        for n in reversed(_nodes(root)):
+            key = (n.name, *(c.shape for c in n.children))
+            if key not in self.shapes:
+                self.shapes[key] = len(self.lists)
+                self.lists.append([c.shape for c in n.children])
+                self.names.append(n.name)
+            n.shape = self.shapes[key]
+
+    def weight(self, x: int, y: int) -> int:
+        """Nodes of the largest matching of two shapes, roots matched; 0 if their names differ."""
+        todo = [(x, y)]
+        while todo:
+            a, b = todo[-1]
+            if (a, b) in self.known:
+                todo.pop()
+            elif self.names[a] != self.names[b]:
+                self.known[todo.pop()] = 0
+            else:
+                missing = [(c, d) for c in set(self.lists[a]) for d in set(self.lists[b]) if self.names[c] == self.names[d] and (c, d) not in self.known]
+                if missing:
+                    todo += missing
+                else:
+                    self.known[todo.pop()] = 1 + int(self.last_row(self.lists[a], self.lists[b])[-1])
+        return self.known[(x, y)]
+
+    def weights(self, xs: list[int], ys: list[int]) -> np.ndarray:
+        """Weights of each distinct shape of xs, in order of number, against every one of ys."""
+        ys_of, place = np.unique(np.array(ys, np.int64), return_inverse=True)
+        own = sorted(set(xs))
+        table = np.array([[self.known.get((x, y), 0) if self.names[x] == self.names[y] else 0 for y in ys_of.tolist()] for x in own], np.int64).reshape(len(own), len(ys_of))
+        return table[:, place]
+
+    def rows(self, xs: list[int], ys: list[int]) -> Iterator[np.ndarray]:
+        """Rows of the table of best sums of matched children, in order, one for each of xs."""
+        row = np.zeros(len(ys) + 1, np.int64)
+        yield row
+        if not xs or not ys:
+            yield from (row for _ in xs)
+            return
+        table, own = self.weights(xs, ys), {x: i for i, x in enumerate(sorted(set(xs)))}
+        for x in xs:
+            nxt = row.copy()
+            np.maximum(row[1:], row[:-1] + table[own[x]], out=nxt[1:])
+            row = np.maximum.accumulate(nxt)
+            yield row
+
+    def last_row(self, xs: list[int], ys: list[int]) -> np.ndarray:
+        row = np.zeros(len(ys) + 1, np.int64)
+        for row in self.rows(xs, ys):
+            pass
+        return row
+
+    def aligned(self, xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
+        """Places of the matched children."""
+        out, todo = [], [(0, len(xs), 0, len(ys))]
+        while todo:
+            i0, i1, j0, j1 = todo.pop()
+            n, m = i1 - i0, j1 - j0
+            if not n or not m:
+                continue
+            if n > 1 and n * m > TABLE:
+                half = (i0 + i1) // 2
+                up = self.last_row(xs[i0:half], ys[j0:j1])
+                down = self.last_row(xs[half:i1][::-1], ys[j0:j1][::-1])[::-1]
+                cut = j0 + int(np.argmax(up + down))
+                todo += [(i0, half, j0, cut), (half, i1, cut, j1)]
+                continue
+            table = np.stack(list(self.rows(xs[i0:i1], ys[j0:j1])))
+            while n and m:
+                if table[n, m] == table[n - 1, m]:
+                    n -= 1
+                elif table[n, m] == table[n, m - 1]:
+                    m -= 1
+                else:
+                    n, m = n - 1, m - 1
+                    out.append((i0 + n, j0 + m))
+        return out
+
+    def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """Matched nodes of two numbered trees."""
+        out, todo = [], [(a, b)] if a.name == b.name else []
+        if todo:
+            self.weight(a.shape, b.shape)
+        while todo:
+            x, y = todo.pop()
+            out.append((x, y))
+            todo += [(x.children[i], y.children[j]) for i, j in self.aligned(self.lists[x.shape], self.lists[y.shape])]
+        return out
 
 
 def matched(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Pairs of a simple tree matching: equal names, children in order, most nodes."""
-    memo: dict[tuple[int, int], int] = {}
-
-    def table(x: Node, y: Node) -> list[list[int]]:
-        rows = [[0] * (len(y.children) + 1)]
-        for c in x.children:
-            last, row = rows[-1], [0]
-            for j, d in enumerate(y.children):
-                row.append(max(row[j], last[j + 1], last[j] + weight(c, d)))
-            rows.append(row)
-        return rows
-
-    def weight(x: Node, y: Node) -> int:
-        if x.name != y.name:
-            return 0
-        key = (id(x), id(y))
-        if key not in memo:
-            memo[key] = 1 + (table(x, y)[-1][-1] if x.children and y.children else 0)
-        return memo[key]
-
-    pairs, todo = [], [(a, b)] if a.name == b.name else []
-    while todo:
-        x, y = todo.pop()
-        pairs.append((x, y))
-        if x.children and y.children:
-            rows = table(x, y)
-            i, j = len(x.children), len(y.children)
-            while i and j:
-                if rows[i][j] == rows[i - 1][j]:
-                    i -= 1
-                elif rows[i][j] == rows[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    todo.append((x.children[i], y.children[j]))
-    return pairs
+    matching = Matching()
+    matching.number(a)
+    matching.number(b)
+    return matching.pairs(a, b)
 
 
-def _paths(root: Node) -> dict[int, str]:
-    """Path of names of every element that isn't out, by id."""
-    out, todo = {}, [(root, "")]
-    while todo:
-        node, path = todo.pop()
-        here = f"{path}/{node.name}"
-        out[id(node)] = here
-        todo += [(c, here) for c in node.children if c.tag != "#" and not c.out]
-    return out
+def squeezed(text: str) -> str:
+    return SPACE.sub(" ", text).strip()
+
+
+def text_key(path: str, text: str) -> int:
+    """Spark's xxhash64 of a block's path and text."""
+    h = xxhash.xxh64_intdigest(text.encode(), xxhash.xxh64_intdigest(path.encode(), 42))
+    return h - (1 << 64) if h >> 63 else h
 
 
-def induce(pages: list[str], max_nodes: int = MAX_NODES, share: float = SHARE, constant_pages: int = CONSTANT_PAGES) -> dict:
-    """The wrapper of a host's distinct sample pages: content path and constant texts."""
-    trees = []
-    for p in pages:
-        tree = parse(p)
-        if _measure(tree) <= max_nodes:
-            trees.append(tree)
+def induce(pages: list[str], constant: frozenset[int] = frozenset(), share: float = SHARE) -> str | None:
+    """The content slot (a path) of distinct pages of one layout, whose template texts are known."""
+    trees = [parse(p) for p in pages]
     if len(trees) < 2:
-        return {}
+        return None
+    matching = Matching()
+    for tree in trees:
+        matching.number(tree)
     varying: Counter[str] = Counter()
-    same: Counter[str] = Counter()
     parents: dict[str, str] = {}
     first = trees[0]
-    paths = _paths(first)
     for other in trees[1:]:
-        kept = matched(first, other)
-        partner = {id(x): y for x, y in kept}
+        partner = {id(x): y for x, y in matching.pairs(first, other)}
         todo = [first]
         while todo:
             node = todo.pop()
+            here = node.path
             for c in node.children:
                 if c.tag == "#":
                     y = partner.get(id(c))
-                    here = paths.get(id(node))
-                    if here is None or c.text.isspace():
-                        continue
-                    if y is not None and y.text == c.text:
-                        same[SPACE.sub(" ", c.text).strip()] += 1
-                    else:
+                    same = y is not None and y.text == c.text or text_key(here, squeezed(c.text)) in constant
+                    if not same and not c.text.isspace():
                         varying[here] += len(c.text)
                 elif not c.out:
-                    parents[paths[id(c)]] = paths[id(node)]
-                    todo.append(c)
+                    parents[c.path] = here
+                    if c.tag != "a":
+                        todo.append(c)
     total = sum(varying.values())
     if not total:
-        return {}
-    # Text below each path, then the deepest path with the share.
+        return None
+    # Text below each path, then the deepest container with the share.
     below: Counter[str] = Counter()
     for path, n in varying.items():
         while path:
             below[path] += n
             path = parents.get(path, "")
-    block = [p for p, n in below.items() if n >= share * total and p.rpartition("/")[2].partition(".")[0] in ("article", "main", "section", "div", "td", "body")]
-    if not block:
-        return {}
-    content = max(block, key=lambda p: (p.count("/"), p))
-    constant = sorted(t for t, n in same.items() if n == len(trees) - 1) if len(trees) >= constant_pages else []
-    return {"content": content, "constant": constant}
+    fits = [p for p, n in below.items() if n >= share * total and _tag(p) in CONTAINERS]
+    if not fits:
+        return None
+    slot = max(fits, key=lambda p: (p.count("/"), p))
+    names = slot.split("/")
+    for i, name in enumerate(names):
+        if name.partition(".")[0] in ("article", "main"):
+            return "/".join(names[: i + 1])
+    return slot
 
 
-def blocks(node: Node, constant: frozenset[str] = frozenset()) -> list[str]:
-    """The blocks of text below a node, without what is out."""
-    out: list[str] = []
+def _tag(path: str) -> str:
+    return path.rpartition("/")[2].partition(".")[0]
+
+
+def blocks(root: Node, kept: frozenset[int] = frozenset()) -> list[tuple[str, str, bool]]:
+    """(path of the element that it begins in, text, whether that is in a kept element) of the blocks that aren't out."""
+    out: list[tuple[str, str, bool]] = []
     line: list[str] = []
+    where, blank = ("", False), True
 
     def flush() -> None:
-        s = SPACE.sub(" ", "".join(line)).strip()
+        s = squeezed("".join(line))
         line.clear()
-        if s and s not in constant:
-            out.append(s)
+        if s:
+            out.append((where[0], s, where[1]))
 
-    todo: list[Node | None] = [node]
+    todo: list[tuple[Node | None, str, bool]] = [(root, root.path, False)]
     while todo:
-        n = todo.pop()
+        n, here, within = todo.pop()
         if n is None:
             flush()
+            blank = True
         elif n.tag == "#":
+            if blank:
+                where, blank = (here, within), n.text.isspace()
             line.append(n.text)
         elif n.tag == "br":
             line.append(" ")
-        elif not n.out or n is node:
+        elif not n.out or n is root:
+            here, within = n.path, within or id(n) in kept
             if n.tag in BLOCK:
                 flush()
-                todo.append(None)
-            todo += reversed(n.children)
+                blank = True
+                todo.append((None, here, within))
+            todo += [(c, here, within) for c in reversed(n.children)]
     flush()
     return out
 
 
-def _find(root: Node, path: str) -> Node | None:
-    names = path.split("/")[2:]
-    node = root
-    for name in names:
-        # A path may occur more than once; the largest carries the content.
-        fits = [c for c in node.children if c.name == name and not c.out]
-        if not fits:
-            return None
-        node = fits[0] if len(fits) == 1 else max(fits, key=_measure)
-    return node
-
-
-def _weights(root: Node) -> tuple[Node | None, list[Node]]:
-    """(densest element, article and main elements)."""
-    marked, best, most = [], None, 0.0
-    order = [(root, 0)]
-    score: dict[int, list[float]] = {}
-    for node, up in order:
-        score[id(node)] = [0.0, 0.0]
-        if node.tag in ("article", "main"):
+def _density(root: Node) -> tuple[Node | None, list[Node]]:
+    """(densest container, outermost article and main elements): text in links counts against it."""
+    marked: list[Node] = []
+    order: list[tuple[Node, bool, bool]] = [(root, False, False)]
+    for node, linked, inner in order:
+        linked, main = linked or node.tag == "a", node.tag in ("article", "main")
+        if main and not inner:
             marked.append(node)
-        order += [(c, id(node)) for c in node.children if c.tag != "#" and not c.out]
-    parent = {id(n): up for n, up in order}
-    linked = set()
-    for node, up in order:
-        if node.tag == "a" or up in linked:
-            linked.add(id(node))
-        n = sum(len(c.text.strip()) for c in node.children if c.tag == "#")
-        at, factor = id(node), -1.0 if id(node) in linked else 1.0
-        depth = 0
-        while at:
-            score[at][0] += factor * n * (0.9**depth)
-            at = parent.get(at, 0)
-            depth += 1
-    for node, _ in order:
-        if node.tag in ("div", "section", "td", "body", "root", "center") and score[id(node)][0] > most:
-            best, most = node, score[id(node)][0]
+        order += [(c, linked, inner or main) for c in node.children if c.tag != "#" and not c.out]
+    score: dict[int, float] = {}
+    best, most = None, 0.0
+    for node, linked, _ in reversed(order):
+        own = sum(len(c.text.strip()) for c in node.children if c.tag == "#")
+        score[id(node)] = (-own if linked or node.tag == "a" else own) + 0.9 * sum(score.get(id(c), 0.0) for c in node.children)
+        if node.tag in CONTAINERS and score[id(node)] >= most and score[id(node)] > 0:
+            best, most = node, score[id(node)]
     return best, marked
 
 
-def extract(page: str | None, wrapper: dict | None = None) -> str:
-    """The main text of a page: blocks joined by an empty line."""
+def read(page: str | None) -> tuple[str, list[tuple[str, str, bool]]]:
+    """(layout, blocks with their paths and whether a page without wrapper keeps them)."""
     if not page:
-        return ""
+        return "", []
     root = parse(page)
-    constant = frozenset((wrapper or {}).get("constant", ()))
-    node = _find(root, wrapper["content"]) if wrapper and wrapper.get("content") else None
-    if node is not None:
-        # Inside a wider slot an article or main element is the content itself.
-        inner = [n for n in _weights(node)[1] if n is not node]
-        if inner:
-            node = max(inner, key=_measure)
-        got = blocks(node, constant)
-        if got:
-            return "\n\n".join(got)
-    best, marked = _weights(root)
-    if marked:
-        mains = [n for n in marked if blocks(n, constant)]
-        if mains:
-            return "\n\n".join(blocks(max(mains, key=_measure), constant))
-    return "\n\n".join(blocks(best, constant)) if best is not None else ""
+    best, marked = _density(root)
+    kept = frozenset(id(n) for n in marked)
+    found = blocks(root, kept)
+    if best is not None and not any(within for _, _, within in found):
+        found = blocks(root, frozenset([id(best)]))
+    return best.path if best is not None else "", found
+
+
+def extract(page: str | None, slot: str | None = None, constant: frozenset[int] = frozenset()) -> str:
+    """The main text of one page, as main_text has it: blocks joined by an empty line."""
+    found = read(page)[1]
+    inside = [] if slot is None else [t for p, t, _ in found if f"{p}/".startswith(f"{slot}/") and text_key(p, t) not in constant]
+    return "\n\n".join(inside or [t for _, t, within in found if within])
 
 
 def host() -> F.Column:
@@ -369,40 +470,68 @@ def host() -> F.Column:
     return F.when(h != "", h)
 
 
-def wrappers(pages: DataFrame, pages_per_host: int = PAGES_PER_HOST) -> DataFrame:
-    """host and wrapper (JSON) of each host with two distinct pages at least."""
-    rows = pages.select(host().alias("host"), F.col("html")).where("host is not null and html != ''").withColumn("h", F.xxhash64("html"))
-    rank = F.dense_rank().over(Window.partitionBy("host").orderBy("h"))
-    one = F.row_number().over(Window.partitionBy("host", "h").orderBy(F.length("html")))
-    some = rows.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", rank).where(F.col("rank") <= pages_per_host).select("host", "h")
-    some = sh.written(some, "sampled-pages")
-    sample = rows.join(some, ["host", "h"]).withColumn("one", one).where("one = 1").select("host", "h", "html")
+PAGE = "page_id long, url string, host string, rk long, page long, layout string, paths array<string>, texts array<string>, kept array<boolean>"
+
+
+def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (page_id, url, host, rk, page, html) to PAGE."""
+    for batch in batches:
+        layouts, lists = [], ([], [], [])
+        for page in batch.column(5):
+            layout, found = read(page.as_py())
+            layouts.append(layout)
+            for column, values in zip(lists, zip(*found, strict=True) if found else ((), (), ()), strict=True):
+                column.append(values)
+        types = (pa.string(), pa.string(), pa.bool_())
+        arrays = [pa.array(column, pa.list_(t)) for column, t in zip(lists, types, strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(layouts, pa.string()), *arrays], names=[f.split(" ")[0] for f in PAGE.split(", ")])
+
+
+def wrappers(pages: DataFrame, read_pages: DataFrame, per_layout: int = PAGES_PER_LAYOUT, share: float = SHARE, constant_pages: int = CONSTANT_PAGES, constant_share: float = CONSTANT_SHARE) -> DataFrame:
+    """host, layout, slot and constant (keys of template texts) of layouts with two distinct pages at least.
+
+    pages has rk and html, read_pages the rows of PAGE.
+    """
+    key = ["host", "layout"]
+    known = read_pages.where("host is not null and layout != ''")
+    distinct = known.groupBy(*key, "page").agg(F.min("rk").alias("rk"))
+    of_layout = distinct.groupBy(*key).agg(F.count(F.lit(1)).alias("pages")).where("pages > 1")
+    of_layout = sh.written(of_layout, "layouts")
+    texts = known.select(*key, "page", F.explode(F.array_distinct(F.zip_with("paths", "texts", lambda p, t: F.xxhash64(p, t)))).alias("text"))
+    counted = texts.groupBy(*key, "text").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= constant_pages)
+    constant = counted.join(of_layout, key).where(F.col("n") >= constant_share * F.col("pages")).groupBy(*key).agg(F.sort_array(F.collect_list("text")).alias("constant"))
+    constant = sh.written(of_layout.join(constant, key, "left"), "template")
+    # A bound on the hash leaves a few times as many pages as are ranked, however many the layout has.
+    space = 1 << 40
+    near = distinct.join(of_layout, key).where(F.pmod("page", F.lit(space)) < F.least(F.lit(1.0), 4.0 * per_layout / F.col("pages")) * space)
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.pmod("page", F.lit(space)), "page"))
+    chosen = sh.written(near.withColumn("rank", rank).where(F.col("rank") <= per_layout).select(*key, "rank", "rk"), "aligned-pages")
+    sample = pages.select("rk", "html").join(chosen, "rk").dropDuplicates([*key, "rank"]).join(constant.select(*key, "constant"), key)
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("h")
-        return pd.DataFrame({"host": [part["host"].iloc[0]], "wrapper": [json.dumps(induce(part["html"].tolist()))]})
+        part = part.sort_values("rank")
+        first = part.iloc[0]
+        template = frozenset(() if first["constant"] is None else (int(x) for x in first["constant"]))
+        return pd.DataFrame({"host": [first["host"]], "layout": [first["layout"]], "slot": [induce(part["html"].tolist(), template, share)]})
 
-    return sample.groupBy("host").applyInPandas(learn, "host string, wrapper string")
+    slots = sample.groupBy(*key).applyInPandas(learn, "host string, layout string, slot string")
+    return constant.join(slots.where("slot is not null"), key).select(*key, "slot", F.coalesce("constant", F.array().cast("array<long>")).alias("constant"))
 
 
-def main_text(pages: DataFrame, pages_per_host: int = PAGES_PER_HOST) -> DataFrame:
+def main_text(pages: DataFrame, per_layout: int = PAGES_PER_LAYOUT, share: float = SHARE) -> DataFrame:
     """page_id, url and text of every page."""
-    learned = sh.written(wrappers(pages, pages_per_host), "wrappers")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict] = {}
-        for batch in batches:
-            out = []
-            for page, wrapper in zip(batch.column("html"), batch.column("wrapper").to_pylist(), strict=True):
-                if wrapper is not None and wrapper not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    known[wrapper] = json.loads(wrapper)
-                out.append(extract(page.as_py(), known.get(wrapper)))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
-
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.col("html"), host().alias("host"))
-    return base.join(learned, "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string")
+    sh.small_batches(pages.sparkSession)
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    base = base.select("page_id", "url", host().alias("host"), F.xxhash64("page_id", "url", "html").alias("rk"), F.xxhash64("html").alias("page"), "html")
+    read_pages = sh.written(base.mapInArrow(sh.frugal(_read_rows), PAGE), "read-pages")
+    learned = sh.written(wrappers(base, read_pages, per_layout, share), "wrappers")
+    rows = read_pages.join(learned, ["host", "layout"], "left")
+    found = F.arrays_zip("paths", "texts", "kept")
+    inside = F.filter(found, lambda x: F.concat(x["paths"], F.lit("/")).startswith(F.concat("slot", F.lit("/"))) & ~F.array_contains("constant", F.xxhash64(x["paths"], x["texts"])))
+    plain = F.filter(found, lambda x: x["kept"])
+    rows = rows.select("page_id", "url", F.when(F.col("slot").isNotNull(), inside).alias("inside"), plain.alias("plain"))
+    chosen = F.when(F.size(F.coalesce("inside", F.array().cast(rows.schema["plain"].dataType))) > 0, F.col("inside")).otherwise(F.col("plain"))
+    return rows.select("page_id", "url", F.array_join(F.transform(chosen, lambda x: x["texts"]), "\n\n").alias("text"))
 
 
 def op9_html_extract(spark, sf_dir) -> DataFrame:
