@@ -16,9 +16,11 @@ aggregation, and all are kept: discounts, totals and continuation counts are tho
 input. The model reaches the driver and is broadcast, so it grows with the number of distinct
 n-grams, and the driver's memory bounds it. Scoring needs no exchange.
 
-Edge cases. Null texts and texts without letters are ``und`` with score 0. Null ids are never
-learned from nor held out. Null languages are never learned. Without any training text all
-predictions are ``und``.
+Edge cases. Null texts and texts without letters (emoji aren't letters) are ``und`` with score 0.
+Null ids are never learned from nor held out. Null languages are never learned. Without any training
+text all predictions are ``und``. Very long texts are whole, one at a time in memory. Repeated rows
+count and are predicted each. Equal cross-entropies go to the language that sorts first. An empty
+table gives an empty one; columns other than the id, text and language aren't read, so none can clash.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ _letters: list[np.ndarray] = []
 
 
 def letter_table() -> np.ndarray:
-    """Code point -> itself if a letter, else a blank; beyond the table all count as letters."""
+    """Code point -> itself if a letter, else a blank, up to 0xFFFF."""
     if not _letters:
         table = np.full(1 << 16, 0x20, np.uint32)
         for c in range(1 << 16):
@@ -63,8 +65,11 @@ def symbols(text: str | None) -> np.ndarray:
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     if len(points) and points.max() >= 1 << 16:
         low = letter_table()[np.minimum(points, (1 << 16) - 1)]
+        astral = np.unique(points[points >= 1 << 16])
+        letters = astral[[chr(c).isalpha() for c in astral.tolist()]]
         folded = (points ^ (points >> np.uint32(3))) & np.uint32(0xFFFF)
-        out = np.where(points < 1 << 16, low, np.where(folded == 0x20, 0x2FF, folded))
+        folded = np.where(np.isin(points, letters), np.where(folded == 0x20, 0x2FF, folded), 0x20)
+        out = np.where(points < 1 << 16, low, folded)
     else:
         out = letter_table()[points]
     blank = out == 0x20
@@ -240,6 +245,7 @@ class Model:
 
 def ngram_counts(docs: DataFrame, order: int = ORDER) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Counts of all n-grams over all rows of (lang, text)."""
+    sh.small_batches(docs.sparkSession)
     rows = docs.select("lang", "text").mapInArrow(count_rows(order), "lang string, gram long, n long")
     total = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = total.toArrow().to_pandas()
@@ -277,6 +283,7 @@ def fit(train: DataFrame, order: int = ORDER, calibration_texts: int = CALIBRATI
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score, cross_entropy and rejected of each text."""
+    sh.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

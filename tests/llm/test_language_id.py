@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import math
+import random
+from collections import Counter, defaultdict
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from meridia.llm import language_id as op
@@ -23,6 +28,7 @@ def test_probabilities_sum_to_one():
 def test_symbols():
     assert "".join(map(chr, op.symbols("Hi, 42 Yoü!").tolist())) == " hi yoü "
     assert len(op.symbols("123 !")) == 0 and len(op.symbols(None)) == 0 and len(op.symbols("𝒳")) == 3
+    assert len(op.symbols("😀 👍🏽")) == 0 and len(op.symbols("a😀𝒳")) == 5
 
 
 def test_held_out_accuracy(spark):
@@ -63,3 +69,48 @@ def test_only_the_calibration_rows_are_left_out(spark, monkeypatch):
     monkeypatch.setattr(op, "ngram_counts", lambda rows, *more: seen.append(rows.count()) or real(rows, *more))
     op.fit(docs, calibration_texts=3)
     assert seen == [397]
+
+
+def brute(texts, order, alphabet):
+    """Interpolated Kneser-Ney by dictionaries: a function from a text to its nats per character."""
+
+    def grams(text, k):
+        s = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        return [tuple(("\0" * order + s)[order + i - k + 1 : order + i + 1]) for i in range(1, len(s))]
+
+    tables = {order: Counter(g for t in texts for g in grams(t, order))}
+    for k in range(order - 1, 0, -1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    facts = {}
+    for k, table in tables.items():
+        once, twice = sum(n == 1 for n in table.values()), sum(n == 2 for n in table.values())
+        total, kinds = defaultdict(int), defaultdict(int)
+        for g, n in table.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        facts[k] = once / (once + 2 * twice) if once and twice else 0.5, total, kinds
+
+    def p(g):
+        if not g:
+            return 1 / (alphabet + 1)
+        d, total, kinds = facts[len(g)]
+        context = g[:-1]
+        if not total[context]:
+            return p(g[1:])
+        return max(tables[len(g)][g] - d, 0) / total[context] + d * kinds[context] / total[context] * p(g[1:])
+
+    return lambda text: -sum(math.log(p(g)) for g in grams(text, order)) / len(grams(text, order))
+
+
+def test_matches_brute_force(spark):
+    rnd = random.Random(3)
+    words = {"x": "the that then there a an and anna nan".split(), "y": "der die das den dann da an und undine".split()}
+    texts = {lang: [" ".join(rnd.choice(w) for _ in range(rnd.randint(1, 30))) for _ in range(40)] for lang, w in words.items()}
+    docs = spark.createDataFrame([(lang, t) for lang, own in texts.items() for t in own], "lang string, text string")
+    model = op.Model.fit(op.ngram_counts(docs))
+    alphabet = len({c for own in texts.values() for t in own for c in t} | {" "})
+    want = {lang: brute(own, op.ORDER, alphabet) for lang, own in texts.items()}
+    for t in ["the den", "undine", "q zebra, an!", "nan nan", *texts["x"][:5], *texts["y"][:5]]:
+        got = model.entropy(t)
+        assert got.tolist() == pytest.approx([want[lang](t) for lang in model.langs], rel=1e-5)
+        assert model.predict(t)[0] == min(model.langs, key=lambda lang: want[lang](t))
