@@ -4,25 +4,29 @@ A vector, scaled to unit length, is coded as a sum of ``books`` codewords, each
 dimension. Codebooks start as residual k-means and are refitted jointly by least squares; codes
 come from a beam search. The norm of the decoded vector is stored beside its code. A query scores
 a code by one look-up in each of its tables, -2 q.c summed, plus the stored squared norm; the
-best distinct vectors, ``shortlist`` or ``share`` of all if that is more, are reranked by the exact
-cosine in double precision.
+best distinct vectors are reranked by the exact cosine in double precision.
 
-How it scales. Codebooks are fitted on a bounded sample (``sample`` distinct vectors of lowest id
+How many are reranked is measured, not fixed: for ``probes`` queries the true neighbours are found
+by a scan of all vectors, and the places that these have in the order of approximate scores are
+counted over all codes. The shortlist is ``slack`` times the place that ``recall`` of them don't
+exceed, and ``least`` at least.
+
+How it scales. Codebooks are fitted on a bounded sample (``sample`` distinct vectors of lowest
 hash). Every distinct vector is indexed, as blocks of codes; of its equal rows the ``top`` + 1
-smallest ids stay beside it, all that can be among the nearest. The shortlist grows with the
-vectors, since the number that score better than a true neighbour does. Queries are dealt into blocks too; a block of queries meets
-each group of code blocks in one task, which keeps the best of its group only, so what leaves it
-is bounded by queries times shortlist. No vectors but the shortlist's are exchanged.
+smallest ids stay beside it, all that can be among the nearest. Queries are dealt into blocks too; a
+block of queries meets each group of code blocks in one task, which keeps the best of its group only,
+so what leaves it is bounded by queries times shortlist. No vectors but the shortlist's are exchanged.
 
 Edge cases. Null, zero, non-finite vectors, vectors with null components and rows with a null id
-take no part, nor do vectors of another dimension than the most common of the sample. A repeated
-id counts once, with its smallest vector. Ties go to the smaller id, also in the shortlist. Equal
-rows take one place of the shortlist; rows that only nearly equal each other take one each.
+take no part. Vectors of different dimensions have no nearness: each dimension is searched apart.
+Repeated ids are rows of their own: each is a candidate of all others and, if asked, has its own
+neighbours. Ties go to the smaller id. Equal rows take one place of the shortlist; rows that only
+nearly equal each other take one each. Empty tables give no rows; columns other than the id and the
+vector aren't read, so none can clash.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +39,7 @@ from meridia.llm import _shared as sh
 
 BOOKS, WORDS, BEAM = 16, 256, 4
 SAMPLE, ROUNDS, REFITS = 12_000, 6, 2
-SHORTLIST, SHARE, TOP = 600, 1 / 80, 5
+TOP, PROBES, RECALL, SLACK, LEAST = 5, 128, 0.98, 1.5, 100
 CODE_BLOCK, QUERY_BLOCK, GROUP = 8192, 1024, 32
 
 
@@ -117,11 +121,11 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = R
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vec_id and v of the rows that take part, each id once."""
+    """vec_id and v of the rows that take part."""
     v = F.col(vec_col)
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), ok.alias("ok")).where("ok and vec_id is not null")
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), ok.alias("ok"))
+    return rows.where("ok and vec_id is not null").select("vec_id", "v")
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -134,46 +138,110 @@ def _units(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
 
 
+def _exact_units(x: np.ndarray) -> np.ndarray:
+    """x scaled to unit length in double precision."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def distinct_vectors(vectors: DataFrame, keep: int) -> DataFrame:
-    """vec_id, v and ids: each vector once, with the keep smallest ids that have it, the smallest as its own."""
+    """key, v, ids and dim: each vector once, with the keep smallest ids that have it."""
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     # The limit acts before the exchange too, so a vector with a third of the rows sends few.
     few = vectors.withColumn("place", place).where(F.col("place") <= keep)
     ids = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    return ids.select(F.col("ids")[0].alias("vec_id"), "v", "ids")
+    return ids.select(F.monotonically_increasing_id().alias("key"), "v", "ids", F.size("v").alias("dim"))
+
+
+def true_neighbours(vectors: DataFrame, probes: list[tuple[int, list[float]]], top: int) -> DataFrame:
+    """probe, place, key and v of the top vectors (key, v) of largest cosine to each probe."""
+    q = _exact_units(np.array([v for _, v in probes], np.float64))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            score = q @ _exact_units(_matrix(batch.column("v"), q.shape[1])).T
+            k = min(top, score.shape[1])
+            best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            rows = batch.take(pa.array(best.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.arange(len(q)), k)), rows.column("key"), rows.column("v"), pa.array(np.take_along_axis(score, best, 1).ravel())],
+                names=["probe", "key", "v", "score"],
+            )
+
+    found = vectors.select("key", "v").mapInArrow(scan, f"probe long, key long, v {vectors.schema['v'].dataType.simpleString()}, score double")
+    place = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "key"))
+    return found.withColumn("place", place).where(F.col("place") <= top)
+
+
+def measured_shortlist(model: Codebooks, vectors: DataFrame, blocks: DataFrame, queries: DataFrame, top: int, probes: int, recall: float, slack: float, least: int, beam: int) -> int:
+    """How many codes to rerank, from the places of true neighbours of some queries among all codes."""
+    # At most probes queries, and top neighbours of each.
+    drawn = [(r.q, r.v) for r in sh.sample(queries, probes, "q").collect()]
+    near = true_neighbours(vectors, drawn, top).select("probe", "v").collect()
+    x = _units(np.array([r.v for r in near], np.float64))
+    codes = model.encode(x, beam)
+    asked = np.array([r.probe for r in near])
+    tables = model.tables(_units(np.array([v for _, v in drawn], np.float64)))
+    books = np.arange(codes.shape[1])
+    own = (tables[asked[:, None], books, codes].sum(1) + (model.decode(codes) ** 2).sum(1)).astype(np.float64)
+    shared = vectors.sparkSession.sparkContext.broadcast((tables, asked, own))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, asked, own = shared.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                norms = np.frombuffer(row["norms"], np.float32)
+                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(norms), -1)
+                total = np.zeros(len(own), np.int64)
+                for p in range(len(tables)):
+                    score = np.sort(sum(tables[p, m][codes[:, m]] for m in range(codes.shape[1])) + norms)
+                    at = np.flatnonzero(asked == p)
+                    total[at] = np.searchsorted(score, own[at] + 1e-6)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array(total)], names=["at", "n"])
+
+    places = blocks.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    shared.destroy()
+    return max(least, int(np.ceil(slack * np.quantile([r.n for r in places], recall))))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, shortlist: int = SHORTLIST, sample: int = SAMPLE, books: int = BOOKS, beam: int = BEAM, share: float = SHARE) -> DataFrame:
-    """query_id, rank, vec_id and score: the nearest found of each query among the other vectors.
+def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, sample: int = SAMPLE, books: int = BOOKS, beam: int = BEAM, probes: int = PROBES, recall: float = RECALL, slack: float = SLACK, least: int = LEAST) -> DataFrame:
+    """query_id, rank, vec_id and score: the nearest found of each query row among the other rows.
 
-    vectors and queries have vec_id and v, as usable() gives them.
+    vectors and queries have vec_id and v, as usable() gives them; queries are rows of vectors.
     """
+    known = sh.written(distinct_vectors(vectors, top + 1), "distinct-vectors")
+    asked = queries.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times")).select(F.monotonically_increasing_id().alias("q"), "*")
+    asked = sh.written(asked, "queries")
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in known.select("dim").distinct().orderBy("dim").collect():
+        mine = asked.where(F.size("v") == r.dim)
+        if mine.take(1):
+            out = out.unionByName(_nearest(known.where(F.col("dim") == r.dim), mine, r.dim, top, sample, books, beam, (probes, recall, slack, least)))
+    return out
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, dim: int, top: int, sample: int, books: int, beam: int, measure: tuple) -> DataFrame:
+    """nearest() of vectors (key, v, ids) and queries (q, vec_id, v, times) of one dimension."""
     spark = vectors.sparkSession
-    vectors = sh.written(distinct_vectors(vectors, top + 1), "distinct-vectors")
-    drawn = sh.sample(vectors, sample, "vec_id").collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not drawn:
-        return spark.createDataFrame([], schema)
-    dim = Counter(len(r.v) for r in drawn).most_common(1)[0][0]
-    model = train(_units(np.array([r.v for r in drawn if len(r.v) == dim], np.float64)), books)
+    drawn = sh.sample(vectors.select("key", "v"), sample, "v").collect()
+    model = train(_units(np.array([r.v for r in drawn], np.float64)), books)
     shared = spark.sparkContext.broadcast(model)
-    vectors, queries = vectors.where(F.size("v") == dim), queries.where(F.size("v") == dim)
-    shortlist = max(shortlist, int(np.ceil(share * vectors.count())))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for lo in range(0, len(batch), CODE_BLOCK):
                 part = batch.slice(lo, CODE_BLOCK)
-                ids = part.column("vec_id").to_numpy()
+                ids = part.column("key").to_numpy()
                 codes = model.encode(_units(_matrix(part.column("v"), dim)), beam)
                 norms = (model.decode(codes) ** 2).sum(1).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([int(ids.min())]), pa.array([ids.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()), pa.array([norms.tobytes()], pa.binary())], names=["block", "ids", "codes", "norms"])
 
-    blocks = sh.written(vectors.select("vec_id", "v").mapInArrow(index, "block long, ids binary, codes binary, norms binary"), "codes")
+    blocks = sh.written(vectors.select("key", "v").mapInArrow(index, "block long, ids binary, codes binary, norms binary"), "codes")
     n_queries, n_blocks = queries.count(), blocks.count()
-    if not n_queries:
-        return spark.createDataFrame([], schema)
+    shortlist = measured_shortlist(model, vectors, blocks, queries.select("q", "v"), top + 1, *measure, beam)
     query_blocks = -(-n_queries // QUERY_BLOCK)
     groups = -(-n_blocks // GROUP)
 
@@ -184,7 +252,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, shortlist: i
 
         def result() -> Iterator[pa.RecordBatch]:
             for q, (score, vec) in zip(ids.tolist(), best, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), q)), pa.array(vec), pa.array(score.astype(np.float64))], names=["query_id", "vec_id", "approx"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), q)), pa.array(vec), pa.array(score.astype(np.float64))], names=["q", "key", "approx"])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -222,37 +290,41 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, shortlist: i
     def query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             qb = batch.column("qb").to_numpy()
-            unit, ids = _units(_matrix(batch.column("v"), dim)) if len(batch) else np.empty((0, dim), np.float32), batch.column("vec_id").to_numpy()
+            unit, ids = _units(_matrix(batch.column("v"), dim)) if len(batch) else np.empty((0, dim), np.float32), batch.column("q").to_numpy()
             for b in np.unique(qb).tolist():
                 at = qb == b
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([ids[at].tobytes()], pa.binary()), pa.array([unit[at].tobytes()], pa.binary())], names=["qb", "ids", "codes"])
 
-    asked = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)))
-    asked = asked.select("qb", "vec_id", "v").mapInArrow(query_rows, "qb long, ids binary, codes binary")
+    asked = queries.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(query_blocks)))
+    asked = asked.select("qb", "q", "v").mapInArrow(query_rows, "qb long, ids binary, codes binary")
     left = asked.select("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.lit(0).alias("kind"), "ids", "codes", F.lit(None).cast("binary").alias("norms"))
     right = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("block"), F.lit(groups)).alias("g"), F.lit(1).alias("kind"), "ids", "codes", "norms")
     met = left.unionByName(right).repartition("qb", "g").sortWithinPartitions("qb", "g", "kind")
-    found = met.mapInArrow(search, "query_id long, vec_id long, approx double")
-    by_query = Window.partitionBy("query_id").orderBy("approx", "vec_id")
-    found = found.withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= shortlist).select("query_id", "vec_id")
+    found = met.mapInArrow(search, "q long, key long, approx double")
+    by_query = Window.partitionBy("q").orderBy("approx", "key")
+    found = found.withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= shortlist).select("q", "key")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            a, b = _matrix(batch.column("q"), dim), _matrix(batch.column("v"), dim)
-            a, b = a / np.abs(a).max(1, keepdims=True), b / np.abs(b).max(1, keepdims=True)
-            score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(score)], names=["query_id", "vec_id", "score"])
+            a, b = _matrix(batch.column("qv"), dim), _matrix(batch.column("v"), dim)
+            score = (_exact_units(a) * _exact_units(b)).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("key"), pa.array(score), pa.array((a == b).all(1))], names=["q", "key", "score", "own"])
 
-    pairs = found.join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(vectors, "vec_id")
-    scored = pairs.select("query_id", "vec_id", "q", "v").mapInArrow(exact, "query_id long, vec_id long, score double")
+    pairs = found.join(queries.select("q", F.col("v").alias("qv")), "q").join(vectors.select("key", "v"), "key")
+    scored = pairs.select("q", "key", "qv", "v").mapInArrow(exact, "q long, key long, score double, own boolean")
     # Each vector stands for one row at least, one of them perhaps the query: top + 1 with their ties suffice.
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    by_score = Window.partitionBy("q").orderBy(F.desc("score"))
     best = scored.withColumn("place", F.rank().over(by_score)).where(F.col("place") <= top + 1)
-    copies = best.join(vectors.select("vec_id", "ids"), "vec_id").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return copies.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    best = best.join(vectors.select("key", "ids"), "key").join(queries.select("q", F.col("vec_id").alias("query_id"), "times"), "q")
+    # Of rows equal to the query's one is the query itself.
+    itself = F.when(F.col("own"), F.array_position("ids", F.col("query_id"))).otherwise(F.lit(0))
+    others = F.filter("ids", lambda x, i: i + 1 != F.col("itself"))
+    rows = best.withColumn("itself", itself).select("q", "query_id", "times", "score", F.explode(others).alias("vec_id"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return rows.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_ann(spark, sf_dir) -> DataFrame:
