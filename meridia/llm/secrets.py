@@ -1,20 +1,28 @@
-"""Secret scanning: fixed patterns and a character convolutional network over other candidates.
+"""Secret scanning: fixed patterns and a character convolutional network over every candidate.
 
-Base findings are the patterns' matches (assign, access, hex). Every other token that could hold a
-secret, 16 characters or more of the secret alphabet with both letters and digits, is a candidate:
-the network reads it whole, with ``context`` characters on either side, and those at or above the
-threshold are added as kind ``model``. Base findings always stay.
+Base findings are the patterns' matches (assign, access, hex); they always stay. Candidates are the
+base findings and every other token that could hold a secret: 16 characters or more of the secret
+alphabet with both letters and digits, unless a base finding covers it whole. The network reads a
+candidate whole, with ``context`` characters on either side. Base findings get its score; other
+candidates at or above the threshold are added as kind ``model``, those that reach beyond a base
+finding too.
 
 The network embeds characters, convolves, pools by maximum and mean, and ends in one hidden layer;
 all in numpy. It learns from labelled findings: base findings in a bounded sample of documents and
-generated keys of common formats in contexts drawn from them are positive, tokens of harmless
-formats and ordinary candidates are negative. A temperature is fitted on left-out findings and the
-threshold is the largest at which at least ``recall`` of the left-out positives are found.
+generated keys of common formats in contexts drawn from all of these documents are positive, tokens
+of harmless formats and ordinary candidates are negative. An ordinary candidate may be a secret that
+no pattern knows: two networks, each fitted on half of the rows, score the other half, and ordinary
+candidates that these call secrets aren't learned from. A temperature is fitted on left-out findings,
+and the threshold is the largest at which at least ``recall`` of the left-out positives that no
+pattern decides, the generated ones, are found.
 
 How it scales. Fitting is bounded by ``sample_rows`` documents; scanning is a map over whole texts
-without an exchange. Long candidates are read whole, in batches of bounded size.
+without an exchange. Long candidates are read whole, in strips whose maxima and sums are combined.
 
-Edge cases. Null and empty texts have no findings. Offsets are code points.
+Edge cases. Null and empty texts have no findings. Offsets are code points. Very long texts are whole,
+one at a time in memory. Findings with one start are in the order of their kinds. Repeated rows each
+have theirs. Without documents to learn from only generated findings teach the network. Empty tables
+give no rows; further columns are carried if named, whatever they are called.
 """
 
 from __future__ import annotations
@@ -22,6 +30,7 @@ from __future__ import annotations
 import random
 import re
 import string
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +49,7 @@ KINDS = ("assign", "access", "hex", "model")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=@:~$%-]{16,}")
 
 CONTEXT, RECALL = 20, 0.98
-SAMPLE_ROWS, SYNTHETIC = 4_000, 1_500
+SAMPLE_ROWS, SYNTHETIC, STRETCH = 4_000, 1_500, 200
 EMBED, WIDTH, FILTERS, HIDDEN = 8, 5, 24, 16
 EPOCHS, RATE, CELLS = 12, 0.01, 200_000
 
@@ -59,13 +68,17 @@ def base_findings(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Spans of tokens with letters and digits that no base finding touches."""
-    out = []
+    """Spans of tokens with letters and digits that no base finding covers."""
+    out, k, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         s = m.group()
         if any(c in string.digits for c in s) and any(c.isalpha() for c in s):
             a, b = m.span()
-            if not any(x < b and a < y for x, y, _ in base):
+            # The furthest end of the base findings that begin at or before the token.
+            while k < len(base) and base[k][0] <= a:
+                reach = max(reach, base[k][1])
+                k += 1
+            if reach < b:
                 out.append((a, b))
     return out
 
@@ -74,8 +87,8 @@ def coded(text: str, start: int, end: int, context: int = CONTEXT) -> np.ndarray
     """Character classes of a candidate (1-95 printable, 96 others) and, from 97 on, of its surroundings."""
 
     def codes(s: str) -> np.ndarray:
-        x = np.frombuffer(s.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-        return np.where((x >= 32) & (x < 127), x - 31, 96)
+        x = np.frombuffer(s.encode("utf-32-le", "replace"), np.int32)
+        return np.where((x >= 32) & (x < 127), x - 31, 96).astype(np.int16)
 
     left, right = text[max(0, start - context) : start], text[end : end + context]
     return np.concatenate([codes(left) + 96, codes(text[start:end]), codes(right) + 96])
@@ -142,6 +155,9 @@ class Network:
         """Of rows of any lengths, read whole, in batches of about CELLS characters."""
         out = np.empty(len(rows))
         order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
+        while order and len(rows[order[-1]]) > CELLS:
+            at = order.pop()
+            out[at] = self.strips(rows[at])
         lo = 0
         while lo < len(order):
             hi = lo + 1
@@ -152,19 +168,30 @@ class Network:
             lo = hi
         return out
 
+    def strips(self, row: np.ndarray) -> float:
+        """The logit of one row, read strip by strip: maxima and sums over the strips are those of the whole."""
+        e, k, kb, h, hb, o, ob = self.w
+        top, total, half = np.zeros(FILTERS), np.zeros(FILTERS), WIDTH // 2
+        for lo in range(0, len(row), CELLS):
+            hi = min(len(row), lo + CELLS)
+            x = np.zeros(hi - lo + WIDTH - 1, np.int64)
+            a, b = max(0, lo - half), min(len(row), hi + half)
+            x[a - lo + half : b - lo + half] = row[a:b]
+            emb = e[x] * (x > 0)[:, None]
+            windows = np.lib.stride_tricks.sliding_window_view(emb, WIDTH, axis=0).transpose(0, 2, 1).reshape(hi - lo, -1)
+            conv = np.maximum(windows @ k + kb, 0)
+            top, total = np.maximum(top, conv.max(0)), total + conv.sum(0)
+        hidden = np.tanh(np.concatenate([top, total / len(row)]) @ h + hb)
+        return float(hidden @ o + ob[0])
+
     def probability(self, rows: list[np.ndarray]) -> np.ndarray:
         return 1 / (1 + np.exp(-self.logits(rows) / self.temperature)) if rows else np.empty(0)
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, recall: float = RECALL, seed: int = 3) -> Network:
-    """A calibrated network with its recall-constrained threshold; a fifth of the rows is left out."""
-    net = Network.start(seed)
-    if len(set(labels.tolist())) < 2:
-        return net
-    g = np.random.default_rng(seed)
-    order = g.permutation(len(rows))
-    held, used = order[: len(rows) // 5], order[len(rows) // 5 :]
+def _descend(net: Network, rows: list[np.ndarray], labels: np.ndarray, used: np.ndarray, g: np.random.Generator) -> Network:
+    """net, fitted on the used rows."""
     moment, step = [[np.zeros_like(p), np.zeros_like(p)] for p in net.w], 0
+    used = used.copy()
     for _ in range(EPOCHS):
         g.shuffle(used)
         for at in np.array_split(used, max(1, len(used) // 64)):
@@ -174,9 +201,35 @@ def train(rows: list[np.ndarray], labels: np.ndarray, recall: float = RECALL, se
                 m += 0.1 * (d - m)
                 v += 0.01 * (d * d - v)
                 p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return net
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, decisive: np.ndarray | None = None, doubtful: np.ndarray | None = None, recall: float = RECALL, seed: int = 3) -> Network:
+    """A calibrated network with its recall-constrained threshold; a fifth of the rows is left out.
+
+    decisive marks the positives that the threshold has to find, doubtful the negatives that may be
+    secrets. Rows longer than the strips of scanning serve as well, by their first strip.
+    """
+    net = Network.start(seed)
+    decisive = labels == 1 if decisive is None else decisive
+    doubtful = np.zeros(len(labels), bool) if doubtful is None else doubtful
+    if len(set(labels.tolist())) < 2:
+        return net
+    rows = [r[:CELLS] for r in rows]
+    g = np.random.default_rng(seed)
+    order = g.permutation(len(rows))
+    if doubtful.any():
+        trusted = np.ones(len(rows), bool)
+        for used, scored in ((order[::2], order[1::2]), (order[1::2], order[::2])):
+            if len(set(labels[used].tolist())) == 2:
+                p = _descend(Network.start(seed), rows, labels, used, g).probability([rows[i] for i in scored])
+                trusted[scored] = ~(doubtful[scored] & (p >= 0.5))
+        order = order[trusted[order]]
+    held, used = order[: len(order) // 5], order[len(order) // 5 :]
+    _descend(net, rows, labels, used, g)
     z, y = net.logits([rows[i] for i in held]), labels[held].astype(float)
     net.temperature = float(min(np.geomspace(0.3, 5, 40), key=lambda t: np.mean(np.logaddexp(0, z / t) - y * z / t)))
-    p = np.sort(1 / (1 + np.exp(-z[y == 1] / net.temperature)))
+    p = np.sort(1 / (1 + np.exp(-z[(y == 1) & decisive[held]] / net.temperature)))
     net.threshold = float(p[int(np.floor((1 - recall) * len(p)))]) if len(p) else 1.1
     return net
 
@@ -222,13 +275,15 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, recall: float = RECALL)
             for text in batch.column(0).to_pylist():
                 base = base_findings(text)
                 for a, b, _ in base:
-                    rows.append(coded(text, a, b))
+                    rows.append(coded(text, a, b)[:CELLS])
                     labels.append(1)
                 for a, b in candidates(text, base):
-                    rows.append(coded(text, a, b))
+                    rows.append(coded(text, a, b)[:CELLS])
                     labels.append(0)
-                contexts.append(text[:200])
-            yield pa.RecordBatch.from_arrays([pa.array([[x.tolist() for x in rows]], pa.list_(pa.list_(pa.int32()))), pa.array([labels], pa.list_(pa.int32())), pa.array([contexts[:200]], pa.list_(pa.string()))], names=["rows", "labels", "contexts"])
+                # A stretch of surroundings from anywhere in the text.
+                at = zlib.crc32(text.encode()) % max(1, len(text) - STRETCH)
+                contexts.append(text[at : at + STRETCH])
+            yield pa.RecordBatch.from_arrays([pa.array([[x.tolist() for x in rows]], pa.list_(pa.list_(pa.int32()))), pa.array([labels], pa.list_(pa.int32())), pa.array([contexts], pa.list_(pa.string()))], names=["rows", "labels", "contexts"])
 
     # Rows by the hash of text and id, if there is one: copies of a text are separate rows.
     key = ["text", "doc_id"] if "doc_id" in docs.columns else ["text"]
@@ -239,11 +294,14 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, recall: float = RECALL)
         labels += r.labels
         contexts += r.contexts
     more, kinds = generated(sorted(contexts))
-    return train(rows + more, np.array(labels + kinds, int), recall)
+    known = np.arange(len(rows) + len(more)) < len(rows)
+    truth = np.array(labels + kinds, int)
+    return train(rows + more, truth, (truth == 1) & ~known, (truth == 0) & known, recall)
 
 
 def findings(docs: DataFrame, net: Network, *keep: str) -> DataFrame:
-    """The keep columns, and found: array of (start, end, kind, score); base findings score 1."""
+    """The keep columns, and found: array of (start, end, kind, score), by start, then kind as listed."""
+    sh.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("score", pa.float64())]))
 
@@ -252,21 +310,21 @@ def findings(docs: DataFrame, net: Network, *keep: str) -> DataFrame:
         for batch in batches:
             for lo in range(0, len(batch), 1000):
                 part = batch.slice(lo, 1000)
-                out, rows, where = [], [], []
+                rows, where = [], []
                 for i, text in enumerate(part.column(0).to_pylist()):
                     text = text or ""
                     base = base_findings(text)
-                    out.append([(a, b, k, 1.0) for a, b, k in base])
-                    for a, b in candidates(text, base):
+                    for a, b, k in [*base, *((a, b, "model") for a, b in candidates(text, base))]:
                         rows.append(coded(text, a, b))
-                        where.append((i, a, b))
-                for (i, a, b), p in zip(where, net.probability(rows).tolist(), strict=True):
-                    if p >= net.threshold:
-                        out[i].append((a, b, "model", p))
+                        where.append((i, a, b, k))
+                out: list[list[tuple]] = [[] for _ in range(len(part))]
+                for (i, a, b, k), p in zip(where, net.probability(rows).tolist(), strict=True):
+                    if k != "model" or p >= net.threshold:
+                        out[i].append((a, b, k, p))
                 got = [[dict(zip(("start", "end", "kind", "score"), f, strict=True)) for f in sorted(x, key=lambda f: (f[0], KINDS.index(f[2])))] for x in out]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(got, kind)], names=[*part.schema.names[1:], "found"])
 
-    base = docs.select(F.col("text").alias("_text"), *keep)
+    base = docs.select(F.col("text").alias(sh.fresh("_text", list(keep))), *keep)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[1:]] + ["found array<struct<start:long,end:long,kind:string,score:double>>"])
     return base.mapInArrow(run, schema)
 

@@ -90,3 +90,53 @@ def test_gradients():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert op.findings(docs, op.fit(docs), "doc_id").count() == 0
+
+
+def test_strips_equal_the_whole(monkeypatch):
+    rnd = np.random.default_rng(2)
+    net = op.Network.start()
+    for n in (1, 6, 7, 8, 100, 701):
+        row = rnd.integers(1, 193, n)
+        whole = net.forward(*net.padded([row]))[0][0]
+        for cells in (7, 64):
+            monkeypatch.setattr(op, "CELLS", cells)
+            assert abs(net.strips(row) - whole) < 1e-9 and abs(net.logits([row, row])[1] - whole) < 1e-9
+
+
+def test_candidates_reach_beyond_base_findings(spark):
+    text = "token=abcdef12@host:9Zk3Qw8Lm2Xv7Bn and secret=plainvalue1234567 then a1b2c3d4e5f6g7h8"
+    base = op.base_findings(text)
+    spans = [text[a:b] for a, b in op.candidates(text, base)]
+    assert spans == ["token=abcdef12@host:9Zk3Qw8Lm2Xv7Bn", "a1b2c3d4e5f6g7h8"]
+    docs = spark.createDataFrame([(1, text, 5), (1, text, 5)], "doc_id long, text string, _text int")
+    net = op.Network.start()
+    net.threshold = 0.0
+    got = op.findings(docs, net, "doc_id", "_text").collect()
+    assert len(got) == 2 and got[0] == got[1]
+    assert [(f.kind, text[f.start : f.end]) for f in got[0].found] == [
+        ("assign", "token=abcdef12"), ("model", spans[0]), ("assign", "secret=plainvalue1234567"), ("model", spans[1])
+    ]
+    assert all(0 <= f.score <= 1 for f in got[0].found)
+
+
+def test_very_long_token(spark):
+    text = "x" * 10 + "k1" * 300_000 + " " + "0f" * 150_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    net = op.Network.start()
+    net.threshold = 0.0
+    found = op.findings(docs, net, "doc_id").first().found
+    assert [(f.kind, f.start, f.end) for f in found] == [("model", 0, 600_010), ("hex", 600_011, 900_011)]
+
+
+def test_secrets_among_ordinary_candidates_are_not_learned_as_harmless():
+    context = ["The cat sat on the mat and looked at the bird in the tree. " * 3]
+    rows, labels = op.generated(context)
+    more, kinds = op.generated(context, 400, seed=5)
+    hidden = [r for r, k in zip(more, kinds, strict=True) if k]
+    truth = np.array(labels + [0] * len(hidden))
+    doubtful = np.arange(len(truth)) >= len(rows)
+    net = op.train(rows + hidden, truth, doubtful=doubtful)
+    rows, labels = op.generated(context, 400, seed=77)
+    hit = net.probability(rows) >= net.threshold
+    labels = np.array(labels, bool)
+    assert hit[labels].mean() > 0.93 and hit[~labels].mean() < 0.1
