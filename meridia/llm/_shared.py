@@ -8,11 +8,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROWS_A_FILE = 100_000
+
 _own: dict[str, str | None] = {}
 
 
@@ -27,9 +29,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return have.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, reread: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, reread: cuts lineage and survives lost executors.
+
+    rows, if known, is a bound on its rows: a file is then made for each ROWS_A_FILE of them, however
+    many partitions there are.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -44,6 +52,14 @@ def drop_written(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df kept on executors' disks while one step reads it several times; lost parts are computed again.
+
+    For what hangs on written tables by a plan or two, and is released by unpersist() soon.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send at most that many rows at once to Python, so long texts take bounded memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

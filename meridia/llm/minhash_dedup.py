@@ -190,17 +190,22 @@ def verify_rows(k: int, similarity: float):
 def components(edges: DataFrame) -> DataFrame:
     """node and its component's smallest node, of (a, b) edges, by alternating stars in written tables."""
     edges = edges.where("a != b")
-    edges = sh.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = sh.held(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rows = edges.count()
+    edges, first = sh.written(edges, "edges", rows), edges
+    first.unpersist()
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        nxt = sh.written(small.where("a != b").distinct(), "edges")
+        # A step never makes more links than there were.
+        nxt = sh.written(small.where("a != b").distinct(), "edges", rows)
         # Stars: every node has one link, to a node that has none upwards.
         lows = nxt.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         done = not lows.where("n > 1").take(1) and not nxt.select("a").distinct().join(nxt.select(F.col("b").alias("a")).distinct(), "a", "left_semi").take(1)
+        sh.drop_written(edges)
         edges = nxt
         if done:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -276,47 +281,46 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
     sketches = sh.written(sketches, "sketches")
     doc = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc")
     nodes = sketches.where("n > 0").groupBy("sig").agg(F.min(F.struct(doc, "rk", "n", "keys", *WORDS)).alias("s")).select(F.col("sig").alias("node"), "s.*")
-    nodes = sh.written(nodes, "nodes")
+    nodes = sh.held(nodes)
     exploded = nodes.select("node", F.explode("keys").alias("key")).distinct()
     shared_keys = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1")
-    members = sh.written(exploded.join(shared_keys, "key"), "members")
+    members = sh.held(exploded.join(shared_keys, "key"))
     hub = members.groupBy("node").agg(F.sum("in_bucket").alias("hub"))
     # Texts of candidates only, written once.
     wanted = nodes.select("node", "rk").join(hub.select("node"), "node", "left_semi")
     texts = sh.written(base.select("rk", "text").join(wanted.hint("shuffle_hash"), "rk").dropDuplicates(["node"]).select("node", "text"), "texts")
     carried = nodes.join(hub, "node").select("node", "doc", "n", "hub", F.col("n").alias("s"), *WORDS)
-    buckets = sh.written(members.select("key", "node").join(carried, "node").select("key", *carried.columns), "buckets")
-    sh.drop_written(nodes, members)
+    buckets = sh.written(members.select("key", "node").join(carried, "node").select("key", *carried.columns), "buckets", members.count())
+    nodes.unpersist()
+    members.unpersist()
     columns = buckets.columns
     label: DataFrame | None = None
     leaders = LEADERS
     while True:
-        ranked = sh.written(_ranked(buckets, label, leaders, ALL_PAIRS), "ranked")
-        sh.drop_written(buckets)
-        if not ranked.take(1):
+        ranked = sh.held(_ranked(buckets, label, leaders, ALL_PAIRS))
+        rows_left = ranked.count()
+        if not rows_left:
             break
-        pairs = sh.written(_pairs(ranked, similarity), "pairs")
+        pairs = _pairs(ranked, similarity)
         with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        new = sh.written(with_b.select("a", "b", "text_a", "text_b").mapInArrow(sh.frugal(verify_rows(k, similarity)), "a binary, b binary"), "links")
+        new = sh.held(with_b.select("a", "b", "text_a", "text_b").mapInArrow(sh.frugal(verify_rows(k, similarity)), "a binary, b binary"))
+        before = label
         if new.take(1):
-            before = label
-            old = [] if before is None else [before]
             links = new if before is None else new.unionByName(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
             label = components(links)
-            sh.drop_written(*old)
-        sh.drop_written(new, pairs)
         rest = ranked.where(~F.col("leads"))
         if leaders == LEADERS and rest.take(1):
-            counts = sh.written(_shared_counts(_latest(rest, label), texts, k), "shared-shingles")
+            counts = _shared_counts(_latest(rest, label), texts, k)
             rest = rest.drop("s").join(counts, "node").where(F.col("s") >= similarity * F.col("n"))
-            buckets = sh.written(rest.select(*columns), "buckets")
-            sh.drop_written(counts)
-        else:
-            buckets = sh.written(rest.select(*columns), "buckets")
-        sh.drop_written(ranked)
+        old, buckets = buckets, sh.written(rest.select(*columns), "buckets", rows_left)
+        # The plans of this round are done with these.
+        ranked.unpersist()
+        new.unpersist()
+        sh.drop_written(old, *([before] if before is not None and before is not label else []))
         leaders *= 64
-    sh.drop_written(ranked, texts)
+    ranked.unpersist()
+    sh.drop_written(buckets, texts)
     found = sketches.select("doc_id", "rk", F.when(F.col("n") > 0, F.col("sig")).otherwise(F.concat(F.lit("row").cast("binary"), F.col("rk"))).alias("node"))
     if label is not None:
         found = found.join(label, "node", "left").select("doc_id", "rk", F.coalesce("component", "node").alias("component"))
