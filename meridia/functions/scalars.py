@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 RESOLVER_RELATIVE, RESOLVER_ABSOLUTE = 0.001, 1.0
 ANNUAL_SPAN_DAYS = (350, 380)
 FISCAL_YEAR_END_TOLERANCE_DAYS = 10
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 BLANK_MARKERS = ("-", "–", "—", "--", "n/a", "nm", "nil")
 
 
@@ -50,6 +51,24 @@ def period_label(end: Column | str, fp: Column | str | None = None) -> Column:
     return F.when(fp.isNull() | (fp == "FY"), base).otherwise(F.concat(base, F.lit("-"), fp))
 
 
+def parse_period_label(text: Column | str) -> Column:
+    """struct(nature, end) of "Year ended December 31, 2025" (duration) or a bare date (instant); null without one."""
+    text = col(text)
+    date = r"([A-Za-z]+)\.?\s+(\d{1,2}),?\s+(\d{4})"
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.regexp_extract(text, date, 1)))
+    day, year = F.regexp_extract(text, date, 2).try_cast("int"), F.regexp_extract(text, date, 3).try_cast("int")
+    end = F.when(month > 0, F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day)))
+    nature = F.when(text.rlike(r"(?i)years?\s+ended"), F.lit("duration")).otherwise(F.lit("instant"))
+    return F.when(end.isNotNull(), F.struct(nature.alias("nature"), end.alias("end")))
+
+
+def period_of(start: Column | str, end: Column | str, nature: Column | str) -> Column:
+    """struct(nature, start, end) of a reported fact; null where it isn't of the nature that is expected."""
+    start, end, nature = col(start), col(end), col(nature)
+    fits = end.isNotNull() & (start.isNull() == (nature == "instant"))
+    return F.when(fits, F.struct(nature.alias("nature"), start.alias("start"), end.alias("end")))
+
+
 def year_end(year: Column, month: Column | int, day: Column | int) -> Column:
     """The date of a fiscal year-end; a day beyond the month's end is its last day."""
     month = month if isinstance(month, Column) else F.lit(month)

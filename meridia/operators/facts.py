@@ -46,20 +46,28 @@ def as_of(facts: DataFrame, cutoff: Column | None, key: Sequence[str], order: Se
 
 
 def restatements(facts: DataFrame, key: Sequence[str], order: Sequence[str], value: str = "value") -> DataFrame:
-    """Keys whose first value a later filing changed, with the last differing value and its class."""
-    rows = facts.where(F.col("status") == FOUND) if "status" in facts.columns else facts
-    at = F.struct(*order)
-    entry = F.struct(*order, F.col(value).alias("v"), *([F.col("form")] if "form" in facts.columns else []), *([F.col("tag")] if "tag" in facts.columns else []))
-    seen = rows.groupBy(*key).agg(F.min_by(entry, at).alias("a"), F.collect_list(entry).alias("all"))
-    later = F.filter("all", lambda e: e["v"] != F.col("a.v"))
-    out = seen.withColumn("later", F.array_sort(later)).where(F.size("later") > 0).withColumn("z", F.element_at("later", -1))
-    change = F.abs(F.col("z.v") - F.col("a.v")) / F.greatest(F.abs(F.col("a.v")), F.lit(1e-9))
+    """Keys whose first value a later filing changed: the first differing value, how many differ, and its class.
+
+    A window puts the first filing beside each later one; the aggregation by the same key needs no
+    exchange of its own, and no history is gathered into an array.
+    """
+    rows = facts.where((F.col("status") == FOUND) & F.col(value).isNotNull()) if "status" in facts.columns else facts.where(F.col(value).isNotNull())
+    extra = [c for c in ("form", "origin", "tag") if c in facts.columns]
+    entry = F.struct(*order, F.col(value).cast("double").alias("v"), *extra)
+    history = Window.partitionBy(*key).orderBy(*[F.col(f"e.{c}") for c in order])
+    rows = rows.select(*key, entry.alias("e")).withColumn("a", F.first("e").over(history))
+    later = rows.where(F.col("e.v") != F.col("a.v"))
+    at = F.struct(*[F.col(f"e.{c}") for c in order])
+    out = later.groupBy(*key).agg(F.min_by("e", at).alias("z"), F.first("a").alias("a"), F.count(F.lit(1)).alias("n"))
+    change = F.abs(F.col("z.v") - F.col("a.v")) / F.greatest(F.abs(F.col("a.v")), F.abs(F.col("z.v")), F.lit(1.0))
     kind = F.when(change <= IMMATERIAL, F.lit("immaterial"))
-    if "form" in facts.columns:
-        kind = kind.when(F.col("z.form").endswith("/A"), F.lit("amendment"))
-    if "tag" in facts.columns:
-        kind = kind.when(F.col("z.tag") != F.col("a.tag"), F.lit("tag_change"))
-    return out.select(*key, F.col("a.v").alias("first_value"), F.col("z.v").alias("last_value"), F.size("later").cast("long").alias("n_changes"), kind.otherwise(F.lit("same_tag")).alias("kind"))
+    if "form" in extra:
+        kind = kind.when(F.coalesce(F.col("z.form").endswith("/A") | F.col("a.form").endswith("/A"), F.lit(False)), F.lit("amendment"))
+    if "origin" in extra:
+        kind = kind.when(~F.col("z.origin").eqNullSafe(F.col("a.origin")), F.lit("origin_change"))
+    if "tag" in extra:
+        kind = kind.when(~F.col("z.tag").eqNullSafe(F.col("a.tag")), F.lit("tag_change"))
+    return out.select(*key, F.col("a.v").alias("first_value"), F.col("z.v").alias("restated_value"), F.col("n").alias("n_changes"), kind.otherwise(F.lit("same_tag")).alias("kind"))
 
 
 def visible_history(filings: DataFrame, entity: str, order: Sequence[str], measures: dict[str, Column]) -> DataFrame:

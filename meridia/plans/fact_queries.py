@@ -22,10 +22,10 @@ def asof_earliest_wins(spark, sf_dir):
 
 
 @query(f"""WITH {fr.FACTS}, f AS (SELECT *, first_value(value) OVER (PARTITION BY entity, concept, fy ORDER BY filed, accession, line, part, supplier) AS v0 FROM facts),
-d AS (SELECT *, row_number() OVER (PARTITION BY entity, concept, fy ORDER BY filed DESC, accession DESC, line DESC, part DESC, supplier DESC) AS rn,
+d AS (SELECT *, row_number() OVER (PARTITION BY entity, concept, fy ORDER BY filed, accession, line, part, supplier) AS rn,
  count(*) OVER (PARTITION BY entity, concept, fy) AS n FROM f WHERE value <> v0)
-SELECT entity, concept, fy, v0 AS first_value, value AS last_value, n AS n_changes,
- CASE WHEN abs(value - v0) / greatest(abs(v0), 1e-9) <= 0.001 THEN 'immaterial' ELSE 'same_tag' END AS kind FROM d WHERE rn = 1""")
+SELECT entity, concept, fy, v0 AS first_value, value AS restated_value, n AS n_changes,
+ CASE WHEN abs(value - v0) / greatest(abs(v0), abs(value), 1.0) <= 0.001 THEN 'immaterial' ELSE 'same_tag' END AS kind FROM d WHERE rn = 1""")
 def restatements(spark, sf_dir):
     return fo.restatements(fr.facts(spark, sf_dir), ("entity", "concept", "fy"), ORDER)
 
