@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meridia.operators.disclosures import PLAIN
+
 # Types as objects: a worker that imports this module has no session to parse them with.
 STRING, INT, DOUBLE = T.StringType(), T.IntegerType(), T.DoubleType()
 
@@ -20,22 +22,26 @@ def rows_of(**fields: T.DataType) -> T.ArrayType:
 
 # Fixed values.
 MIN_SENTENCE_CHARS, MAX_SENTENCE_CHARS = 25, 1200
-ABBREVIATIONS = frozenset("mr mrs ms dr inc corp co ltd llc no vs etc jr sr st u.s e.g i.e approx fig sec".split())
-TYPOGRAPHIC = {
-    **dict.fromkeys("\u2018\u2019\u201a\u201b\u2032", "'"),
-    **dict.fromkeys("\u201c\u201d\u201e\u201f\u2033", '"'),
-    **dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "-"),
-    **dict.fromkeys("\u00a0\u2002\u2003\u2007\u2009\u202f\u3000", " "),
-    "\u2022": "*",
-    "\u2026": ".",
-    "\u2044": "/",
-}
-_FOLD = str.maketrans(TYPOGRAPHIC)
-_BOUNDARY = re.compile(r"[.!?][\"')\]]*\s+(?=[\"'(\[]?[A-ZÀ-ÖØ-Þ0-9])")
-NUMBER = re.compile(r"(?P<sign>[-−(])?\s?(?P<cur>[$€£])?\s?(?P<num>\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s?(?P<scale>thousand|million|billion|trillion)?\s?(?P<pct>%|percent)?", re.I)
-MASKED = re.compile(r"\bEV-[A-Z]+-[0-9a-f]{8}\b|\b\d{10}-\d{2}-\d{6}\b|\bFY\d{4}(?:-Q[1-4])?\b|\bQ[1-4]\b", re.I)
-PERIOD = re.compile(r"\bFY\s?\d{4}(?:-?Q[1-4])?\b|\bQ[1-4]\b|\b\d{10}-\d{2}-\d{6}\b", re.I)
-SCALES = {"thousand": 1e3, "million": 1e6, "billion": 1e9, "trillion": 1e12}
+ABBREVIATIONS = frozenset(
+    (
+        "inc", "corp", "co", "ltd", "llc", "lp", "llp", "plc", "sa", "nv", "ag",
+        "no", "nos", "art", "sec", "reg", "para", "pp", "vs", "cf", "ch",
+        "approx", "mm", "bn", "mtpa", "cwt",
+        "us", "u.s", "uk", "u.k", "eu", "st", "mt", "ft",
+        "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sept", "sep", "oct", "nov", "dec",
+    )
+)
+_FOLD = str.maketrans(PLAIN)
+_BOUNDARY = re.compile(r"""[.!?]["\u201d\u2019)]?\s+(?=["\u201c\u2018(]?[A-Z0-9])""")
+_LAST_TOKEN = re.compile(r"([A-Za-z][A-Za-z.]*|\d+)\Z")
+NUMBER = re.compile(
+    r"(?P<cur>[$€£])?\s*(?P<sign>[-+\u2212\u2013])?\s*(?P<num>\d{1,3}(?:,\d{3})+|\d+)(?:\.(?P<frac>\d+))?"
+    r"\s*(?P<scale>hundred|thousand|million|billion|trillion|bn|mm|[kmb])?\s*(?P<pct>%|\spercent|\spct)?",
+    re.I,
+)
+CITATION = re.compile(r"EV-[A-Z]{2}-[0-9a-f]{8}", re.I)
+PERIOD = re.compile(r"\b\d{10}-\d{2}-\d{6}\b|\bFY\s?\d{4}\b|\bQ[1-4]\s?\d{4}\b", re.I)
+SCALES = {"hundred": 1e2, "thousand": 1e3, "k": 1e3, "million": 1e6, "m": 1e6, "mm": 1e6, "billion": 1e9, "bn": 1e9, "b": 1e9, "trillion": 1e12}
 
 
 def fold(text: str) -> str:
@@ -44,44 +50,60 @@ def fold(text: str) -> str:
     return "".join(low if len(low := c.lower()) == 1 else c for c in out)
 
 
+def _abbreviates(line: str, at: int) -> bool:
+    """Whether the full stop at a place of the line ends an abbreviation, an initial or a list number."""
+    if line[at] != ".":
+        return False
+    # No abbreviation is longer than this.
+    begin = max(0, at - 40)
+    m = _LAST_TOKEN.search(line[begin:at])
+    if m is None:
+        return False
+    token = m.group()
+    if token.isdigit():
+        return begin + m.start() == 0
+    return len(token) == 1 or token.rstrip(".").lower() in ABBREVIATIONS
+
+
 def sentences(text: str | None, shortest: int = MIN_SENTENCE_CHARS, longest: int = MAX_SENTENCE_CHARS) -> list[tuple[int, int]]:
     """Spans of sentences, in code points; lines end sentences and lines with tabs are tables."""
     out: list[tuple[int, int]] = []
     at = 0
-    for line in (text or "").splitlines(keepends=True):
-        begin, at = at, at + len(line)
+    for line in (text or "").split("\n"):
+        begin, at = at, at + len(line) + 1
         if "\t" in line or not line.strip():
             continue
-        cuts = [0]
-        for m in _BOUNDARY.finditer(line):
-            before = line[cuts[-1] : m.start() + 1]
-            word = before.rsplit(None, 1)[-1].rstrip(".").lower() if before.split() else ""
-            if line[m.start()] == "." and (word in ABBREVIATIONS or (len(word) == 1 and word.isalpha()) or (word.isdigit() and before.strip() == word + ".")):
-                continue
-            cuts.append(m.end())
-        for a, b in zip(cuts, [*cuts[1:], len(line)], strict=True):
+        cuts = [0, *(m.end() for m in _BOUNDARY.finditer(line) if not _abbreviates(line, m.start())), len(line)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
             s = line[a:b]
             lead, size = len(s) - len(s.lstrip()), len(s.strip())
-            if shortest <= size <= longest:
+            if size and shortest <= size <= longest:
                 out.append((begin + a + lead, begin + a + lead + size))
     return out
 
 
-def number_mentions(text: str | None) -> list[tuple[str, int, int, float, float]]:
-    """(text, start, end, value, half a unit of the last place) of the numbers in a text."""
-    text = text or ""
-    masked = MASKED.sub(lambda m: " " * len(m.group()), text)
+def number_mentions(text: str | None) -> list[tuple[str, int, int, list[tuple[float, float]]]]:
+    """(text, start, end, readings) of the numbers in a text; a reading is a value and half a unit of its last place.
+
+    A scaled number may also stand for itself, an unsigned one for its negative, a percentage for a rate.
+    """
+    masked = PERIOD.sub(lambda m: " " * len(m.group()), CITATION.sub(lambda m: " " * len(m.group()), text or ""))
     out = []
     for m in NUMBER.finditer(masked):
-        digits = m["num"].replace(",", "")
+        places = len(m["frac"] or "")
+        bare = float(m["num"].replace(",", "") + ("." + m["frac"] if m["frac"] else ""))
+        if m["sign"] in ("-", "\u2212", "\u2013"):
+            bare = -bare
         scale = SCALES.get((m["scale"] or "").lower(), 1.0)
-        places = len(digits.partition(".")[2])
-        value = float(digits) * scale
-        if m["sign"] in ("-", "−") or (m["sign"] == "(" and masked[m.end() : m.end() + 1] == ")"):
-            value = -value
+        half = 0.5 * 10.0**-places
+        readings = [(bare * scale, half * scale)]
+        if scale != 1.0:
+            readings.append((bare, half))
+        if m["sign"] is None:
+            readings.append((-bare * scale, half * scale))
         if m["pct"]:
-            value, scale = value / 100, scale / 100
-        out.append((m.group().strip(), m.start(), m.end(), value, 0.5 * 10.0**-places * scale))
+            readings.append((bare * scale / 100, half * scale / 100))
+        out.append((m.group().strip(), m.start(), m.end(), readings))
     return out
 
 
@@ -90,15 +112,15 @@ def sentence_spans(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"start": a, "end": b} for a, b in sentences(t)])
 
 
-@F.pandas_udf(rows_of(text=STRING, start=INT, end=INT, value=DOUBLE, tolerance=DOUBLE))
+@F.pandas_udf(rows_of(text=STRING, start=INT, end=INT, readings=rows_of(value=DOUBLE, tolerance=DOUBLE)))
 def numbers(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [dict(zip(("text", "start", "end", "value", "tolerance"), x, strict=True)) for x in number_mentions(t)])
+    return texts.map(lambda t: [{"text": s, "start": a, "end": b, "readings": [{"value": v, "tolerance": h} for v, h in r]} for s, a, b, r in number_mentions(t)])
 
 
-@F.pandas_udf(T.ArrayType(STRING))
-def period_tokens(texts: pd.Series) -> pd.Series:
-    """Fiscal labels and accession numbers, upper case, each once, in order."""
-    return texts.map(lambda t: list(dict.fromkeys(m.group().upper().replace(" ", "") for m in PERIOD.finditer(t or ""))))
+def period_tokens(text):
+    """Fiscal labels, quarters and accession numbers, upper case with single blanks, each once, sorted."""
+    found = F.regexp_extract_all(F.upper(text), F.lit(r"\b(\d{10}-\d{2}-\d{6}|FY\s?\d{4}|Q[1-4]\s?\d{4})\b"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"\s+", " "))))
 
 
 @F.pandas_udf(STRING)

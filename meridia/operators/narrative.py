@@ -1,115 +1,137 @@
-"""Disclosure statements: patterns over sentences, mood of each statement, duplicates, quotes.
+"""Disclosure statements: catalog patterns over sentences, mood of each statement, duplicates, quotes, coverage.
 
-Patterns are a small catalog in code; each is one expression over a sentence, so a scan of texts
-evaluates all of them without a cross join.
+Patterns are the catalog's, each one expression over a sentence's plain view, so a scan of texts
+evaluates all of them without a cross join. The view has the sentence's length in code points, so
+places found in it are those of the text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import python_text as tx
 from meridia.functions import scalars as fx
+from meridia.operators import disclosures as di
+from meridia.operators.disclosures import CATALOG, Definition
 
-ADJACENT, WINDOW, MAX_QUOTE = 14, 220, 400
-# Cue words of each mood.
-NEGATION = r"\b(not|no|never|without|neither|nor)\b"
-COMPLIANCE = r"\b(in compliance|complied|were in full compliance|no (event of )?default)\b"
-REFERENCE = r"\b(see|refer to|as described in|described (under|in)|discussed (under|in))\b"
-CONDITIONAL = r"\b(if|unless|in the event|in case|were to|should we|upon the occurrence)\b"
-FACTUAL = r"\b(has|have|had|was|were|did|during|on [a-z]+ \d{1,2})\b"
-MODAL = r"\b(may|might|could|would|can|possible|potentially)\b"
+# Fixed values.
 SEVERITY = {"high": 0, "moderate": 1, "low": 2}
+SECTIONS = ("item_1a", "item_3", "item_7")
+MOODS = ("asserted", "negated", "cross_reference", "hypothetical")
+EMITTED = ("asserted", "negated")
 
 
-@dataclass(frozen=True)
-class Pattern:
-    """A code's pattern: what triggers it, and what the sentence must or mustn't hold."""
-
-    code: str
-    name: str
-    trigger: str
-    specificity: str = "moderate"
-    requires: str | None = None
-    excludes: str | None = None
-
-
-TERMS = r"\b(means|shall|defined as|definition|would constitute|agreement provides|customary)\b"
-AMOUNT = r"(\$\s?\d|\d+(\.\d+)? (million|billion)|charge|fiscal|year ended|quarter)"
-CATALOG = (
-    Pattern("going_concern_doubt", "substantial_doubt", r"substantial doubt\b.{0,120}\bgoing concern", "high", excludes=TERMS),
-    Pattern("going_concern_doubt", "raise_doubt", r"rais(e|es|ed|ing) (substantial )?doubt", "high", excludes=TERMS),
-    Pattern("covenant_breach", "not_in_compliance", r"not (been )?in compliance with\b.{0,80}\bcovenant", "moderate", excludes=TERMS),
-    Pattern("covenant_breach", "violation", r"(breach(ed)?|violat(ed|ion)) .{0,60}covenant|covenant (violation|breach)", "moderate", excludes=TERMS),
-    Pattern("covenant_waiver_or_amendment", "waiver", r"(obtained|received|granted) .{0,60}waiver", "high", excludes=TERMS),
-    Pattern("covenant_waiver_or_amendment", "relief", r"covenant relief|amend.{0,60}to avoid", "high", excludes=TERMS),
-    Pattern("debt_default_or_acceleration", "event_of_default", r"event of default (has )?occurred|notice of default", "high", excludes=TERMS),
-    Pattern("debt_default_or_acceleration", "accelerated", r"accelerat(ed|ion of) .{0,60}(indebtedness|debt|notes|loan)", "high", excludes=TERMS),
-    Pattern("debt_restructuring", "forbearance", r"forbearance agreement|restructuring support agreement|exchange offer", "high"),
-    Pattern("bankruptcy_contemplated", "petition", r"chapter (7|11)|debtor.in.possession|prepackaged plan", "high"),
-    Pattern("liquidity_shortfall", "not_sufficient", r"(not (be )?sufficient|insufficient) .{0,60}(liquidity|cash|fund)", "moderate", excludes=TERMS),
-    Pattern("liquidity_shortfall", "unable", r"unable to (meet|pay|satisfy) .{0,60}(obligation|debt)", "moderate", excludes=TERMS),
-    Pattern("material_weakness", "identified", r"material weakness(es)?", "low"),
-    Pattern("dividend_suspension", "suspended", r"suspend(ed)? .{0,40}dividend|no longer pay .{0,20}dividend", "moderate"),
-    Pattern("delisting_notice", "notice", r"(delist(ed|ing)|continued listing) .{0,80}(notice|standard|requirement)|notice .{0,80}delist", "high"),
-    Pattern("credit_rating_downgrade", "downgraded", r"downgrad(ed|e) .{0,60}(rating|credit)|rating .{0,40}downgrad", "moderate"),
-    Pattern("asset_impairment", "recorded", r"impairment (charge|loss)|goodwill impairment|write.?down", "low", requires=AMOUNT),
-)
+def view(text: Column | str) -> Column:
+    """text in lower case with plain punctuation, of the same length in code points."""
+    # Lower case of the dotted capital I has two characters; astral ones would shift places.
+    known = {**di.PLAIN, "\u0130": "\u0131"}
+    plain = F.translate(text, "".join(known), "".join(known.values()))
+    return F.regexp_replace(F.lower(plain), r"[\x{10000}-\x{10FFFF}]", "?")
+
+
+def _any(patterns: Sequence[str], text: Column) -> Column:
+    return text.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
 def mood(sentence: Column, at: Column, length: Column) -> Column:
-    """negated, referenced, hypothetical or asserted, of a trigger at a 1-based position."""
-    low = F.lower(sentence)
-    near = F.substring(low, F.greatest(at - ADJACENT, F.lit(1)), F.least(at - 1, F.lit(ADJACENT)))
-    begin = F.greatest(at - WINDOW, F.lit(1))
-    before = F.substring(low, begin, at - begin)
-    through = F.substring(low, begin, at - begin + length)
+    """negated, cross_reference, hypothetical or asserted, of a trigger at a 1-based place of a sentence's view.
+
+    In this order: a negation right before the trigger, a denial up to its end, a pointer anywhere, a
+    condition before it, a statement of fact before it, a modal anywhere.
+    """
+    near_from = F.greatest(at - di.ADJACENT_CHARS, F.lit(1))
+    begin = F.greatest(at - di.WINDOW_CHARS, F.lit(1))
+    near, before, through = F.substring(sentence, near_from, at - near_from), F.substring(sentence, begin, at - begin), F.substring(sentence, begin, at - begin + length)
     return (
-        F.when(near.rlike(NEGATION), F.lit("negated"))
-        .when(through.rlike(COMPLIANCE) & ~through.rlike(r"\bnot (been )?in compliance\b"), F.lit("negated"))
-        .when(low.rlike(REFERENCE), F.lit("referenced"))
-        .when(before.rlike(CONDITIONAL), F.lit("hypothetical"))
-        .when(before.rlike(FACTUAL), F.lit("asserted"))
-        .when(low.rlike(MODAL), F.lit("hypothetical"))
+        F.when(near.rlike(di.ADJACENT_NEGATION), F.lit("negated"))
+        .when(_any(di.COMPLIANCE_DENIAL, through), F.lit("negated"))
+        .when(_any(di.CROSS_REFERENCE, sentence), F.lit("cross_reference"))
+        .when(_any(di.CONDITIONAL, before), F.lit("hypothetical"))
+        .when(_any(di.FACTUAL, before), F.lit("asserted"))
+        .when(_any(di.MODAL, sentence), F.lit("hypothetical"))
         .otherwise(F.lit("asserted"))
     )
 
 
 def sentences(docs: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
     """key, start, end and sentence; offsets are code points of the document."""
-    spans = docs.select(*key, F.col(text).alias("_t"), F.explode(tx.sentence_spans(F.col(text))).alias("s"))
-    return spans.select(*key, "s.start", "s.end", F.substring("_t", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("sentence"))
+    spans = tx.sentence_spans(F.col(text))
+    # Sentences are cut before the explode, so the document isn't carried along with each of them.
+    cut = docs.select(*key, F.col(text).alias("_t"), spans.alias("_s")).select(*key, F.transform("_s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring("_t", s["start"] + 1, s["end"] - s["start"]).alias("sentence"))).alias("_s"))
+    return cut.select(*key, F.inline("_s"))
+
 
+def statements(rows: DataFrame, key: Sequence[str], catalog: Sequence[Definition] = CATALOG, sentence: str = "sentence", hypothetical: bool = False, gate: bool = True) -> DataFrame:
+    """A row for each sentence and pattern that matches: code, pattern, specificity, assertion, quote and places.
 
-def statements(rows: DataFrame, key: Sequence[str], patterns: Sequence[Pattern] = CATALOG, sentence: str = "sentence", gate: bool = True) -> DataFrame:
-    """A row for each sentence and pattern that matches: code, specificity, trigger, assertion, quote."""
-    s = F.col(sentence)
+    trigger_start and quote_start count from the sentence's begin. Denials and assertions are emitted,
+    hypotheticals if asked for; without the gate every match is.
+    """
+    v = F.col("_view")
     found = []
-    for p in patterns:
-        trigger = F.regexp_extract(F.lower(s), f"({p.trigger})", 1)
-        ok = trigger != ""
-        if p.requires:
-            ok = ok & F.lower(s).rlike(p.requires)
-        if p.excludes:
-            ok = ok & ~F.lower(s).rlike(p.excludes)
-        found.append(F.when(ok, F.struct(F.lit(p.code).alias("code"), F.lit(p.name).alias("pattern"), F.lit(p.specificity).alias("specificity"), trigger.alias("trigger"))))
-    out = rows.select(*key, s.alias("sentence"), F.explode(F.array_compact(F.array(*found))).alias("m")).select(*key, "sentence", "m.*")
-    at = F.instr(F.lower(F.col("sentence")), F.col("trigger"))
-    out = out.withColumn("assertion", mood(F.col("sentence"), at, F.length("trigger")) if gate else F.lit("asserted"))
-    return out.withColumn("quote", F.substring("sentence", F.greatest(at - 100, F.lit(1)), F.lit(MAX_QUOTE)))
+    for d in catalog:
+        fits = F.lit(True)
+        if d.requires:
+            fits = fits & v.rlike(d.requires)
+        if d.excludes:
+            fits = fits & ~v.rlike(d.excludes)
+        for name, pattern in d.patterns:
+            hit = F.struct(F.lit(d.code).alias("code"), F.lit(d.specificity).alias("specificity"), F.lit(name).alias("pattern"), F.regexp_instr(v, F.lit(pattern)).alias("at"), F.regexp_extract(v, pattern, 0).alias("trigger"))
+            found.append(F.when(v.rlike(pattern) & fits, hit))
+    out = rows.withColumn("_view", view(sentence))
+    out = out.select(*key, F.col(sentence).alias("sentence"), "_view", F.explode(F.array_compact(F.array(*found))).alias("m")).select(*key, "sentence", "_view", "m.*")
+    out = out.withColumn("assertion", mood(v, F.col("at"), F.length("trigger")))
+    if gate:
+        out = out.where(F.col("assertion").isin(*EMITTED, *(["hypothetical"] if hypothetical else [])))
+    size, start, slack = F.length("sentence"), F.col("at") - 1, F.lit(di.MAX_QUOTE_CHARS) - F.length("trigger")
+    begin = F.when(size <= di.MAX_QUOTE_CHARS, F.lit(0)).when(slack <= 0, start).otherwise(F.greatest(F.lit(0), start - F.floor(slack / 2)))
+    end = F.when(size <= di.MAX_QUOTE_CHARS, size).when(slack <= 0, start + F.length("trigger")).otherwise(F.least(size, begin + di.MAX_QUOTE_CHARS))
+    out = out.withColumns({"quote_start": begin.cast("int"), "quote_end": end.cast("int")})
+    quote = F.substring("sentence", F.col("quote_start") + 1, F.col("quote_end") - F.col("quote_start"))
+    return out.select(*key, "sentence", "code", "specificity", "pattern", "trigger", start.alias("trigger_start"), "assertion", "quote_start", quote.alias("quote"))
 
 
 def deduplicate(rows: DataFrame, key: Sequence[str], text: str, order: Sequence[str]) -> DataFrame:
     """The first row of each key and text with white space collapsed."""
-    norm = fx.collapse_space(F.lower(F.col(text)))
+    norm = fx.collapse_space(view(text))
     w = Window.partitionBy(*key, "_norm").orderBy(*order)
     return rows.withColumn("_norm", norm).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_norm", "_rn")
 
 
+def analyze(docs: DataFrame, key: Sequence[str], wanted: Sequence[str] = SECTIONS, text: str = "text", catalog: Sequence[Definition] = CATALOG, hypothetical: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(statements, coverage) of documents by their sections.
+
+    Statements have section_id and places in the document, each distinct one once, the first of it;
+    coverage has a row for every wanted section, located or not, with its characters and sentences.
+    """
+    from meridia.operators import documents as do
+
+    located = docs.select(*key, F.col(text).alias("_t"), F.explode_outer(do.sections(text)).alias("s")).where(F.col("s.section_id").isin(*wanted))
+    body = F.substring("_t", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    bodies = located.select(*key, F.col("s.section_id").alias("section_id"), F.col("s.start").alias("section_start"), body.alias("body"))
+    rows = sentences(bodies, (*key, "section_id", "section_start"), "body")
+    found = statements(rows, (*key, "section_id", "section_start", "start"), catalog, hypothetical=hypothetical)
+    found = found.withColumns({"char_start": F.col("section_start") + F.col("start") + F.col("quote_start"), "char_end": F.col("section_start") + F.col("start") + F.col("quote_start") + F.length("quote")})
+    order = ("section_id", "char_start", "pattern")
+    unique = deduplicate(found, (*key, "code"), "quote", order).drop("section_start", "start", "quote_start", "sentence")
+    counts = rows.groupBy(*key, "section_id").agg(F.count(F.lit(1)).alias("sentences"))
+    have = bodies.select(*key, "section_id", F.length("body").alias("characters")).join(counts, [*key, "section_id"], "left")
+    every = docs.select(*key).distinct().select(*key, F.explode(F.array(*[F.lit(s) for s in wanted])).alias("section_id"))
+    coverage = every.join(have, [*key, "section_id"], "left")
+    reason = F.when(F.col("characters").isNull(), F.lit("section not located in this document"))
+    coverage = coverage.select(*key, "section_id", F.col("characters").isNotNull().alias("located"), F.coalesce("characters", F.lit(0)).alias("characters"), F.coalesce("sentences", F.lit(0)).cast("long").alias("sentences"), reason.alias("reason"))
+    return unique, coverage
+
+
+def codes(found: DataFrame, key: Sequence[str], asserted_only: bool = True) -> DataFrame:
+    """The distinct codes of each document, sorted."""
+    rows = found.where("assertion = 'asserted'") if asserted_only else found
+    return rows.groupBy(*key).agg(F.array_sort(F.collect_set("code")).alias("codes"))
+
+
 def verify_quotes(rows: DataFrame, text: str = "text") -> DataFrame:
     """Rows with verbatim: the text at [start, end) is the sentence."""
     return rows.withColumn("verbatim", F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("sentence"))

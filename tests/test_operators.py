@@ -55,12 +55,16 @@ def test_scalars(spark):
 
 
 def test_text_functions():
-    text = "The U.S. market fell by 3.5 percent. Mr. Smith disagreed with that view strongly.\nA\ttable\trow that is long enough to count.\nToo short."
+    text = "The U.S. market fell by 3.5 percent. Acme Inc. Holdings disagreed with that view.\nA\ttable\trow that is long enough to count.\nToo short."
     spans = tx.sentences(text)
-    assert [text[a:b] for a, b in spans] == ["The U.S. market fell by 3.5 percent.", "Mr. Smith disagreed with that view strongly."]
+    assert [text[a:b] for a, b in spans] == ["The U.S. market fell by 3.5 percent.", "Acme Inc. Holdings disagreed with that view."]
     assert len(tx.fold("İ“x”")) == 4 and tx.fold("“A–B”") == '"a-b"'
-    got = [(t, v, round(tol, 9)) for t, _, _, v, tol in tx.number_mentions("FY2024 rose $1,234.5 million or (12.5%) in 0001234567-25-000001")]
-    assert got[0][1:] == (1234.5e6, 50000.0) and abs(abs(got[1][1]) - 0.125) < 1e-12 and len(got) == 2
+    got = tx.number_mentions("FY2024 rose $1,234.5 million or 22% of -7 in 0001234567-25-000001, EV-MS-77ca0e19, $5bn")
+    assert [t for t, *_ in got] == ["$1,234.5 million", "22%", "-7", "$5bn"]
+    readings = [[(round(v, 9), round(h, 9)) for v, h in r] for *_, r in got]
+    assert readings[0] == [(1234.5e6, 50000.0), (1234.5, 0.05), (-1234.5e6, 50000.0)]
+    assert readings[1] == [(22.0, 0.5), (-22.0, 0.5), (0.22, 0.005)] and readings[2] == [(-7.0, 0.5)]
+    assert readings[3] == [(5e9, 0.5e9), (5.0, 0.5), (-5e9, 0.5e9)]
     assert tx.render_candidates(-1500.0) == ["(1,500)", "-1,500", "1,500", "(1,500.0)", "-1,500.0", "1,500.0", "(1,500.00)", "-1,500.00", "1,500.00", "(1.5)", "-1.5", "1.5", "(1.50)", "-1.50", "1.50"]
 
 
@@ -70,7 +74,7 @@ def test_facts(spark):
     got = fo.as_of(f, F.lit("2024-12-31").cast("date"), ("cik", "concept"), ("filed", "accession"), ("value",)).collect()
     assert [(r.value, r.accession) for r in got] == [(1.0, "a")]
     r = fo.restatements(f.where("filed is not null"), ("cik", "concept"), ("filed", "accession")).first()
-    assert (r.first_value, r.last_value, r.n_changes, r.kind) == (1.0, 2.0, 1, "same_tag")
+    assert (r.first_value, r.restated_value, r.n_changes, r.kind) == (1.0, 2.0, 1, "same_tag")
     assert fo.completeness(f.limit(0)).first()[0] == 0.0
 
 
@@ -136,17 +140,60 @@ def test_metrics_against_definitions(spark):
     assert me.brier_log_loss(df).first().brier is None
 
 
+@pytest.mark.parametrize(
+    ("sentence", "code", "assertion"),
+    [
+        ("There is substantial doubt about our ability to continue as a going concern.", "going_concern_doubt", "asserted"),
+        ("We were not in compliance with the covenants.", "covenant_breach", "asserted"), ("We are currently in compliance with all covenants.", "covenant_breach", "negated"),
+        ("There was no event of default has occurred statement.", "debt_default_or_acceleration", "negated"), ("We received no notice of default.", "debt_default_or_acceleration", "negated"),
+        ("We did not receive a notice of default.", "debt_default_or_acceleration", "asserted"), ("The company was not late, defaulted on its loan.", "debt_default_or_acceleration", "asserted"),
+        ("If we receive a notice of default, we stop.", "debt_default_or_acceleration", "hypothetical"), ("A notice of default could follow.", "debt_default_or_acceleration", "hypothetical"),
+        ("To the extent that a waiver of covenant is needed, none exists.", "covenant_waiver_or_amendment", "hypothetical"),
+        ("The notice of default is described in Note 3 to the statements.", "debt_default_or_acceleration", "cross_reference"),
+        ("As of December 31 a forbearance agreement may end.", "debt_restructuring", "asserted"), ("Moody\u2019s downgraded our credit rating.", "credit_rating_downgrade", "asserted"),
+    ],
+)
+def test_moods(spark, sentence, code, assertion):
+    df = spark.createDataFrame([(1, sentence)], "id int, sentence string")
+    got = {r.code: r.assertion for r in na.statements(df, ("id",), gate=False).collect()}
+    assert got[code] == assertion
+    assert (code in {r.code for r in na.statements(df, ("id",)).collect()}) == (assertion in ("asserted", "negated"))
+
+
 def test_statements(spark):
-    rows = ["There is substantial doubt about our ability to continue as a going concern.", "If we fail, an event of default occurred notice may follow.", "We were not in compliance with the covenants.", "We did not receive a notice of default.", "Event of default means a breach of covenant."]
-    df = spark.createDataFrame(list(enumerate(rows)), "id int, sentence string")
-    got = {(r.id, r.code): r.assertion for r in na.statements(df, ("id",)).collect()}
-    assert got[0, "going_concern_doubt"] == "asserted" and got[1, "debt_default_or_acceleration"] == "hypothetical"
-    # The trigger itself holds "in compliance", which denies unless the negation is part of it.
-    assert got[2, "covenant_breach"] == "asserted" and (4, "covenant_breach") not in got and (3, "debt_default_or_acceleration") in got
-    docs = spark.createDataFrame([(1, "Ünïcode 🙂 sentence that is long enough. Another one that is long enough too.")], "id int, text string")
+    excluded = ["The agreement provides that we obtained a waiver.", "An impairment was recorded without any amount.", "Nothing to see in this plain sentence."]
+    df = spark.createDataFrame(list(enumerate(excluded)), "id int, sentence string")
+    assert na.statements(df, ("id",), gate=False).count() == 0
+    long = "\u0130\U0001f642 " + "word " * 150 + "we obtained a waiver " + "tail " * 100
+    r = na.statements(spark.createDataFrame([(1, long)], "id int, sentence string"), ("id",)).first()
+    assert len(r.quote) == 400 and long[r.quote_start : r.quote_start + 400] == r.quote and long[r.trigger_start :].startswith("obtained a waiver")
+    assert sum(len(c.patterns) for c in na.CATALOG) == 54 and len(na.CATALOG) == 12
+    docs = spark.createDataFrame([(1, "\u00dcn\u00efcode \U0001f642 sentence that is long enough. Another one that is long enough too.")], "id int, text string")
     assert all(r.verbatim for r in na.verify_quotes(na.sentences(docs, ("id", "text"))).collect())
 
 
+def test_analyze(spark):
+    risk = "Item 1A. Risk Factors\n" + "We received a notice of default from our lenders last week.\n" * 2 + "Plain words that fill the body of this item. " * 6
+    text = "Item 1. Business\n" + "We sell things to people in many places. " * 8 + "\n" + risk + "\nItem 1B. Unresolved Staff Comments\nNone of this ends in the item before. We filed voluntary petitions under chapter 11 here.\nItem 2. Properties\n" + "Land. " * 50
+    docs = spark.createDataFrame([(1, text), (2, "no items at all"), (3, None)], "id int, text string")
+    found, coverage = na.analyze(docs, ("id",))
+    rows = found.collect()
+    assert [(r.id, r.section_id, r.code, text[r.char_start : r.char_end]) for r in rows] == [(1, "item_1a", "debt_default_or_acceleration", "We received a notice of default from our lenders last week.")]
+    located = {(r.id, r.section_id): (r.located, r.reason is None) for r in coverage.collect()}
+    assert located[1, "item_1a"] == (True, True) and len(located) == 9 and sum(a for a, _ in located.values()) == 1
+    assert all(a == b for a, b in located.values())
+    assert [(k, a) for k, a, b in do.sections_of(text)] == [("item_1", 0), ("item_1a", text.index("Item 1A"))]
+    assert do.sections_of(text)[1][2] == text.index("Item 1B") and do.missing_sections(text) == ["item_7", "item_8"]
+    assert [r.codes for r in na.codes(found, ("id",)).collect()] == [["debt_default_or_acceleration"]]
+
+
+def test_forbidden_wording(spark):
+    bad = ["There is a 40% chance of default", "We recommend declining the loan", "We assigned a rating of BB", "It will go bankrupt", "The firm is creditworthy"]
+    good = ["There is not 40% chance of it", "We recommend a review", "Debt rose", None]
+    df = spark.createDataFrame([(t,) for t in bad + good], "t string")
+    assert [r.x for r in df.select(gr.forbidden(F.col("t")).alias("x")).collect()] == [True] * 5 + [False] * 4
+
+
 def test_documents(spark):
     page = "<html><title>t</title><body><h1>Item 1. Business</h1><p>" + "words " * 60 + "</p><p>Consolidated balance sheet</p><table><tr><th colspan=2>A</th><th>2024</th></tr><tr><td rowspan=2>Cash</td><td>x</td><td>1,500</td></tr><tr><td>y</td><td>2</td></tr></table><h1>Item 1A. Risk</h1><p>" + "risk " * 60 + "</p></body></html>"
     pages = spark.createDataFrame([(1, page), (2, None)], "id int, html string")
