@@ -46,7 +46,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MAR
     lines = lines_of(docs, site_col)
     key = ["h1", "h2"]
     often = lines.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).where(F.col("n") >= min_sites)
-    often = sh.written(often.select(*key, "first"), "often-lines")
+    often = sh.held(often.select(*key, "first"))
     spread = (
         lines.select(*key, "site")
         .join(often, key)
@@ -54,7 +54,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MAR
         .agg(F.hll_sketch_agg(F.col("site").cast("string"), LG_K).alias("sketch"))
         .select(*key, "first", F.hll_sketch_estimate("sketch").alias("estimate"))
     )
-    spread = sh.written(spread, "line-spread")
+    spread = sh.held(spread)
     low, high = min_sites * (1 - margin) - 1, min_sites * (1 + margin) + 1
     near = spread.where(F.col("estimate").between(low, high)).select(*key, "first")
     exact = (
