@@ -116,3 +116,38 @@ def multi_dimension(dimensions: DataFrame, entity: str, least: int = MULTI_DIMEN
     """Entities with that many deteriorating dimensions."""
     rows = dimensions.groupBy(entity).agg(F.count_if(F.col("dimension_status") == "deteriorating").alias("n_deteriorating"))
     return rows.where(F.col("n_deteriorating") >= least)
+
+
+def explanation(ratio: Column, direction: Column, first: Column, last: Column, percent: Column, n: Column) -> Column:
+    """A trend in words; the percentage is told only where its sign agrees with the change's."""
+    agrees = percent.isNotNull() & (F.signum(percent) == F.signum(last - first))
+    told = F.when(agrees, F.format_string(" (%+.1f%%)", 100 * percent)).otherwise(F.lit(""))
+    moved = F.format_string("%s %s from %.4g to %.4g over %d periods", ratio, direction, first, last, n)
+    return F.when(direction.isin("increasing", "decreasing", "stable"), F.concat(moved, told, F.lit("."))).otherwise(F.format_string("%s: %s.", ratio, direction))
+
+
+def by_dimension(trend_rows: DataFrame, entity: str, order: Sequence[str]) -> DataFrame:
+    """Each entity's trends of every dimension as one sorted array, dimensions in catalog order."""
+    place = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("category"))
+    rows = trend_rows.groupBy(entity, "category").agg(F.array_sort(F.collect_list(F.struct("ratio", "direction", "health"))).alias("trends"))
+    return rows.withColumn("place", place)
+
+
+def trend_counts(trend_rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """All trends, those with a direction, and those with too little history."""
+    known = F.col("direction").isin("increasing", "decreasing", "stable")
+    rows = trend_rows.groupBy(*by) if by else trend_rows.groupBy()
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(known).alias("n_conclusive"), F.count_if(F.col("direction") == "insufficient").alias("n_insufficient"))
+
+
+def limited_history(trend_rows: DataFrame, entity: str) -> DataFrame:
+    """Whether no trend of an entity has a direction."""
+    return trend_rows.groupBy(entity).agg(F.every(F.col("direction") == "insufficient").alias("limited"))
+
+
+def report(series: DataFrame, entity: str, higher_is_stronger: Column, n: int = ANALYSIS_WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(trends, dimensions, signals) of the last n periods of a series (entity, ratio, category, fy, value, status)."""
+    found = trends(last_periods(series, entity, n), (entity, "ratio", "category"), higher_is_stronger)
+    dimensions = dimension_status(found, (entity, "category"))
+    wide = multi_dimension(dimensions, entity).select(entity, F.lit(None).cast("string").alias("ratio"), F.lit("multi_dimension_deterioration").alias("signal"))
+    return found, dimensions, signals(found, entity).unionByName(wide)

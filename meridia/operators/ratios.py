@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ZERO_TOLERANCE = 1.0
@@ -25,6 +25,8 @@ class Ratio:
     unit: str = "x"
     negative_allowed: bool = False
     higher_is_stronger: bool = True
+    #: Whether a denominator that is small beside the numerator is worth a warning.
+    near_zero: bool = False
 
     @property
     def inputs(self) -> tuple[str, ...]:
@@ -43,7 +45,7 @@ RATIOS = (
     Ratio("net_profit_margin", "profitability", ("net_income",), "revenue", "%"),
     Ratio("roa", "profitability", ("net_income",), "total_assets", "%"),
     Ratio("roe", "profitability", ("net_income",), "shareholders_equity", "%", True),
-    Ratio("interest_coverage", "coverage", ("ebit",), "interest_expense"),
+    Ratio("interest_coverage", "coverage", ("ebit",), "interest_expense", near_zero=True),
     Ratio("ocf_to_debt", "cash_flow", ("operating_cash_flow",), "total_debt", "%"),
     Ratio("ocf_to_revenue", "cash_flow", ("operating_cash_flow",), "revenue", "%"),
 )
@@ -58,11 +60,14 @@ def calculate(wide: DataFrame, key: Sequence[str], ratios: Sequence[Ratio] = RAT
     rows = []
     for r in ratios:
         conflicting, missing = F.lit(False), F.lit(False)
-        derived = F.lit(False)
+        marks = {"status": {"derived": F.lit(False), "manually_corrected": F.lit(False)}, "confidence": {"low": F.lit(False)}}
         for c in r.inputs:
             if f"{c}_status" in wide.columns:
                 conflicting = conflicting | F.coalesce(F.col(f"{c}_status") == "conflicting", F.lit(False))
-                derived = derived | F.coalesce(F.col(f"{c}_status") == "derived", F.lit(False))
+            for kind, found in marks.items():
+                if f"{c}_{kind}" in wide.columns:
+                    for mark in found:
+                        found[mark] = found[mark] | F.coalesce(F.col(f"{c}_{kind}") == mark, F.lit(False))
             missing = missing | F.col(c).isNull()
         d = F.col(r.denominator).cast("double")
         n = sum((F.col(c).cast("double") for c in r.numerator[1:]), F.col(r.numerator[0]).cast("double"))
@@ -71,17 +76,45 @@ def calculate(wide: DataFrame, key: Sequence[str], ratios: Sequence[Ratio] = RAT
             invalid = invalid | (d < 0)
         status = F.when(conflicting, F.lit(CONFLICTING_INPUT)).when(missing, F.lit(MISSING_INPUT)).when(invalid, F.lit(INVALID_DENOMINATOR)).otherwise(F.lit(CALCULATED))
         value = F.when(status == CALCULATED, n / F.when(d != 0, d))
-        warnings = F.array_compact(
-            F.array(
-                F.when((status == CALCULATED) & (d < 0), F.lit("NEGATIVE_EQUITY" if r.negative_allowed else "NEGATIVE_DENOMINATOR")),
-                F.when((status == CALCULATED) & (F.abs(d) < NEAR_ZERO_SHARE * F.abs(n)), F.lit("NEAR_ZERO_DENOMINATOR")),
-                F.when((status == CALCULATED) & derived, F.lit("DERIVED_INPUT")),
-            )
-        )
+        told = [
+            (F.lit(r.negative_allowed) & (d < 0), "NEGATIVE_EQUITY"), (F.lit(r.near_zero) & (F.abs(d) < NEAR_ZERO_SHARE * F.abs(n)), "NEAR_ZERO_DENOMINATOR"),
+            (marks["confidence"]["low"], "LOW_CONFIDENCE_INPUT"), (marks["status"]["derived"], "DERIVED_INPUT"), (marks["status"]["manually_corrected"], "MANUAL_INPUT"),
+        ]
+        warnings = F.array_compact(F.array(*[F.when((status == CALCULATED) & when, F.lit(code)) for when, code in told]))
         rows.append(F.struct(F.lit(r.name).alias("ratio"), F.lit(r.category).alias("category"), value.alias("value"), status.alias("status"), warnings.alias("warnings")))
     return wide.select(*key, F.inline(F.array(*rows)))
 
 
+def data_quality(series: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The worst warning over calculated results: low_confidence, manually_adjusted, derived_inputs or good."""
+    rows = series.where(F.col("status") == CALCULATED)
+    has = {code: F.coalesce(F.bool_or(F.array_contains("warnings", code)), F.lit(False)) for code in ("LOW_CONFIDENCE_INPUT", "MANUAL_INPUT", "DERIVED_INPUT")}
+    level = F.when(has["LOW_CONFIDENCE_INPUT"], F.lit("low_confidence")).when(has["MANUAL_INPUT"], F.lit("manually_adjusted")).when(has["DERIVED_INPUT"], F.lit("derived_inputs")).otherwise(F.lit("good"))
+    return rows.groupBy(*key).agg(level.alias("data_quality"), F.count(F.lit(1)).alias("n_calculated"))
+
+
+def quality_rollup(series: DataFrame, key: Sequence[str], ratio: str = "ratio") -> DataFrame:
+    """For each key the ratios with each kind of warning, sorted, and the worst level."""
+    rows = data_quality(series, (*key, ratio))
+    lists = [F.array_sort(F.collect_list(F.when(F.col("data_quality") == q, F.col(ratio)))).alias(q) for q in ("low_confidence", "manually_adjusted", "derived_inputs", "good")]
+    worst = F.min(F.when(F.col("data_quality") == "low_confidence", 0).when(F.col("data_quality") == "manually_adjusted", 1).when(F.col("data_quality") == "derived_inputs", 2).otherwise(3))
+    names = F.array(*[F.lit(x) for x in ("low_confidence", "manually_adjusted", "derived_inputs", "good")])
+    return rows.groupBy(*key).agg(*lists, F.get(names, worst).alias("level"))
+
+
+def last_changes(series: DataFrame, key: Sequence[str], year: str = "fy") -> DataFrame:
+    """The newest change of each series, as changes() has it."""
+    rows = changes(series, key, year)
+    return rows.groupBy(*key).agg(F.max_by(F.struct(year, "prior", "value", "absolute", "percent"), F.col(year)).alias("c")).select(*key, "c.*")
+
+
+def formatted(value: Column, unit: Column | str) -> Column:
+    """A ratio as text: a multiple with x, a percentage with one place; a dash for null."""
+    unit = F.lit(unit) if isinstance(unit, str) else unit
+    text = F.when(unit == "%", F.format_string("%.1f%%", 100 * value)).when(unit == "x", F.format_string("%.2fx", value)).otherwise(F.format_string("%,.2f", value))
+    return F.when(value.isNull(), F.lit("—")).otherwise(text)
+
+
 def changes(series: DataFrame, key: Sequence[str], year: str = "fy") -> DataFrame:
     """Change from the position before, where both are calculated; gaps are never bridged."""
     w = Window.partitionBy(*key).orderBy(year)

@@ -139,7 +139,7 @@ RATIOS = (
     ro.Ratio("reduction_rate", "margin", ("reduction",), "price", "%", higher_is_stronger=False),
     ro.Ratio("duty_rate", "margin", ("duty",), "price", "%"),
     ro.Ratio("unit_price", "size", ("price",), "quantity"),
-    ro.Ratio("price_to_balance", "leverage", ("price", "duty"), "balance", higher_is_stronger=False),
+    ro.Ratio("price_to_balance", "leverage", ("price", "duty"), "balance", higher_is_stronger=False, near_zero=True),
     ro.Ratio("balance_signed", "leverage", ("price",), "balance", negative_allowed=True, higher_is_stronger=False),
 )
 _LONG = [(r.name, r.category, " + ".join(r.numerator), r.denominator, r.negative_allowed) for r in RATIOS]
@@ -151,7 +151,7 @@ RATIO_SQL = (
  CASE WHEN {num} IS NULL OR {den} IS NULL THEN 'missing_input' WHEN abs({den}) < 1.0 {'' if neg else f'OR {den} < 0'} THEN 'invalid_denominator' ELSE 'calculated' END AS status, {str(neg).lower()} AS neg FROM yearly"""
         for n, c, num, den, neg in _LONG
     )
-    + "), ratios AS (SELECT entity, fy, ratio, category, status, CASE WHEN status = 'calculated' THEN n / d END AS value, status = 'calculated' AND d < 0 AS negative_equity, status = 'calculated' AND abs(d) < 0.02 * abs(n) AS near_zero FROM ratio_long)"
+    + "), ratios AS (SELECT entity, fy, ratio, category, status, CASE WHEN status = 'calculated' THEN n / d END AS value, status = 'calculated' AND d < 0 AND ratio = 'balance_signed' AS negative_equity, status = 'calculated' AND abs(d) < 0.02 * abs(n) AND ratio = 'price_to_balance' AS near_zero FROM ratio_long)"
 )
 
 

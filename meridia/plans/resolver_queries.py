@@ -8,8 +8,14 @@ from meridia.functions import scalars as fx
 from meridia.operators import audits as au
 from meridia.operators import catalog as ca
 from meridia.operators import facts as fo
+from meridia.operators import features as fe
+from meridia.operators import health as ho
+from meridia.operators import labels as lb
+from meridia.operators import ratios as ro
 from meridia.operators import resolver as rs
 from meridia.plans import frames as fr
+from meridia.plans import health_queries as hq
+from meridia.plans import fact_queries as fq
 from meridia.plans.registry import query
 
 _TAGS = [(t[0], t[3]) for t in ca.tag_rows()] + [("SalesRevenueNet", ca.DURATION)]
@@ -89,13 +95,13 @@ top AS (SELECT entity, accession, fy, concept, statement, nature, policy, min(pr
 cmp AS (SELECT top.*, coalesce(bool_or(abs(v0 - v) > greatest(1.0, 0.001 * greatest(abs(v0), abs(v)))), false) AS dis, count(*) FILTER (WHERE v <> v0) AS n_diff FROM top JOIN pt USING (entity, accession, fy, concept) GROUP BY ALL),
 alts AS (SELECT accession, fy, concept, grp, min(alt) AS alt FROM pt WHERE grp > 0 GROUP BY ALL),
 parts AS (SELECT accession, fy, concept, sum(v) AS total, count(*) AS n_used, count(DISTINCT grp) AS n_groups, string_agg(tag, ' + ' ORDER BY priority) AS names FROM pt JOIN alts USING (accession, fy, concept, grp, alt) GROUP BY ALL),
-dir0 AS (SELECT cmp.*, total, n_used, n_groups, names, several IS NOT NULL OR (policy = 'alternates' AND dis) AS clash, policy = 'components' AND p0 > 0 AS summed FROM cmp LEFT JOIN parts USING (accession, fy, concept)),
-dir AS (SELECT entity, accession, fy, concept, statement, nature, CASE WHEN clash THEN NULL WHEN summed THEN total ELSE v0 END AS value,
+direct0 AS (SELECT cmp.*, total, n_used, n_groups, names, several IS NOT NULL OR (policy = 'alternates' AND dis) AS clash, policy = 'components' AND p0 > 0 AS summed FROM cmp LEFT JOIN parts USING (accession, fy, concept)),
+direct AS (SELECT entity, accession, fy, concept, statement, nature, CASE WHEN clash THEN NULL WHEN summed THEN total ELSE v0 END AS value,
   CASE WHEN clash THEN 'conflicting' WHEN summed AND n_used > 1 THEN 'derived' ELSE 'found' END AS status, CASE WHEN clash THEN NULL WHEN summed THEN names ELSE t0 END AS how,
   CASE WHEN clash THEN 'low' WHEN policy = 'components' THEN CASE WHEN summed AND (n_used > 1 OR n_groups < 2) THEN 'medium' ELSE 'high' END WHEN p0 > 0 OR dis THEN 'medium' ELSE 'high' END AS confidence,
-  CASE WHEN several IS NOT NULL THEN several WHEN clash THEN n_tags WHEN policy = 'components' THEN 0 ELSE n_diff END AS n_candidates FROM dir0),
+  CASE WHEN several IS NOT NULL THEN several WHEN clash THEN n_tags WHEN policy = 'components' THEN 0 ELSE n_diff END AS n_candidates FROM direct0),
 w0 AS (SELECT entity, accession, fy, bool_or(nature = 'instant') AS seen_instant, bool_or(nature = 'duration') AS seen_duration,
-  list(DISTINCT statement) FILTER (WHERE concept NOT IN ({_ROLL})) AS shown, {_PIVOT} FROM dir GROUP BY entity, accession, fy){_PASSES},
+  list(DISTINCT statement) FILTER (WHERE concept NOT IN ({_ROLL})) AS shown, {_PIVOT} FROM direct GROUP BY entity, accession, fy){_PASSES},
 canonical AS ({_LONG})"""
 
 
@@ -108,7 +114,7 @@ def canonical_facts(spark, sf_dir):
     return canonical(spark, sf_dir).select("entity", "accession", "fy", "concept", "statement", (F.col("value") + 0.0).alias("value"), "status", "formula")
 
 
-@query(f"WITH {CANONICAL} SELECT entity, accession, fy, concept, status, confidence, n_candidates FROM dir")
+@query(f"WITH {CANONICAL} SELECT entity, accession, fy, concept, status, confidence, n_candidates FROM direct")
 def direct_tag_policies(spark, sf_dir):
     out = rs.direct(rs.annual_entries(company_facts(spark, sf_dir), filings(spark, sf_dir)))
     return out.select("entity", "accession", "fy", "concept", "status", "confidence", F.size("candidates").cast("long").alias("n_candidates"))
@@ -254,3 +260,116 @@ def period_labels_parsed(spark, sf_dir):
     p = fx.parse_period_label(text)
     rows = o.select("accession", shown.alias("shown"), p.alias("p"))
     return rows.select("accession", F.year("p.end").cast("long").alias("y"), fx.period_label("p.end").alias("label"), "shown", (F.col("p.nature") == ca.DURATION).alias("is_duration"))
+
+
+# The panel: every trigger's view, its ratios and trends.
+
+
+def view(spark, sf_dir):
+    return rs.visible_facts(canonical(spark, sf_dir), filings(spark, sf_dir))
+
+
+_COLS = ", ".join(f"max(value) FILTER (WHERE concept = '{c}') AS {c}, bool_or(concept = '{c}' AND status = 'derived') AS {c}_d" for c in fe.CONCEPTS)
+_RATIO_LONG = " UNION ALL ".join(
+    f"""SELECT trigger AS entity, fy, '{r.name}' AS ratio, '{r.category}' AS category, {' + '.join(r.numerator)} AS n, {r.denominator} AS d,
+ CASE WHEN {' + '.join(r.inputs)} IS NULL THEN 'missing_input' WHEN abs({r.denominator}) < 1.0 {'' if r.negative_allowed else f'OR {r.denominator} < 0'} THEN 'invalid_denominator' ELSE 'calculated' END AS status,
+ {str(r.negative_allowed).lower()} AS neg, {' OR '.join(c + '_d' for c in r.inputs)} AS derived FROM pw"""
+    for r in ro.RATIOS
+)
+_LOWER = ", ".join(f"'{r.name}'" for r in ro.RATIOS if not r.higher_is_stronger)
+_TREND_REST = hq.TREND_SQL[len(fq.RATIO_SQL) :].replace("'reduction_rate', 'price_to_balance', 'balance_signed'", _LOWER)
+assert _LOWER in _TREND_REST
+PANEL = f"""{SEEN.replace("r.value, r.accession AS source", "r.value, r.status, r.accession AS source")}, pw AS (SELECT trigger, fy, {_COLS} FROM known GROUP BY ALL),
+rlong AS ({_RATIO_LONG}),
+rall AS (SELECT entity, fy, ratio, category, status, CASE WHEN status = 'calculated' THEN n / d END AS value, status = 'calculated' AND neg AND d < 0 AS negative_equity, derived, dense_rank() OVER (PARTITION BY entity ORDER BY fy DESC) AS back FROM rlong),
+ratios AS (SELECT * FROM rall WHERE back <= 5){_TREND_REST}"""
+
+
+@query(f"WITH {PANEL} SELECT entity AS trigger, fy, ratio, round(value, 9) AS value, status, negative_equity, status = 'calculated' AND derived AS derived FROM rall")
+def panel_ratios(spark, sf_dir):
+    out = fe.ratio_rows(fe.wide_view(view(spark, sf_dir)))
+    return out.select("trigger", "fy", "ratio", F.round("value", 9).alias("value"), "status", F.array_contains("warnings", "NEGATIVE_EQUITY").alias("negative_equity"), F.array_contains("warnings", "DERIVED_INPUT").alias("derived"))
+
+
+def _num(name):
+    return f"round({name}, 8) + 0.0 AS {name}"
+
+
+_LATEST = "l AS (SELECT pw.* FROM pw JOIN (SELECT trigger, max(fy) AS fy FROM pw GROUP BY trigger) USING (trigger, fy))"
+_RATIO_FEATURES = ", ".join(f"round(arg_max(value, fy) FILTER (WHERE ratio = '{r}' AND status = 'calculated'), 8) + 0.0 AS ratio_{r}" for r in fe.RATIO_NAMES)
+_COVERED = " + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in fe.INPUTS)
+
+
+def _panel(spark, sf_dir):
+    return fe.build(view(spark, sf_dir))
+
+
+@query(f"""WITH {PANEL}, {_LATEST}, q AS (SELECT entity AS trigger, {_RATIO_FEATURES}, count(*) FILTER (WHERE status = 'calculated' AND back = 1) / 13 AS ratio_coverage,
+ count(*) FILTER (WHERE status = 'calculated' AND back = 1 AND derived) AS nd, count(*) FILTER (WHERE status = 'calculated' AND back = 1) AS nc, CAST(least(count(DISTINCT fy), 5) AS DOUBLE) AS periods_available FROM rall GROUP BY entity)
+SELECT trigger, fy, {', '.join(f"CASE WHEN {c} > 0 THEN round(ln({c}), 8) END AS log_{c}" for c in ("total_assets", "revenue"))},
+ CASE WHEN abs(total_assets) >= 1 THEN round((current_assets - current_liabilities) / total_assets, 8) + 0.0 END AS working_capital_to_assets, CASE WHEN abs(total_assets) >= 1 THEN round((operating_cash_flow - capital_expenditures) / total_assets, 8) + 0.0 END AS fcf_to_assets,
+ CASE WHEN abs(total_debt) >= 1 THEN round(operating_cash_flow / total_debt, 8) + 0.0 END AS retained_cash_flow_to_debt, {', '.join(f"ratio_{r}" for r in fe.RATIO_NAMES)},
+ round(ratio_coverage, 9) AS ratio_coverage, round(({_COVERED}) / {len(fe.INPUTS)}, 9) AS fact_coverage, periods_available, CASE WHEN nc > 0 THEN round(nd / nc, 9) END AS derived_input_share FROM l JOIN q USING (trigger)""")
+def panel_level_features(spark, sf_dir):
+    """Sizes, levels, ratios and quality of the panel."""
+    p = _panel(spark, sf_dir)
+    eight = ["working_capital_to_assets", "fcf_to_assets", "retained_cash_flow_to_debt", *[f"ratio_{r}" for r in fe.RATIO_NAMES]]
+    return p.select("trigger", "fy", F.round("log_total_assets", 8).alias("log_total_assets"), F.round("log_revenue", 8).alias("log_revenue"), *[(F.round(c, 8) + 0.0).alias(c) for c in eight], *[F.round(c, 9).alias(c) for c in ("ratio_coverage", "fact_coverage", "derived_input_share")], "periods_available")
+
+
+_TREND_FEATURES = ", ".join(f"round(max(percent0) FILTER (WHERE ratio = '{r}' AND direction IN ('stable', 'increasing', 'decreasing')), 7) + 0.0 AS trend_pct_{r}" for r in fe.RATIO_NAMES)
+_SIGNAL_CASE = "CASE ratio " + " ".join(f"WHEN '{r}' THEN '{s}'" for r, s in ho.DETERIORATION_SIGNAL.items()) + " END"
+_DIM_FEATURES = ", ".join(f"max(CASE WHEN category = '{d}' AND dimension_status <> 'insufficient' THEN CAST(dimension_status = 'deteriorating' AS DOUBLE) END) AS dim_deteriorating_{d}" for d in fe.DIMENSIONS)
+_SIGNAL_FEATURES = ", ".join(f"CAST(coalesce(bool_or(signal = '{s}'), false) AS DOUBLE) AS signal_{s}" for s in fe.SIGNALS)
+
+
+@query(f"""WITH {PANEL}, sig AS (SELECT entity, {_SIGNAL_CASE} AS signal FROM trends WHERE health = 'deteriorating' UNION ALL SELECT entity, 'negative_equity' FROM trends WHERE negative_equity UNION ALL SELECT entity, 'unusual_movement' FROM trends WHERE unusual
+ UNION ALL SELECT entity, 'multi_dimension_deterioration' FROM dim_status WHERE dimension_status = 'deteriorating' GROUP BY entity HAVING count(*) >= 3),
+t AS (SELECT entity, {_TREND_FEATURES}, CAST(count(*) FILTER (WHERE health = 'deteriorating') AS DOUBLE) AS n_deteriorating_ratios, CAST(count(*) FILTER (WHERE health = 'improving') AS DOUBLE) AS n_improving_ratios,
+  CAST(coalesce(max(persistence) FILTER (WHERE health = 'deteriorating'), 0) AS DOUBLE) AS max_deterioration_persistence, CAST(count(*) FILTER (WHERE unusual) AS DOUBLE) AS n_unusual_movements FROM trends GROUP BY entity),
+d AS (SELECT entity, {_DIM_FEATURES} FROM dim_status GROUP BY entity), flags AS (SELECT entity, {_SIGNAL_FEATURES} FROM sig GROUP BY entity)
+SELECT t.entity AS trigger, t.* EXCLUDE (entity), d.* EXCLUDE (entity), {', '.join(f"coalesce(signal_{x}, 0.0) AS signal_{x}" for x in fe.SIGNALS)} FROM t JOIN d USING (entity) LEFT JOIN flags USING (entity)""")
+def panel_trend_features(spark, sf_dir):
+    """Trends, signals and dimensions of the panel."""
+    p = _panel(spark, sf_dir)
+    pct = [f"trend_pct_{r}" for r in fe.RATIO_NAMES]
+    rest = [n for n in fe.names_of("trends", "signals") if n not in pct]
+    return p.select("trigger", *[(F.round(c, 7) + 0.0).alias(c) for c in pct], *rest)
+
+
+@query(f"WITH {PANEL} SELECT category, direction, health, count(*) AS n FROM trends GROUP BY ALL")
+def panel_trend_mix(spark, sf_dir):
+    series = fe.ratio_rows(fe.wide_view(view(spark, sf_dir)))
+    found, _, _ = ho.report(series, "trigger", fe.stronger_when_higher())
+    return found.groupBy("category", "direction", "health").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {PANEL} SELECT entity AS trigger, count(*) AS n, count(*) FILTER (WHERE direction IN ('increasing', 'decreasing', 'stable')) AS n_conclusive, count(*) FILTER (WHERE direction = 'insufficient') AS n_insufficient FROM trends GROUP BY entity")
+def panel_trend_counts(spark, sf_dir):
+    series = fe.ratio_rows(fe.wide_view(view(spark, sf_dir)))
+    found, _, _ = ho.report(series, "trigger", fe.stronger_when_higher())
+    return ho.trend_counts(found, ("trigger",))
+
+
+@query(f"""WITH {PANEL}, w AS (SELECT entity, ratio, CASE WHEN bool_or(derived) THEN 'derived_inputs' ELSE 'good' END AS q FROM rall WHERE status = 'calculated' GROUP BY ALL)
+SELECT entity AS trigger, CASE WHEN bool_or(q = 'derived_inputs') THEN 'derived_inputs' ELSE 'good' END AS level, count(*) FILTER (WHERE q = 'derived_inputs') AS n_derived, count(*) FILTER (WHERE q = 'good') AS n_good FROM w GROUP BY entity""")
+def panel_data_quality(spark, sf_dir):
+    out = ro.quality_rollup(fe.ratio_rows(fe.wide_view(view(spark, sf_dir))), ("trigger",))
+    return out.select("trigger", "level", F.size("derived_inputs").cast("long").alias("n_derived"), F.size("good").cast("long").alias("n_good"))
+
+
+_EVENTS = "pcases AS (SELECT user_id AS entity, ts AS filed, CAST(NULL AS TIMESTAMP) AS resolved FROM events WHERE event_type = 'error')"
+
+
+@query(f"""WITH {SEEN}, {_EVENTS}, n AS (SELECT trigger, count(DISTINCT fy) AS n FROM known GROUP BY trigger),
+f AS (SELECT f.accession AS trigger, f.entity, min(c.filed) FILTER (WHERE CAST(c.filed AS DATE) > f.filed) AS first_event FROM filings f JOIN n ON n.trigger = f.accession LEFT JOIN pcases c ON c.entity = f.entity WHERE n >= 2 GROUP BY f.accession, f.entity, f.filed)
+SELECT trigger, entity, first_event IS NOT NULL AS has_event, (SELECT count(DISTINCT source) FROM known k WHERE k.trigger = f.trigger) AS n_contributing FROM f""")
+def panel_observations(spark, sf_dir):
+    """Observations: kept triggers with their outcome and the filings behind them."""
+    facts, known = canonical(spark, sf_dir), filings(spark, sf_dir)
+    seen = rs.visible_facts(facts, known)
+    triggers = rs.asof_triggers(facts, known)
+    cases = fr.table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("entity"), F.to_date("ts").alias("filed"), F.lit(None).cast("date").alias("resolved"))
+    outcomes = lb.with_cases(triggers.select("trigger", "entity", F.col("cutoff").alias("moment")), cases, "entity", ("trigger", "moment"))
+    out = fe.observations(fe.build(seen), triggers, outcomes.drop("moment"), au.contributing(seen, "trigger"))
+    return out.select("trigger", "entity", F.col("first_event").isNotNull().alias("has_event"), F.size("accessions").cast("long").alias("n_contributing"))
