@@ -43,6 +43,39 @@ def merge(register: DataFrame) -> DataFrame:
     return register.withColumn("_c", content).groupBy("evidence_id").agg(F.countDistinct("_c").alias("n_versions"), F.min_by(F.struct(*register.columns), "_c").alias("r"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def merged(register: DataFrame) -> DataFrame:
+    """Each id once; two different contents under one id fail the query."""
+    rows = merge(register)
+    message = F.concat(F.lit("two contents under "), F.col("evidence_id"))
+    ok = F.when(F.col("n_versions") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return rows.where(ok).select("r.*")
+
+
+def of_kind(register: DataFrame, kind: str | None = None, layer: str | None = None, dimension: str | None = None) -> DataFrame:
+    """The rows of a kind, a layer or a dimension."""
+    for column, wanted in (("kind", kind), ("layer", layer), ("dimension", dimension)):
+        if wanted is not None:
+            register = register.where(F.col(column) == wanted)
+    return register
+
+
+def filtered(register: DataFrame, layers: Sequence[str] = (), concerns: Sequence[str] = ()) -> DataFrame:
+    """The rows of some layers and concerns; no choice means all."""
+    if layers:
+        register = register.where(F.col("layer").isin(*layers))
+    return register.where(F.col("concern").isin(*concerns)) if concerns else register
+
+
+def cited(register: DataFrame, concern: str, by: Sequence[str] = ("entity", "layer")) -> DataFrame:
+    """The ids that vote for a concern, sorted."""
+    return votes(register).where(F.col("concern") == concern).groupBy(*by).agg(F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"))
+
+
+def quoted_ids(register: DataFrame) -> DataFrame:
+    """The distinct ids with a quote."""
+    return register.where("layer = 'narrative' and quote is not null").select("entity", "evidence_id").distinct()
+
+
 def _facts(register: DataFrame) -> DataFrame:
     """One row for each entity with everything the rules ask."""
     v = votes(register)

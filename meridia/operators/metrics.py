@@ -16,6 +16,26 @@ from meridia.functions import scalars as fx
 ALERT_RATES = (0.01, 0.05, 0.1)
 
 
+def running(counts: DataFrame, order: str, value: str, by: Sequence[str] = (), descending: bool = False, parts: int = 64) -> DataFrame:
+    """counts with upto: the running sum of value in the order, the row included.
+
+    Within groups a window does. Without groups rows are dealt into ranges of the order, each summed by
+    itself, and the sums of earlier ranges, a row for each range, are added: no task sees all rows.
+    """
+    if by:
+        w = Window.partitionBy(*by).orderBy(F.desc(order) if descending else F.asc(order))
+        return counts.withColumn("upto", F.sum(value).over(w))
+    edges = counts.agg(F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(1000)).alias("_edges"))
+    dealt = counts.join(F.broadcast(edges)).withColumn("_part", F.size(F.filter(F.array_distinct("_edges"), lambda e: e < F.col(order)))).drop("_edges")
+    sums = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    at = Window.orderBy(F.desc("_part") if descending else F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    # At most parts rows.
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(at), F.lit(0)).alias("_before"))
+    w = Window.partitionBy("_part").orderBy(F.desc(order) if descending else F.asc(order))
+    rows = dealt.join(F.broadcast(before), "_part")
+    return rows.withColumn("upto", F.col("_before") + F.sum(value).over(w)).drop("_part", "_before")
+
+
 def _scores(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.where("score is not null and label is not null").groupBy(*by, "score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
 
@@ -23,8 +43,7 @@ def _scores(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 def roc_auc(rows: DataFrame, by: Sequence[str] = (), min_events: int = 0) -> DataFrame:
     """n, n_events and auc, ties at half; null with one class only or fewer events than min_events."""
     s = _scores(rows, by).withColumn("neg", F.col("n") - F.col("pos"))
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("lower", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    s = running(s, "score", "neg", by).withColumn("lower", F.col("upto") - F.col("neg"))
     out = (s.groupBy(*by) if by else s.groupBy()).agg(F.sum("n").alias("n"), F.sum("pos").alias("n_events"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("lower") + F.col("neg") / 2.0)).alias("wins"))
     auc = F.when((F.col("n_events") > 0) & (F.col("n_neg") > 0) & (F.col("n_events") >= min_events), F.col("wins") / (F.col("n_events").cast("double") * F.col("n_neg")))
     return out.select(*by, "n", "n_events", auc.alias("auc"))
@@ -32,9 +51,8 @@ def roc_auc(rows: DataFrame, by: Sequence[str] = (), min_events: int = 0) -> Dat
 
 def average_precision(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sum over distinct scores, from the top, of precision times the recall gained."""
-    s = _scores(rows, by)
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    s = s.withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down))
+    s = running(_scores(rows, by), "score", "pos", by, descending=True).withColumnRenamed("upto", "tp")
+    s = running(s, "score", "n", by, descending=True).withColumnRenamed("upto", "seen")
     out = (s.groupBy(*by) if by else s.groupBy()).agg(F.sum(F.col("tp") / F.col("seen") * F.col("pos")).alias("w"), F.sum("pos").alias("p"))
     return out.select(*by, F.try_divide(F.col("w"), F.col("p")).alias("average_precision"))
 
@@ -60,9 +78,10 @@ def alerts(rows: DataFrame, row_id: str = "row_id", rates: Sequence[float] = ALE
     one by one.
     """
     s = _scores(rows, by)
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    whole = Window.partitionBy(*by)
-    s = s.withColumn("upto", F.sum("n").over(down)).withColumn("tp_upto", F.sum("pos").over(down)).withColumn("total", F.sum("n").over(whole)).withColumn("events", F.sum("pos").over(whole))
+    whole = (s.groupBy(*by) if by else s.groupBy()).agg(F.sum("n").alias("total"), F.sum("pos").alias("events"))
+    s = running(s, "score", "pos", by, descending=True).withColumnRenamed("upto", "tp_upto")
+    s = running(s, "score", "n", by, descending=True)
+    s = s.join(whole, list(by)) if by else s.join(F.broadcast(whole))
     parts = []
     for rate in rates:
         k = alert_k(F.col("total"), rate)
@@ -113,30 +132,20 @@ def confusion(rows: DataFrame, a: str, b: str, dimension: str | None = None) ->
 
 
 def matched_budget(rows: DataFrame, flag: str, row_id: str = "row_id") -> DataFrame:
-    """Events caught by a flag, and by as many rows of highest score."""
-    n = rows.agg(F.count_if(F.col(flag)).alias("budget"), F.sum(F.when(F.col(flag), F.col("label").cast("long")).otherwise(0)).alias("flag_events"))
-    ranked = rows.select("label", "score", F.col(row_id).alias("_id"), F.col(flag).alias("_f")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "_id")))
-    both = ranked.join(F.broadcast(n))
-    out = both.groupBy("budget", "flag_events").agg(F.sum(F.when(F.col("place") <= F.col("budget"), F.col("label").cast("long")).otherwise(0)).alias("score_events"), F.count_if((F.col("place") <= F.col("budget")) & F.col("_f")).alias("overlap"))
-    return out.withColumn("overlap_share", F.try_divide(F.col("overlap").cast("double"), F.col("budget")))
-
-
-def bootstrap_auc(rows: DataFrame, cluster: str, samples: int = 1000, seed: int = 20260917) -> DataFrame:
-    """auc, low and high: the percentile interval of the AUC under resampling of clusters.
+    """Events caught by a flag, and by as many rows of highest score.
 
-    Each cluster gets a Poisson weight for each resample, from a hash of its id, so resamples need
-    no shuffle of their own. Draws are this engine's own; other generators give other intervals.
+    The last score within the budget is found from counts of distinct scores; only its ties are ranked.
     """
-    draws = F.transform(F.sequence(F.lit(1), F.lit(samples)), lambda b: (F.pmod(F.xxhash64(F.col(cluster), b, F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003.0)
-    # Inverse of the Poisson(1) distribution.
-    cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
-    weights = F.transform(draws, lambda u: sum(((u > c).cast("int") for c in cuts[1:]), (u > cuts[0]).cast("int")))
-    long = rows.select("score", "label", F.posexplode(weights).alias("sample", "w")).where("w > 0")
-    s = long.groupBy("sample", "score").agg(F.sum(F.col("w") * F.col("label")).alias("pos"), F.sum("w").alias("n")).withColumn("neg", F.col("n") - F.col("pos"))
-    below = Window.partitionBy("sample").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("lower", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    per = s.groupBy("sample").agg(F.try_divide(F.sum(F.col("pos") * (F.col("lower") + F.col("neg") / 2.0)), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
-    return per.agg(F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"), F.count("auc").alias("n_samples"))
+    n = rows.agg(F.count_if(F.col(flag)).alias("budget"), F.sum(F.when(F.col(flag), F.col("label").cast("long")).otherwise(0)).alias("flag_events"))
+    s = rows.groupBy("score").agg(F.count(F.lit(1)).alias("k"))
+    s = running(s, "score", "k", descending=True).join(F.broadcast(n))
+    edge = s.where((F.col("upto") >= F.col("budget")) & (F.col("upto") - F.col("k") < F.col("budget"))).select(F.col("score").alias("_edge"), (F.col("budget") - (F.col("upto") - F.col("k"))).alias("_take"))
+    # Single rows.
+    both = rows.select("label", "score", F.col(row_id).alias("_id"), F.col(flag).alias("_f")).join(F.broadcast(n)).join(F.broadcast(edge), how="left")
+    tied = both.where(F.col("score") == F.col("_edge")).withColumn("_in", F.row_number().over(Window.partitionBy("score").orderBy("_id")) <= F.col("_take"))
+    rest = both.where(~F.coalesce(F.col("score") == F.col("_edge"), F.lit(False))).withColumn("_in", F.coalesce(F.col("score") > F.col("_edge"), F.lit(False)))
+    out = tied.unionByName(rest).groupBy("budget", "flag_events").agg(F.sum(F.when(F.col("_in"), F.col("label").cast("long")).otherwise(0)).alias("score_events"), F.count_if(F.col("_in") & F.col("_f")).alias("overlap"))
+    return out.withColumn("overlap_share", F.try_divide(F.col("overlap").cast("double"), F.col("budget")))
 
 
 def wilson_rows(rows: DataFrame, by: Sequence[str], hit: Column) -> DataFrame:

@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Fixed value.
+ROUNDS = 150
+
+
 def with_missing_indicators(rows: DataFrame, features: Sequence[str], indicators: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
     """f__missing columns for the features with any null in these rows, or for the given ones, by name."""
     if indicators is None:
-        nulls = rows.agg(*[F.bool_or(F.col(f).isNull()).alias(f) for f in features]).first().asDict()
+        nulls = rows.agg(F.lit(0).alias("_"), *[F.bool_or(F.col(f).isNull()).alias(f) for f in features]).first().asDict()
         indicators = [f for f in features if nulls[f]]
     return rows.withColumns({f"{f}__missing": F.col(f).isNull().cast("double") for f in indicators}), list(indicators)
 
@@ -40,7 +44,7 @@ def boosting(features: Sequence[str], label: str = "label") -> Pipeline:
         stages=[
             Imputer(strategy="median", inputCols=list(features), outputCols=filled),
             VectorAssembler(inputCols=filled, outputCol="scaled"),
-            GBTClassifier(featuresCol="scaled", labelCol=label, maxDepth=2, minInstancesPerNode=40, maxIter=50, stepSize=0.05, seed=20260917),
+            GBTClassifier(featuresCol="scaled", labelCol=label, maxDepth=2, minInstancesPerNode=40, maxIter=ROUNDS, stepSize=0.05, seed=20260917),
         ]
     )
 

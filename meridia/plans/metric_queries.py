@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from meridia.functions import scalars as fx
 from meridia.operators import diagnostics as dg
+from meridia.operators import evaluation as el
+from meridia.operators import features as fe
 from meridia.operators import metrics as me
 from meridia.operators import models as mo
 from meridia.plans import frames as fr
@@ -107,7 +109,9 @@ def wilson_interval(spark, sf_dir):
 
 
 def clustered_bootstrap_ci(spark, sf_dir):
-    return me.bootstrap_auc(_scored(spark, sf_dir), "lang", 200)
+    """The whole number of resamples, over clusters of documents."""
+    rows = _scored(spark, sf_dir).withColumn("cluster", F.col("row_id") % 50)
+    return el.auc_interval(rows, "cluster")
 
 
 query()(clustered_bootstrap_ci)
@@ -196,3 +200,99 @@ def _features(spark, sf_dir):
 
 query()(logistic_hazard)
 query()(linear_attribution)
+
+
+@query(f"WITH {SCORED} SELECT round(({_AUC.format('sc').replace('a.score', 'a.quality').replace('b.score', 'b.quality')}) - ({_AUC.format('sc')}), 9) AS delta, CAST(NULL AS DOUBLE) AS low, 2 AS n_clusters")
+def paired_delta_few_clusters(spark, sf_dir):
+    """A difference without an interval: two clusters are too few."""
+    rows = _scored(spark, sf_dir).select(F.col("score").alias("score_a"), F.col("quality").cast("double").alias("score_b"), "label", (F.col("row_id") % 2).alias("cluster"))
+    out = el.delta_auc(rows, "cluster", samples=50)
+    return out.select(F.round("delta", 9).alias("delta"), "low", "n_clusters")
+
+
+@query()
+def paired_delta_interval(spark, sf_dir):
+    rows = _scored(spark, sf_dir).select(F.col("score").alias("score_a"), F.col("quality").cast("double").alias("score_b"), "label", (F.col("row_id") % 50).alias("cluster"))
+    return el.delta_auc(rows, "cluster")
+
+
+@query(f"""WITH {SCORED}, x AS (SELECT score, label, unnest(['all', CASE WHEN lang = 'en' THEN 'english' END, CASE WHEN lang <> 'en' THEN 'but_english' END, CASE WHEN row_id % 10 < 3 THEN 'held_out' END]) AS slice FROM sc),
+w AS (SELECT a.slice, sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / count(*) AS auc FROM x a JOIN x b USING (slice) WHERE a.label = 1 AND b.label = 0 GROUP BY a.slice)
+SELECT slice, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_events, round(any_value(auc), 9) AS auc FROM x LEFT JOIN w USING (slice) WHERE slice IS NOT NULL GROUP BY slice""")
+def robustness_slices(spark, sf_dir):
+    slices = {"all": F.lit(True), "english": F.col("lang") == "en", "but_english": F.col("lang") != "en", "held_out": F.col("row_id") % 10 < 3}
+    return el.by_slices(_scored(spark, sf_dir), slices).withColumn("auc", F.round("auc", 9))
+
+
+@query(f"WITH {SCORED}, y AS (SELECT score, CAST(quality = 0 AS INT) AS label FROM sc) SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS n_events, round({_AUC.format('y')}, 9) AS auc FROM y")
+def cohort_separability(spark, sf_dir):
+    """The score under another question."""
+    rows = el.relabelled(_scored(spark, sf_dir), F.col("quality") == 0)
+    return me.roc_auc(rows).withColumn("auc", F.round("auc", 9))
+
+
+@query("SELECT name, family, n FROM (VALUES " + ", ".join(f"('{s.name}', '{s.family}', {len(s.features)})" for s in el.specs()) + ") t(name, family, n)")
+def model_specs(spark, sf_dir):
+    del sf_dir
+    return spark.createDataFrame([(s.name, s.family, len(s.features)) for s in el.specs()], "name string, family string, n int")
+
+
+@query("SELECT family, count(*) AS n FROM (VALUES " + ", ".join(f"('{f.family}')" for f in fe.FEATURES) + ") t(family) GROUP BY family")
+def feature_catalog(spark, sf_dir):
+    del sf_dir
+    return fe.catalog_frame(spark).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _dated(spark, sf_dir):
+    """Documents as observations: three features under catalog names, years by id."""
+    rows = _features(spark, sf_dir)
+    years = (F.lit(2000) + F.col("row_id") % 6).cast("int")
+    return rows.select("row_id", years.alias("year"), "label", F.col("log_chars").alias("log_total_assets"), F.col("n_lines").cast("double").alias("log_revenue"), F.when(F.col("row_id") % 4 != 0, F.col("digit_share")).alias("cash_to_assets"))
+
+
+_SMALL = ("log_total_assets", "log_revenue", "cash_to_assets")
+
+
+@query()
+def walk_forward_scores(spark, sf_dir):
+    """Out-of-fold scores of a heuristic and of a logistic regression, pooled."""
+    rows = _dated(spark, sf_dir)
+    out = None
+    for spec in (el.Spec("by_size", "heuristic", _SMALL[:1]), el.Spec("logistic", "logistic", _SMALL)):
+        part = el.walk_forward(spec, rows, (2003, 2004, 2005), ("row_id", "label")).withColumn("model", F.lit(spec.name))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query()
+def gradient_boosting(spark, sf_dir):
+    """All rounds of boosting on one fold."""
+    rows = _dated(spark, sf_dir)
+    spec = el.Spec("boosting", "gradient_boosting", _SMALL)
+    return el.walk_forward(spec, rows, (2005,), ("row_id", "label")).withColumn("score", F.round("score", 6))
+
+
+@query()
+def calibration_fit(spark, sf_dir):
+    rows = _scored(spark, sf_dir).select(F.col("p").alias("score"), "label")
+    slope, intercept = el.calibration_fit(rows)
+    return spark.createDataFrame([(slope, intercept)], "slope double, intercept double").select(F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"))
+
+
+@query()
+def permutation_importance(spark, sf_dir):
+    rows = _dated(spark, sf_dir).where("label is not null")
+    spec = el.Spec("logistic", "logistic", _SMALL)
+    model = el.fit(spec, rows)
+    found = el.permutation_importance(rows, _SMALL, lambda r: el.score(spec, model, r), "row_id", repeats=2)
+    return spark.createDataFrame(found, "feature string, auc_drop double, share_positive double")
+
+
+@query()
+def attribution_shares(spark, sf_dir):
+    """Out-of-fold contributions: sizes, shares of missing marks, and how exactly they add up."""
+    rows = _dated(spark, sf_dir)
+    parts = el.out_of_fold_parts(el.Spec("logistic", "logistic", _SMALL), rows, (2004, 2005), ("row_id",))
+    bucket = F.when(F.col("feature").endswith("__missing"), F.lit("missingness")).otherwise(F.lit("size"))
+    shares = el.artefact_shares(parts.withColumn("bucket", bucket), ("fold",))
+    return shares.select("fold", F.round("missingness_share", 5).alias("missingness_share"), F.round("artefact_share", 5).alias("artefact_share"))
