@@ -13,7 +13,9 @@ holds end every match, so only runs of item words as long as the shortest window
 finding these runs is vectorised.
 
 Edge cases. Null texts have no words; items without words are left out; equal items are all
-reported; null item ids are left out of the list but their words still hit. No items: no hits.
+reported; null item ids are left out of the list but their words still hit. No items: no hits. A very
+long text is one block, in memory alone. Repeated rows each keep their row, in any number of blocks.
+An empty table gives an empty one. Further columns are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from meridia.llm import _shared as sh
 from meridia.llm import _tokens as tk
 
 WINDOW = 10
-MAX_ITEM_WORDS = 2_000_000
+MAX_ITEM_WORDS = 400_000
 MIN_SPAN, MAX_COVERAGE = 1, 0.5
 
 

@@ -15,7 +15,10 @@ first document is taken even if it alone is larger. Scoring is a map over whole
 the parameters alone.
 
 Edge cases. Null and empty texts score as texts without tokens. Null labels and null ids aren't
-learned from. Without labels of both kinds every score is the share of label 1, or one half.
+learned from. Without labels of both kinds every score is the share of label 1, or one half. Very long
+texts are whole, one at a time in memory. Repeated rows score each; equal rows of the sample are
+ordered by their text's hash. An empty table gives an empty one. Further columns are carried along
+under names of their own, so none can clash.
 """
 
 from __future__ import annotations

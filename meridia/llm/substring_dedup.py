@@ -14,8 +14,9 @@ document. Copies of a whole text are found first and take no part in either stag
 windows start earlier. Texts are exchanged once, by row key; every stage reuses that exchange.
 
 Edge cases. Null text has no words. Null ids come after all others. Rows that share an id are
-separate texts of equal rank: neither is earlier than the other. Empty tables give no rows; extra
-columns are ignored.
+separate texts of equal rank: neither is earlier than the other. A very long text is one block, in
+memory alone. Empty tables give no rows; columns other than doc_id and text aren't read, so none can
+clash.
 """
 
 from __future__ import annotations
@@ -157,8 +158,8 @@ def window_rows(window: int, inner: int):
     return run
 
 
-def removal_rows(window: int):
-    """Arrow batches of (doc_id, text, copy, gone) to (doc_id, n_words, n_removed, spans, kept, kept_sha256)."""
+def removal_rows(window: int, keep_text: bool = True):
+    """Arrow batches of (doc_id, text, copy, gone) to (doc_id, n_words, n_removed, spans, kept_sha256, kept if asked for)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,10 +197,10 @@ def removal_rows(window: int):
                         pa.array(np.diff(first)),
                         pa.array(removed.astype(np.int64)),
                         pa.array(spans, pa.list_(pa.list_(pa.int32()))),
-                        pa.array(kept, pa.binary()).cast(pa.string()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
+                        *([pa.array(kept, pa.binary()).cast(pa.string())] if keep_text else []),
                     ],
-                    names=["doc_id", "n_words", "n_removed", "spans", "kept", "kept_sha256"],
+                    names=["doc_id", "n_words", "n_removed", "spans", "kept_sha256", *(["kept"] if keep_text else [])],
                 )
 
     return run
@@ -217,6 +218,7 @@ def removals(docs: DataFrame, window: int = WINDOW, inner: int = INNER, keep_tex
 
     With keep_text false the kept text, which is as large as the input, is left out.
     """
+    sh.small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     base = base.withColumn("rk", sh.short_key())
     texts = base.join(_copies(base).hint("shuffle_hash"), "rk", "left").select("rk", "doc_id", "text", "copy")
@@ -240,13 +242,12 @@ def removals(docs: DataFrame, window: int = WINDOW, inner: int = INNER, keep_tex
     )
     none = F.array().cast("array<int>")
     full = texts.join(gone.hint("shuffle_hash"), "rk", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("gone", none).alias("gone"))
-    out = full.mapInArrow(removal_rows(window), "doc_id long, n_words long, n_removed long, spans array<array<int>>, kept string, kept_sha256 string")
-    return out if keep_text else out.drop("kept")
+    return full.mapInArrow(sh.frugal(removal_rows(window, keep_text)), "doc_id long, n_words long, n_removed long, spans array<array<int>>, kept_sha256 string" + ", kept string" * keep_text)
 
 
 def op3_substring_dedup(spark, sf_dir) -> DataFrame:
     """Contract query: words removed from each whole document."""
-    return removals(sh.documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return removals(sh.documents(spark, sf_dir), keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 ORACLE_SQL = f"""
