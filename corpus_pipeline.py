@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the
 shared folder and reread as the next stage's docs. All but the last return documents' columns.
+
+Edge cases, in every stage. Null texts are texts without words, lines or tokens: quality scores them,
+line dedup and decontamination leave them null, they are no near-duplicates of others, and they have
+no tokens. Null ids stay. Repeated rows pass quality and line dedup, and near-dedup keeps one. Very
+long texts are whole. Empty tables give empty results. Columns beyond doc_id, text, source and n_chars
+are carried along, whatever their names; n_chars is renewed where there is one.
 """
 
 from __future__ import annotations
