@@ -67,19 +67,34 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, rows)
 
 
+def give_back() -> None:
+    """Give memory that this process has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, but a worker that has finished a partition gives its freed memory back to the machine."""
+    """run, but a worker that has finished a partition gives its freed memory back."""
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return tidy
 
 
+def few_files(df: DataFrame, source: DataFrame, bytes_a_task: int = 1 << 25) -> DataFrame:
+    """df in as few partitions as the size of its source fills, and no fewer than there are cores.
+
+    Small partitions are merged, so a table of many small files doesn't stay one; large ones stay.
+    """
+    size = str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-int(size) // bytes_a_task))
+    return df.coalesce(n) if n < 1 << 20 else df
+
+
 def sample(df: DataFrame, n: int, *key: str) -> DataFrame:
     """At most n rows, those whose key hashes lowest.
 

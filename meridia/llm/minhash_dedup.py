@@ -237,14 +237,14 @@ def shingle_rows(k: int):
     return run
 
 
-def _shared_counts(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """node and s of nodes (node, c): how many of its shingles a node of another component has too.
+def _own_counts(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """node and own of nodes (node, c): how many of its shingles no node of another component has.
 
-    The overlap of two texts of different components is at most the smaller s.
+    The overlap of two texts of different components is at most what either has besides its own.
     """
     rows = texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(sh.frugal(shingle_rows(k)), "node binary, h long").join(nodes, "node")
     common = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("h")
-    return rows.join(common, "h", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
+    return rows.join(common, "h", "left_anti").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
 
 
 def _latest(rows: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -312,8 +312,8 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
             label = components(links)
         rest = ranked.where(~F.col("leads"))
         if leaders == LEADERS and rest.take(1):
-            counts = _shared_counts(_latest(rest, label), texts, k)
-            rest = rest.drop("s").join(counts, "node").where(F.col("s") >= similarity * F.col("n"))
+            counts = _own_counts(_latest(rest, label), texts, k)
+            rest = rest.join(counts, "node", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("s") >= similarity * F.col("n"))
         old, buckets = buckets, sh.written(rest.select(*columns), "buckets", rows_left)
         # The plans of this round are done with these.
         ranked.unpersist()

@@ -209,7 +209,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     got = joined.where(F.struct(*key) <= F.struct(*(F.lit(x).cast(t) for x, t in zip(end, ("long", "long", joined.schema["quality"].dataType, "long"), strict=True)))).select(order.alias("h"), "doc_id", "quality", "text", text_hash.alias("t")).collect()
     got = sorted(got, key=lambda r: (r.h, r.doc_id, r.quality, r.t))[:taken]
     got.sort(key=lambda r: (r.doc_id, r.quality, r.text or ""))
-    return train([r.text or "" for r in got], np.array([int(r.quality > 0) for r in got], int))
+    texts, marks = [r.text or "" for r in got], np.array([int(r.quality > 0) for r in got], int)
+    del got, sizes
+    model = train(texts, marks)
+    del texts
+    sh.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Quality, *keep: str, text: bool = False) -> DataFrame:
