@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, line dedup, near-dedup, decontamination, BPE tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the
-shared folder and reread as the next stage's docs. All but the last return documents' columns.
+shared folder and reread as the next stage's docs. All but the last return documents' columns, in as
+few files as their input fills.
 
 Edge cases, in every stage. Null texts are texts without words, lines or tokens: quality scores them,
 line dedup and decontamination leave them null, they are no near-duplicates of others, and they have
@@ -21,7 +22,7 @@ from meridia.llm import bpe, decontamination, line_dedup, minhash_dedup, quality
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    return quality.accepted(docs, sh.documents(spark, sf_dir, "labels"))
+    return sh.few_files(quality.accepted(docs, sh.documents(spark, sf_dir, "labels")), docs)
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,18 +31,18 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(docs)
     n_lines, n_removed = line_dedup.counts_of(docs)
     emptied = (F.col(n_removed) > 0) & (F.col(n_removed) == F.col(n_lines))
-    return renewed(out.where(~emptied).drop(n_lines, n_removed))
+    return sh.few_files(renewed(out.where(~emptied).drop(n_lines, n_removed)), docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
     del spark, sf_dir
-    return minhash_dedup.deduplicate(docs)
+    return sh.few_files(minhash_dedup.deduplicate(docs), docs)
 
 
 def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages; those that are mostly passages go, n_chars is renewed."""
-    return renewed(decontamination.clean(docs, sh.documents(spark, sf_dir, "benchmark")))
+    return sh.few_files(renewed(decontamination.clean(docs, sh.documents(spark, sf_dir, "benchmark"))), docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +50,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     del sf_dir
     sh.small_batches(spark)
     out = bpe.encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    out = sh.few_files(out, docs)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
