@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.operators.metrics import quantiles
+
 EVENT_BAND = (0.1, 0.9)
 
 
@@ -37,14 +39,14 @@ def taxonomy(rows: DataFrame, cases: Sequence[tuple[str, Column]], otherwise: st
 
 def size_band(rows: DataFrame, size: str, event: str, band: tuple[float, float] = EVENT_BAND) -> DataFrame:
     """Events, and others within the quantile band of the events' sizes."""
-    q = rows.where(F.col(event)).agg(F.percentile(size, F.array(F.lit(band[0]), F.lit(band[1]))).alias("q"))
+    q = quantiles(rows.where(F.col(event)), size, band).withColumnRenamed("e", "q")
     # One row of two numbers.
     return rows.join(F.broadcast(q)).where(F.col(event) | F.col(size).between(F.col("q")[0], F.col("q")[1])).drop("q")
 
 
 def quantile_bucket(rows: DataFrame, value: str, n: int, name: str = "bucket") -> DataFrame:
     """1 to n by (lo, hi] quantile edges."""
-    q = rows.agg(F.percentile(value, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("q"))
+    q = quantiles(rows, value, [i / n for i in range(1, n)]).withColumnRenamed("e", "q")
     return rows.join(F.broadcast(q)).withColumn(name, F.size(F.filter("q", lambda e: F.col(value) > e)) + 1).drop("q")
 
 

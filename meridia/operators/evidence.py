@@ -38,15 +38,15 @@ def reads(register: DataFrame, by: Sequence[str] = ("entity", "layer")) -> DataF
 
 
 def merge(register: DataFrame) -> DataFrame:
-    """Each id once; the number of different rows under it, which must be 1."""
+    """Each entity's id once; the number of different rows under it, which must be 1."""
     content = F.to_json(F.struct(*[c for c in register.columns if c != "evidence_id"]))
-    return register.withColumn("_c", content).groupBy("evidence_id").agg(F.countDistinct("_c").alias("n_versions"), F.min_by(F.struct(*register.columns), "_c").alias("r"), F.count(F.lit(1)).alias("n_rows"))
+    return register.withColumn("_c", content).groupBy("entity", "evidence_id").agg(F.countDistinct("_c").alias("n_versions"), F.min_by(F.struct(*register.columns), "_c").alias("r"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def merged(register: DataFrame) -> DataFrame:
     """Each id once; two different contents under one id fail the query."""
     rows = merge(register)
-    message = F.concat(F.lit("two contents under "), F.col("evidence_id"))
+    message = F.concat(F.lit("two contents under "), F.col("evidence_id"), F.lit(" of "), F.col("entity").cast("string"))
     ok = F.when(F.col("n_versions") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
     return rows.where(ok).select("r.*")
 

@@ -144,10 +144,10 @@ def wide(facts: DataFrame, key: Sequence[str], concepts: Sequence[str]) -> DataF
 def missing_placeholders(facts: DataFrame, key: Sequence[str], concepts: DataFrame) -> DataFrame:
     """A missing row for each key that presents a concept's statement but lacks the concept.
 
-    concepts (concept, statement) is the catalog: a few rows, of fixed size.
+    concepts (concept, statement) is the catalog; Spark broadcasts it if its size allows.
     """
-    presented = facts.join(F.broadcast(concepts), "concept").select(*key, "statement").distinct()
-    wanted = presented.join(F.broadcast(concepts), "statement").select(*key, "concept")
+    presented = facts.join(concepts, "concept").select(*key, "statement").distinct()
+    wanted = presented.join(concepts, "statement").select(*key, "concept")
     return wanted.join(facts.select(*key, "concept").distinct(), [*key, "concept"], "left_anti").select(*key, "concept", F.lit(MISSING).alias("status"))
 
 

@@ -115,7 +115,8 @@ def stronger_when_higher() -> Column:
 
 def build(view: DataFrame, key: str = "trigger", window: int = ho.ANALYSIS_WINDOW) -> DataFrame:
     """key, fiscal year and the 57 features of every trigger in the view."""
-    wide = wide_view(view, key)
+    # Everything below hangs on the pivot, which is kept until the panel is made.
+    wide = wide_view(view, key).persist()
     series = ratio_rows(wide, key)
     trend, dims, signals = ho.report(series, key, stronger_when_higher(), window)
 

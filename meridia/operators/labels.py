@@ -1,15 +1,13 @@
 """Event labels: as-of and interval joins, censoring, label completeness and gaps.
 
-Cases are (entity, filed, resolved); observations are (entity, moment). Joins are on the entity
-with range conditions; the cases of an observation are aggregated at once, so an observation stays
-one row and a hot entity's join can be split by adaptive execution.
+Cases are (entity, filed, resolved); observations are (entity, moment).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FOREVER = "9999-12-31"
@@ -17,12 +15,25 @@ ACTIVE, UNOBSERVABLE = "active_proceeding", "window_not_observable"
 
 
 def with_cases(observations: DataFrame, cases: DataFrame, entity: str, key: Sequence[str], moment: str = "moment") -> DataFrame:
-    """Observations with first_event (the earliest case after the moment, strictly) and in_case."""
-    c = cases.select(F.col(entity).alias("_e"), F.col("filed").alias("_filed"), F.col("resolved").alias("_resolved"))
-    m = F.col(moment)
-    joined = observations.join(c, F.col(entity) == F.col("_e"), "left")
-    inside = (F.col("_filed") <= m) & (F.col("_resolved").isNull() | (m <= F.col("_resolved")))
-    return joined.groupBy(*key).agg(F.min(F.when(F.col("_filed") > m, F.col("_filed"))).alias("first_event"), F.coalesce(F.bool_or(inside), F.lit(False)).alias("in_case"))
+    """Each observation's key with first_event (the earliest case after the moment, strictly) and in_case.
+
+    Observations and cases are one sequence for each entity: the first case after a moment and the last
+    end of those before it are running aggregates, so a hot entity costs its rows, not their product.
+    """
+
+    def at(c: str) -> Column:
+        return F.unix_micros(F.col(c).cast("timestamp"))
+
+    kinds = cases.schema["filed"].dataType
+    rows = observations.select(F.struct(*key).alias("_k"), F.col(entity).alias("_e"), at(moment).alias("_t"), F.lit(None).cast(kinds).alias("_filed"), F.lit(None).cast("long").alias("_until"))
+    known = cases.where(F.col(entity).isNotNull() & F.col("filed").isNotNull())
+    ends = F.coalesce(at("resolved"), F.lit(2**63 - 1))
+    rows = rows.unionByName(known.select(F.lit(None).cast(rows.schema["_k"].dataType).alias("_k"), F.col(entity).alias("_e"), at("filed").alias("_t"), F.col("filed").alias("_filed"), ends.alias("_until")))
+    # From the end: frames that begin at the first row are summed as they go.
+    later = Window.partitionBy("_e").orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_e").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("first_event", F.min("_filed").over(later)).withColumn("_open", F.max("_until").over(before))
+    return rows.where(F.col("_k").isNotNull()).select("_k.*", "first_event", F.coalesce(F.col("_open") >= F.col("_t"), F.lit(False)).alias("in_case"))
 
 
 def outcome(rows: DataFrame, horizon_days: int, complete_through: Column, moment: str = "moment") -> DataFrame:
@@ -64,8 +75,6 @@ def gap_quantiles(gaps: DataFrame, gap: str, shares: Sequence[int] = ()) -> Data
 
     The value at an index is found from running counts of distinct gaps, so no task gathers them all.
     """
-    from pyspark.sql import Window
-
     rows = gaps.where(F.col(gap).isNotNull()).groupBy(F.col(gap).alias("g")).agg(F.count(F.lit(1)).alias("k"))
     # Distinct day counts: bounded by the calendar, not by the rows.
     rows = rows.withColumn("upto", F.sum("k").over(Window.orderBy("g"))).withColumn("n", F.sum("k").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))

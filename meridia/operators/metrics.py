@@ -36,6 +36,22 @@ def running(counts: DataFrame, order: str, value: str, by: Sequence[str] = (), d
     return rows.withColumn("upto", F.col("_before") + F.sum(value).over(w)).drop("_part", "_before")
 
 
+def quantiles(rows: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
+    """One row, e: the interpolated quantiles of a column, from running counts of its distinct values."""
+    s = running(rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("k")), "v", "k")
+    s = s.join(F.broadcast(s.agg(F.sum("k").alias("n"))))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("upto") > place) & (F.col("upto") - F.col("k") <= place), F.col("v")))
+
+    found = []
+    for q in shares:
+        place = F.lit(float(q)) * (F.col("n") - 1)
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        found.append(low + (high - low) * part)
+    return s.agg(F.array(*found).alias("e"))
+
+
 def _scores(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.where("score is not null and label is not null").groupBy(*by, "score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
 
@@ -109,7 +125,7 @@ def pct_rank(rows: DataFrame, by: Sequence[str], score: str = "score") -> DataFr
 def calibration(rows: DataFrame, bins: int = 5) -> DataFrame:
     """Quantile bins [lo, hi) with equal edges collapsed: mean score, event rate and count."""
     qs = [i / bins for i in range(bins + 1)]
-    edges = rows.agg(F.array_distinct(F.percentile("score", F.array(*[F.lit(q) for q in qs]))).alias("e"))
+    edges = quantiles(rows, "score", qs).select(F.array_distinct("e").alias("e"))
     # One row with at most bins + 1 numbers.
     joined = rows.join(F.broadcast(edges))
     inner = F.slice("e", F.lit(2), F.greatest(F.size("e") - 2, F.lit(0)))

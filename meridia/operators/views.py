@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.functions import scalars as fx
 from meridia.operators import evidence as ev
+from meridia.operators.metrics import running
 
 REASONS = ("contradiction", "severe_disclosure", "score_elevated", "coverage_gap", "no_evidence", "other")
 
@@ -28,6 +30,66 @@ def reason_buckets(register: DataFrame) -> DataFrame:
     return rows.select("entity", reason.alias("reason"))
 
 
+def _has(when: Column) -> Column:
+    return F.count_if(F.coalesce(when, F.lit(False)))
+
+
+def cards(register: DataFrame, assessments: DataFrame) -> DataFrame:
+    """One row for each assessed entity: counts, a headline and a concern of each layer, and why it needs attention."""
+    kind = F.col("kind")
+    worse = (kind == "dimension_status") & F.col("summary").rlike("^[a-z_]+: deteriorating ")
+    known = (kind == "dimension_status") & (F.col("concern") != "unknown")
+    stated = (kind == "narrative_signal") & (F.col("assertion") == "asserted")
+    severe = stated & (F.col("specificity") == "high")
+    counts = register.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n_evidence"), _has(kind == "dimension_status").alias("n_dimensions"), _has(worse).alias("n_worse"), _has(known).alias("n_known"), _has(kind == "health_signal").alias("n_signals"),
+        F.max(F.when(kind == "model_score", F.col("share"))).alias("percentile"), _has(kind == "model_score").alias("n_scores"), _has(kind == "model_caveat").alias("n_caveats"),
+        _has(kind == "narrative_signal").alias("n_statements"), _has(stated).alias("n_stated"), _has(severe).alias("n_severe"), F.min(F.when(severe, F.col("code"))).alias("severe_code"), _has(kind == "coverage_gap").alias("n_gaps"),
+    )
+    rows = assessments.join(counts, "entity", "left").fillna(0, [c for c in counts.columns if c.startswith("n_")])
+    health = F.when(F.col("n_dimensions") == 0, F.lit("Not run")).when(F.col("n_worse") > 0, F.format_string("%d of %d dimensions deteriorating", "n_worse", "n_dimensions")).when(F.col("n_known") > 0, F.lit("No dimension deteriorating")).otherwise(F.lit("No conclusive trend"))
+    model = F.when(F.col("n_scores") == 0, F.lit("Not scored")).when(F.col("percentile").isNull(), F.lit("No ranking position")).otherwise(F.concat(F.bround("percentile").cast("long").cast("string"), F.lit("th percentile")))
+    more = F.when(F.col("n_severe") > 1, F.format_string(" +%d more", F.col("n_severe") - 1)).otherwise(F.lit(""))
+    told = F.when(F.col("n_statements") + F.col("n_gaps") == 0, F.lit("Not read")).when(F.col("n_severe") > 0, F.concat(fx.humanise("severe_code"), more)).when(F.col("n_stated") > 0, F.format_string("%d disclosure(s) stated", "n_stated")).otherwise(F.lit("Nothing stated"))
+    against = ev.findings(register).groupBy("entity").agg(F.count_if(F.col("family") == "contradiction").alias("n_contradictions"), F.count_if(F.col("family") == "corroboration").alias("n_corroborations"))
+    concern = layer_reads(register, assessments).groupBy("entity").pivot("layer", list(ev.LAYERS)).agg(F.first("concern"))
+    out = rows.join(against, "entity", "left").join(concern, "entity", "left").fillna(0, ["n_contradictions", "n_corroborations"])
+    all_up = (F.col("model") == "elevated") & (F.col("health") == "elevated") & (F.col("narrative") == "elevated")
+    reasons = F.array_compact(F.array(F.when(F.col("n_contradictions") > 0, F.lit("disagreement")), F.when(all_up, F.lit("all_elevated")), F.when(F.col("n_severe") > 0, F.lit("severe_disclosure")), F.when(F.col("n_gaps") > 0, F.lit("coverage"))))
+    return out.withColumns({"health_headline": health, "model_headline": model, "narrative_headline": told, "attention": reasons})
+
+
+def drivers(register: DataFrame, limit: int = 8) -> DataFrame:
+    """Attribution groups of each entity by share, the largest first; filing artefacts are marked, not left out."""
+    rows = register.where("kind = 'model_driver'")
+    place = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("share"), "evidence_id"))
+    return rows.withColumn("place", place).where(F.col("place") <= limit).select("entity", "place", "grp", F.col("numbers")[0].alias("contribution"), "share", F.col("grp").isin("missingness", "data_quality").alias("is_artefact"), "evidence_id")
+
+
+def coverage(history: DataFrame, cards_of: DataFrame) -> DataFrame:
+    """Cards of every current assessment, with its state and watch status."""
+    return cards_of.join(history.select("entity", "assessment_id", "state", "watch_status"), "entity")
+
+
+def workspace(register: DataFrame, assessments: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row for each entity: its card and, as arrays, its drivers, disclosures, gaps, caveats and findings.
+
+    An entity's evidence is bounded by its report, so the arrays are.
+    """
+    def gathered(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        return rows.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+    said = ev.of_kind(register, "narrative_signal").withColumn("order", F.when(F.col("assertion") == "asserted", 0).otherwise(1)).withColumn("severity", F.when(F.col("specificity") == "high", 0).when(F.col("specificity") == "moderate", 1).otherwise(2))
+    parts = [
+        gathered(drivers(register), "drivers", "place", "grp", "share"), gathered(said, "disclosures", "order", "severity", "code", "quote"), gathered(ev.of_kind(register, "coverage_gap"), "gaps", "code", "summary"),
+        gathered(ev.of_kind(register, "model_caveat"), "caveats", "code", "summary"), gathered(findings, "findings", "family", "rule", "subject"),
+    ]
+    out = cards(register, assessments)
+    for p in parts:
+        out = out.join(p, "entity", "left")
+    return out
+
+
 def series_summary(series: DataFrame, key: Sequence[str], year: str = "fy") -> DataFrame:
     """latest and first observed values, and their difference where two are observed."""
     seen = F.when(F.col("value").isNotNull(), F.col(year))
@@ -61,8 +123,8 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation with averaged ties."""
     ranked = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     for c in (a, b):
-        s = ranked.groupBy(c).agg(F.count(F.lit(1)).alias("_k")).withColumn("_upto", F.sum("_k").over(Window.orderBy(c)))
-        ranked = ranked.join(s.select(c, (F.col("_upto") - (F.col("_k") - 1) / 2.0).alias(f"_r_{c}")), c)
+        s = running(ranked.groupBy(c).agg(F.count(F.lit(1)).alias("_k")), c, "_k")
+        ranked = ranked.join(s.select(c, (F.col("upto") - (F.col("_k") - 1) / 2.0).alias(f"_r_{c}")), c)
     return ranked.agg(F.corr(f"_r_{a}", f"_r_{b}").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 

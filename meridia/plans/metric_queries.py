@@ -140,11 +140,10 @@ def impossible_values(spark, sf_dir):
 @query(f"""WITH {SCORED}, r AS (SELECT *, rank() OVER (ORDER BY score) / count(*) OVER () AS q FROM sc)
 SELECT category, count(*) AS n FROM (SELECT CASE WHEN label = 1 AND q < 0.9 AND quality = 0 THEN 'missed_low_quality' WHEN label = 1 AND q < 0.9 THEN 'missed' WHEN label = 0 AND q >= 0.9 THEN 'false_alert' ELSE 'right' END AS category FROM r) GROUP BY category""")
 def error_taxonomy(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = _scored(spark, sf_dir)
-    s = rows.groupBy("score").agg(F.count(F.lit(1)).alias("k"))
-    s = s.select("score", ((F.coalesce(F.sum("k").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1) / F.sum("k").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("q"))
+    s = me.running(rows.groupBy("score").agg(F.count(F.lit(1)).alias("k")), "score", "k")
+    # One row.
+    s = s.join(F.broadcast(s.agg(F.sum("k").alias("n")))).select("score", ((F.col("upto") - F.col("k") + 1) / F.col("n")).alias("q"))
     cases = [("missed_low_quality", (F.col("label") == 1) & (F.col("q") < 0.9) & (F.col("quality") == 0)), ("missed", (F.col("label") == 1) & (F.col("q") < 0.9)), ("false_alert", (F.col("label") == 0) & (F.col("q") >= 0.9))]
     return dg.taxonomy(rows.join(s, "score"), cases, "right")
 

@@ -25,7 +25,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _load() -> None:
-    from meridia.plans import fact_queries, health_queries, metric_queries, panel_queries, resolver_queries, text_queries, view_queries  # noqa: F401
+    from meridia.plans import assessment_queries, audit_queries, fact_queries, health_queries, metric_queries, panel_queries, resolver_queries, text_queries, view_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -269,6 +269,11 @@ def view(spark, sf_dir):
     return rs.visible_facts(canonical(spark, sf_dir), filings(spark, sf_dir))
 
 
+def panel_series(spark, sf_dir):
+    """Ratio rows of every trigger, kept while their reports hang on them."""
+    return fe.ratio_rows(fe.wide_view(view(spark, sf_dir))).persist()
+
+
 _COLS = ", ".join(f"max(value) FILTER (WHERE concept = '{c}') AS {c}, bool_or(concept = '{c}' AND status = 'derived') AS {c}_d" for c in fe.CONCEPTS)
 _RATIO_LONG = " UNION ALL ".join(
     f"""SELECT trigger AS entity, fy, '{r.name}' AS ratio, '{r.category}' AS category, {' + '.join(r.numerator)} AS n, {r.denominator} AS d,
@@ -339,14 +344,14 @@ def panel_trend_features(spark, sf_dir):
 
 @query(f"WITH {PANEL} SELECT category, direction, health, count(*) AS n FROM trends GROUP BY ALL")
 def panel_trend_mix(spark, sf_dir):
-    series = fe.ratio_rows(fe.wide_view(view(spark, sf_dir)))
+    series = panel_series(spark, sf_dir)
     found, _, _ = ho.report(series, "trigger", fe.stronger_when_higher())
     return found.groupBy("category", "direction", "health").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {PANEL} SELECT entity AS trigger, count(*) AS n, count(*) FILTER (WHERE direction IN ('increasing', 'decreasing', 'stable')) AS n_conclusive, count(*) FILTER (WHERE direction = 'insufficient') AS n_insufficient FROM trends GROUP BY entity")
 def panel_trend_counts(spark, sf_dir):
-    series = fe.ratio_rows(fe.wide_view(view(spark, sf_dir)))
+    series = panel_series(spark, sf_dir)
     found, _, _ = ho.report(series, "trigger", fe.stronger_when_higher())
     return ho.trend_counts(found, ("trigger",))
 

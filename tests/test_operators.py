@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 from meridia.functions import python_text as tx
 from meridia.functions import scalars as fx
+from meridia.operators import assessment as am
+from meridia.operators import audits as au
 from meridia.operators import documents as do
+from meridia.operators import evaluation as el
+from meridia.operators import evidence as ev
 from meridia.operators import facts as fo
+from meridia.operators import features as fe
 from meridia.operators import folds as fd
 from meridia.operators import grounding as gr
 from meridia.operators import health as ho
@@ -19,6 +24,7 @@ from meridia.operators import labels as lb
 from meridia.operators import metrics as me
 from meridia.operators import narrative as na
 from meridia.operators import ratios as ro
+from meridia.operators import resolver as rs
 from meridia.operators import store as st
 from meridia.sources import filings as so
 
@@ -135,8 +141,15 @@ def test_metrics_against_definitions(spark):
     for r in me.alerts(df).collect():
         k = max(1, round(r.rate * 120))
         assert r.k == k and r.true_positives == sum(y for _, _, y in top[:k])
-    ci = me.bootstrap_auc(df.withColumn("c", F.col("row_id") % 30), "c", 200).first()
-    assert ci.low < want < ci.high
+    ci = el.auc_interval(df.withColumn("c", F.col("row_id") % 30), "c", 200).first()
+    assert ci.low < want < ci.high and abs(ci.auc - want) < 1e-12
+    few = el.auc_interval(df.withColumn("c", F.col("row_id") % 4), "c", 50).first()
+    assert few.low is None and few.high is None and few.n_clusters == 4
+    values = sorted(s + i / 1000 for i, s, _ in rows)
+    got = me.quantiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", (0.0, 0.1, 0.5, 0.77, 1.0)).first().e
+    for q, v in zip((0.0, 0.1, 0.5, 0.77, 1.0), got, strict=True):
+        k, part = divmod(q * 119, 1)
+        assert abs(v - (values[int(k)] + (values[min(119, int(k) + 1)] - values[int(k)]) * part)) < 1e-9
     assert me.brier_log_loss(df).first().brier is None
 
 
@@ -251,3 +264,146 @@ def test_sources(spark, tmp_path):
     files = spark.createDataFrame([("a.pdf", 9, b"%PDF-1.4 x"), ("b.pdf", 9, b"nope"), ("c.exe", 9, b"x"), ("d.html", 0, b""), ("e.htm", 9, b"<html>")], "path string, length long, content binary")
     assert {x.path: x.code for x in so.validate_uploads(files).collect()} == {"a.pdf": None, "b.pdf": "not_a_pdf", "c.exe": "unsupported_type", "d.html": "empty_file", "e.htm": None}
     assert so.load_panel(spark, str(tmp_path / "none"), ("a",)).count() == 0
+
+
+FACT = "entity int, accession string, namespace string, tag string, unit string, start date, end date, value double"
+
+
+def reported(rows):
+    """(tag, start, end, value) rows of one filing as company facts."""
+    return [(1, "a", "us-gaap", tag, "USD", d(start) if start else None, d(end), value) for tag, start, end, value in rows]
+
+
+def resolved(spark, rows, more=()):
+    facts = spark.createDataFrame([*reported(rows), *more], FACT)
+    filings = spark.createDataFrame([(1, "a", "10-K", d("2025-02-01"), d("2024-12-31"))], "entity int, accession string, form string, filed date, period_end date")
+    return {(r.concept, r.fy): r for r in rs.resolve(facts, filings).collect()}
+
+
+def test_resolver_policies(spark):
+    end, start = "2024-12-31", "2024-01-01"
+    got = resolved(spark, [
+        ("NetIncomeLoss", start, end, 100.0), ("ProfitLoss", start, end, 130.0), ("GrossProfit", start, end, 5.0), ("GrossProfit", "2024-10-01", end, 1.0), ("GrossProfit", start, "2024-09-30", 2.0),
+        ("InventoryNet", None, end, 1000.0), ("InventoryNetCurrent", None, end, 1000.5), ("AccountsReceivableNetCurrent", None, end, 10.0), ("ReceivablesNetCurrent", None, end, 99.0),
+        ("Assets", None, end, 900.0), ("Assets", None, end, 901.0), ("LongTermDebtCurrent", None, end, 3.0), ("ShortTermBorrowings", None, end, 4.0), ("CommercialPaper", None, end, 50.0),
+        ("LongTermDebtNoncurrent", None, end, 20.0), ("StockholdersEquity", None, end, 300.0), ("Revenues", None, end, 77.0),
+    ], [(1, "a", "us-gaap", "OperatingIncomeLoss", "EUR", d(start), d(end), 5.0), (1, "a", "dei", "OperatingIncomeLoss", "USD", d(start), d(end), 5.0)])
+    r = got["net_income", 2024]
+    assert (r.value, r.status, r.confidence, r.candidates) == (100.0, "found", "medium", [130.0])
+    assert (got["gross_profit", 2024].value, got["gross_profit", 2024].confidence) == (5.0, "high")
+    assert got["inventory", 2024].value == 1000.0 and got["inventory", 2024].candidates == [1000.5]
+    assert got["accounts_receivable", 2024].status == "conflicting" and got["accounts_receivable", 2024].value is None
+    assert got["total_assets", 2024].status == "conflicting" and got["total_assets", 2024].candidates == [900.0, 901.0]
+    r = got["short_term_debt", 2024]
+    assert (r.value, r.status, r.origin, r.formula) == (7.0, "derived", "derived", "LongTermDebtCurrent + ShortTermBorrowings")
+    assert (got["total_debt", 2024].value, got["total_debt", 2024].formula) == (27.0, "short_term_debt + long_term_debt")
+    assert (got["total_equity", 2024].value, got["total_equity", 2024].formula) == (300.0, "shareholders_equity")
+    # An instant under a duration's tag, another unit and another namespace are no facts; the gaps are missing.
+    assert got["revenue", 2024].status == got["operating_income", 2024].status == got["total_liabilities", 2024].status == "missing"
+    assert ("operating_cash_flow", 2024) not in got and ("free_cash_flow", 2024) not in got
+
+
+def test_resolver_derives_to_the_end_and_keeps_opening_balances(spark):
+    end = "2024-12-31"
+    got = resolved(spark, [("Assets", None, end, 1000.0), ("StockholdersEquity", None, end, 300.0), ("MinorityInterest", None, end, 50.0), ("StockholdersEquity", None, "2022-12-31", 200.0), ("LongTermDebtAndCapitalLeaseObligationsCurrent", None, end, 9.0), ("DebtCurrent", None, "2023-12-31", 5.0), ("CommercialPaper", None, "2023-12-31", 5.0)])
+    assert got["total_equity", 2024].value == 350.0 and got["total_liabilities", 2024].value == 650.0
+    assert {k for k, y in got if y == 2022} == {"shareholders_equity", "total_equity"}
+    assert (got["short_term_debt", 2024].status, got["short_term_debt", 2024].confidence) == ("found", "medium")
+    assert (got["short_term_debt", 2023].value, got["short_term_debt", 2023].confidence) == (5.0, "high")
+
+
+def test_validations(spark):
+    rows = [(1, "a", 2024, c, "s", v, st, "high", "reported", f, []) for c, v, st, f in [
+        ("total_assets", 100.0, "found", None), ("total_liabilities", 60.0, "derived", "total_assets - total_equity"), ("total_equity", 40.0, "found", None), ("cash", 50.0, "found", None),
+        ("operating_cash_flow", 20.0, "found", None), ("investing_cash_flow", -5.0, "found", None), ("financing_cash_flow", -5.0, "found", None), ("current_assets", 101.0, "found", None), ("inventory", -3.0, "found", None)]]
+    rows += [(1, "a", 2023, "cash", "s", 10.0, "found", "high", "reported", None, [])]
+    c = spark.createDataFrame(rows, "entity int, accession string, fy int, concept string, statement string, value double, status string, confidence string, origin string, formula string, candidates array<double>")
+    got = {(r.rule, r.subject): (r.passed, r.difference) for r in rs.validations(c).collect()}
+    assert got == {("cash_tie_out", "cash"): (False, 30.0), ("sign_sanity", "inventory"): (False, -3.0), ("sign_sanity", "current_assets in total_assets"): (False, 1.0)}
+    open_ = c.withColumn("formula", F.lit(None).cast("string"))
+    assert {(r.rule, r.passed) for r in rs.validations(open_).where("rule = 'balance_sheet_equation'").collect()} == {("balance_sheet_equation", True)}
+
+
+def test_catalogs():
+    assert len(fe.FEATURES) == 57 and len(set(fe.NAMES)) == 57 and len(el.specs()) == 12
+    assert [len(fe.names_of(f)) for f in fe.FAMILIES] == [2, 6, 13, 17, 14, 5]
+    assert fe.group_of("ratio_roa__missing") == "missingness" and fe.group_of("ratio_roa") == "profitability" and fe.group_of("log_revenue") == "size"
+    assert fe.group_of("fact_coverage") == "data_quality" and fe.group_of("n_unusual_movements") == "cross_cutting" and fe.dimension_of("cash_to_assets") is None
+    assert fe.concepts_of("trend_pct_quick_ratio") == ("cash", "accounts_receivable", "current_liabilities")
+
+
+def test_ratio_warnings_and_quality(spark):
+    rows = [(1, 2020, 100.0, 1.0, "found", "high"), (1, 2021, 100.0, 50.0, "derived", "low"), (1, 2022, 100.0, 50.0, "manually_corrected", "high")]
+    w = spark.createDataFrame(rows, "e int, fy int, ebit double, interest_expense double, interest_expense_status string, interest_expense_confidence string")
+    ratios = (ro.Ratio("interest_coverage", "coverage", ("ebit",), "interest_expense", near_zero=True), ro.Ratio("other", "coverage", ("ebit",), "interest_expense"))
+    got = {(r.fy, r.ratio): r.warnings for r in ro.calculate(w, ("e", "fy"), ratios).collect()}
+    assert got[2020, "interest_coverage"] == ["NEAR_ZERO_DENOMINATOR"] and got[2020, "other"] == []
+    assert got[2021, "other"] == ["LOW_CONFIDENCE_INPUT", "DERIVED_INPUT"] and got[2022, "other"] == ["MANUAL_INPUT"]
+    s = ro.calculate(w, ("e", "fy"), ratios)
+    q = {r.fy: r.data_quality for r in ro.data_quality(s, ("fy",)).collect()}
+    assert q == {2020: "good", 2021: "low_confidence", 2022: "manually_adjusted"}
+    r = ro.quality_rollup(s, ("e",)).first()
+    assert r.level == "low_confidence" and r.low_confidence == ["interest_coverage", "other"]
+    assert one(spark, ro.formatted(F.lit(0.1234), "%")) == "12.3%" and one(spark, ro.formatted(F.lit(None).cast("double"), "x")) == "\u2014"
+
+
+def test_evidence_merges_and_gates(spark):
+    stamps = spark.createDataFrame([(1, "a", "10-K", d("2024-02-01"))], "entity int, accession string, form string, filed date")
+    said = spark.createDataFrame([(1, "covenant_breach", "asserted", "moderate", "cv.breach", "item_7", 5, "q1"), (1, "covenant_breach", "asserted", "moderate", "cv.breach", "item_1a", 9, "q0")], "entity int, code string, assertion string, specificity string, pattern string, section_id string, char_start int, quote string")
+    cover = spark.createDataFrame([(1, "item_3", False, None), (1, "item_7", True, None)], "entity int, section_id string, located boolean, reason string")
+    rows = am.narrative_evidence(said, cover, stamps)
+    got = {r.kind: r for r in rows.collect()}
+    assert got["narrative_signal"].quote == "q0" and got["narrative_signal"].dimension == "leverage" and "2 occurrence(s)" in got["narrative_signal"].summary
+    assert got["coverage_gap"].evidence_id.startswith("EV-NC-") and len(got["coverage_gap"].evidence_id) == 14
+    a = spark.createDataFrame([(1, d("2024-03-01"))], "entity int, as_of date")
+    assert am.assemble(rows.unionByName(rows), a).count() == 2
+    with pytest.raises(Exception, match="not known at the cutoff"):
+        am.assemble(rows, a.withColumn("as_of", F.lit("2024-01-01").cast("date"))).collect()
+    clash = rows.unionByName(rows.withColumn("summary", F.lit("other")))
+    with pytest.raises(Exception, match="two contents under"):
+        ev.merged(clash).collect()
+    with pytest.raises(Exception, match="no evidence and no reason"):
+        am.absent_layers(rows, a, spark.createDataFrame([(1, "model", "x")], "entity int, layer string, reason string")).collect()
+    assert [r.concern for r in am.newly_elevated(spark.createDataFrame([("k", "quiet", "elevated"), ("l", "elevated", "elevated"), ("m", None, "elevated")], "concern string, before string, after string")).collect()] == ["k", "m"]
+
+
+def test_caveats(spark):
+    parts = spark.createDataFrame([(1, "ratio_roa", 0.3, "profitability"), (1, "ratio_roa__missing", -0.4, "missingness"), (1, "n_unusual_movements", 0.1, "cross_cutting")], "entity int, feature string, contribution double, bucket string")
+    rows = spark.createDataFrame([(1, 2.0, 1e-3)], "entity int, periods_available double, reconstruction_error double")
+    inputs = spark.createDataFrame([(1, "ratio_roa", "net_income", "derived", "low"), (1, "ratio_roa", "total_assets", "found", "high")], "entity int, feature string, concept string, status string, confidence string")
+    got = {(r.code, r.subject) for r in am.caveats(parts, rows, inputs, slope=0.5, cohort_confounded=True).collect()}
+    assert got == {("missingness_driven", None), ("not_calibrated", None), ("base_rate_not_portfolio", None), ("cohort_confounded", None), ("unstable_attribution", None), ("limited_history", None), ("provenance_incomplete", "n_unusual_movements"), ("derived_input", "net_income"), ("low_confidence_input", "net_income")}
+
+
+def test_walk_forward_and_permutation(spark):
+    rnd = random.Random(2)
+    rows = [(i, 2000 + i % 4, float(x := rnd.random()), rnd.random() if i % 3 else None, int(rnd.random() < x)) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id int, year int, a double, b double, label int")
+    spec = el.Spec("l", "logistic", ("a", "b"))
+    out = el.walk_forward(spec, df, (2000, 2002, 2003), ("row_id", "label"))
+    got = out.collect()
+    assert {r.fold for r in got} == {2002, 2003} and len(got) == 200
+    assert me.roc_auc(out).first().auc > 0.65
+    held = el.walk_forward(spec, df, (2003,), ("row_id",), test=F.col("row_id") % 2 == 0)
+    assert {r.row_id % 2 for r in held.collect()} <= {0}
+    dealt = el.permuted(df, "a", "row_id", 1, bucket_rows=50)
+    assert sorted(r.a for r in dealt.collect()) == sorted(r[2] for r in rows) and dealt.columns == df.columns
+    model = el.fit(spec, df)
+    importance = el.permutation_importance(df, ("a", "b"), lambda x: el.score(spec, model, x), "row_id", repeats=2)
+    assert importance[0][0] == "a" and importance[0][1] > 0.1
+    slope, _ = el.calibration_fit(df.select(F.col("a").alias("score"), "label"))
+    assert 0.4 < slope < 1.8 and el.calibration_fit(df.select(F.lit(2.0).alias("score"), "label")) == (None, None)
+
+
+def test_screens(spark):
+    c = spark.createDataFrame([(1, "6022", 5), (2, None, 5), (3, "2000", 1), (4, "2000", 3), (5, " ", 9)], "cik int, sic string, n_annual int")
+    assert {r.cik: r.excluded for r in au.screen(c).collect()} == {1: "financial_sector", 2: "no_sic", 3: "too_few_filings", 4: None, 5: "no_sic"}
+    items = spark.createDataFrame([("a", d("2024-01-01")), ("b", None), ("c", d("2024-03-01"))], "item string, filed date")
+    late = {r.item: r.days_late for r in au.verify_as_of(items, F.lit("2024-02-01").cast("date")).collect()}
+    assert late == {"b": None, "c": 29}
+    with pytest.raises(Exception, match="unknown date"):
+        au.assert_as_of(items.where("item != 'c'"), F.lit("2024-02-01").cast("date")).collect()
+    drafts = spark.createDataFrame([('{"headline": {"text": "x", "evidence_ids": ["e"]}, "claims": []}',)], "payload string")
+    assert gr.parse_drafts(drafts).first().draft.headline.text == "x"
+    with pytest.raises(Exception):
+        gr.parse_drafts(spark.createDataFrame([("not json",)], "payload string")).collect()
