@@ -88,7 +88,8 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 def few_files(df: DataFrame, source: DataFrame, bytes_a_task: int = 1 << 25) -> DataFrame:
     """df in as few partitions as the size of its source fills, and no fewer than there are cores.
 
-    Small partitions are merged, so a table of many small files doesn't stay one; large ones stay.
+    For maps over rows: small partitions are merged, so a table of many small files doesn't stay one;
+    large ones stay.
     """
     size = str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     n = max(df.sparkSession.sparkContext.defaultParallelism, -(-int(size) // bytes_a_task))

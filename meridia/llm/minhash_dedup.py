@@ -22,9 +22,9 @@ bits that differ are at most the shingles that only one text has, so a pair is d
 when too many differ. And from the second round on, a text's shingles that a text of another
 component has are counted; one with too few of them takes part no more. Nothing is capped: rounds go
 on until no pair is left. Links, components and buckets stay in DataFrames. What a round leaves to the
-next, buckets and components, is a written table, removed when no later round needs it; what is read
-again within a round, and sketches and texts, stay on executors' disks, where lost parts are made anew
-from the documents.
+next, buckets and components, and the candidates' texts are written tables, removed when no later round
+needs them; sketches and what is read again within a round stay on executors' disks, where lost parts
+are made anew.
 
 Edge cases. Null text and text without words are in classes of their own rows (equal rows without
 words still share one). Null ids take part; a class has its smallest id that isn't null. Very long
@@ -288,12 +288,13 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
     shared_keys = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1")
     members = sh.held(exploded.join(shared_keys, "key"))
     hub = members.groupBy("node").agg(F.sum("in_bucket").alias("hub"))
-    # Texts of candidates only, exchanged once.
+    # Texts of candidates only, written once: what is held would keep its exchanges too.
     wanted = nodes.select("node", "rk").join(hub.select("node"), "node", "left_semi")
-    texts = sh.held(base.select("rk", "text").join(wanted.hint("shuffle_hash"), "rk").dropDuplicates(["node"]).select("node", "text"))
+    texts = sh.written(base.select("rk", "text").join(wanted.hint("shuffle_hash"), "rk").dropDuplicates(["node"]).select("node", "text"), "texts")
     carried = nodes.join(hub, "node").select("node", "doc", "n", "hub", F.col("n").alias("s"), *WORDS)
     buckets = sh.written(members.select("key", "node").join(carried, "node").select("key", *carried.columns), "buckets", members.count())
     members.unpersist()
+    nodes.unpersist()
     columns = buckets.columns
     label: DataFrame | None = None
     leaders = LEADERS
@@ -321,9 +322,7 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
         sh.drop_written(old, *([before] if before is not None and before is not label else []))
         leaders *= 64
     ranked.unpersist()
-    texts.unpersist()
-    nodes.unpersist()
-    sh.drop_written(buckets)
+    sh.drop_written(buckets, texts)
     found = sketches.select("doc_id", "rk", F.when(F.col("n") > 0, F.col("sig")).otherwise(F.concat(F.lit("row").cast("binary"), F.col("rk"))).alias("node"))
     if label is not None:
         found = found.join(label, "node", "left").select("doc_id", "rk", F.coalesce("component", "node").alias("component"))
