@@ -1,8 +1,8 @@
 """The corpus pipeline: quality, line dedup, near-dedup, decontamination, BPE tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the
-shared folder and reread as the next stage's docs. All but the last return documents' columns, in as
-few files as their input fills.
+shared folder and reread as the next stage's docs. All but the last return documents' columns. Stages
+that exchange nothing write as few files as their input fills.
 
 Edge cases, in every stage. Null texts are texts without words, lines or tokens: quality scores them,
 line dedup and decontamination leave them null, they are no near-duplicates of others, and they have
@@ -31,13 +31,13 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(docs)
     n_lines, n_removed = line_dedup.counts_of(docs)
     emptied = (F.col(n_removed) > 0) & (F.col(n_removed) == F.col(n_lines))
-    return sh.few_files(renewed(out.where(~emptied).drop(n_lines, n_removed)), docs)
+    return renewed(out.where(~emptied).drop(n_lines, n_removed))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
     del spark, sf_dir
-    return sh.few_files(minhash_dedup.deduplicate(docs), docs)
+    return minhash_dedup.deduplicate(docs)
 
 
 def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
