@@ -128,3 +128,45 @@ def test_edge_cases(spark):
     assert got == sorted([(None, 5, 4), (None, 5, 4), (5, 5, 4), (5, 5, 4), (3, 3, 1), (4, 4, 1)], key=str)
     assert sorted(r.doc_id for r in op.deduplicate(docs).collect()) == [3, 4, 5]
     assert op.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_recall_by_edits(spark):
+    """Copies at known numbers of changed words: all pairs of similarity 0.8 or more are found."""
+    rnd = random.Random(21)
+    vocab = [f"w{i}" for i in range(5000)]
+    rows, pairs = [], []
+    for g in range(60):
+        base = [rnd.choice(vocab) for _ in range(rnd.choice([60, 150, 400]))]
+        edited = list(base)
+        for at in rnd.sample(range(len(base)), max(1, len(base) * (g % 5) // 200)):
+            edited[at] = f"x{rnd.random()}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(edited))]
+        a, b = labelled(rows[-2][1]), labelled(rows[-1][1])
+        m = lcs(a, b)
+        pairs.append((2 * g, m / (len(a) + len(b) - m)))
+    docs = spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)
+    got = {r.doc_id: r.class_id for r in op.near_duplicates(docs).collect()}
+    near = [d for d, s in pairs if s >= 0.8]
+    assert len(near) > 25 and any(s < 0.8 for _, s in pairs)
+    assert all(got[d] == got[d + 1] for d in near)
+    assert all(got[d] != got[d + 1] for d, s in pairs if s < 0.8)
+
+
+def test_parity_bounds_the_difference():
+    rnd = np.random.default_rng(4)
+    for n in (3, 40, 300):
+        a = rnd.integers(0, 2**62, n).astype(np.uint64)
+        b = np.r_[a[: n // 2], rnd.integers(0, 2**62, n - n // 2).astype(np.uint64)]
+        bits = op.parity(np.r_[a, b], np.repeat([0, 1], n), 2)
+        differ = sum(bin(int(x) & (2**64 - 1)).count("1") for x in (bits[0] ^ bits[1]).tolist())
+        only = len(set(a.tolist()) ^ set(b.tolist()))
+        assert differ <= only and (n > 40 or differ >= 0.8 * only)
+
+
+def test_of_equal_rows_one_stays(spark):
+    rows = [(1, "the same text here", "b", 1), (1, "the same text here", "a", 2), (1, None, "a", 3), (1, "", "a", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class_id string, n int").repartition(3)
+    first = op.deduplicate(docs).collect()
+    again = op.deduplicate(docs.orderBy("n", ascending=False)).collect()
+    assert sorted(map(str, first)) == sorted(map(str, again)) and len(first) == 3
+    assert {(r.text, r.n) for r in first if not r.text} == {(None, 3), ("", 4)}
