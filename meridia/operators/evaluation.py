@@ -229,3 +229,37 @@ def out_of_fold_parts(spec: Spec, rows: DataFrame, years: Sequence[int], key: Se
         part = mo.contributions(pipeline, held, used, tuple(key)).withColumn("fold", F.lit(y))
         pooled = part if pooled is None else pooled.unionByName(part)
     return pooled
+
+
+def final_model(spec: Spec, rows: DataFrame, path: str, metadata: dict, label: str = "label") -> list[str]:
+    """The model of all labelled rows, saved with a row of metadata beside it; its columns."""
+    import json
+
+    pipeline, used = fit(spec, rows.where(F.col(label).isNotNull()), label)
+    pipeline.write().overwrite().save(f"{path}/model")
+    facts = {"name": spec.name, "family": spec.family, "columns": used, **metadata}
+    rows.sparkSession.createDataFrame([(json.dumps(facts, sort_keys=True),)], "metadata string").write.mode("overwrite").json(f"{path}/metadata")
+    return used
+
+
+def attributed(model: tuple[PipelineModel, list[str]], rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Contributions by the attributor of the model's kind; only linear models have one here."""
+    pipeline, used = model
+    if not hasattr(pipeline.stages[-1], "coefficients"):
+        raise TypeError("no attribution for this kind of model")
+    marks = [u.removesuffix("__missing") for u in used if fe.is_missing_indicator(u)]
+    return mo.contributions(pipeline, mo.with_missing_indicators(rows, [], marks)[0], used, tuple(key))
+
+
+def explained(parts: DataFrame, catalog: DataFrame, facts: DataFrame, key: str = "entity", top: int = 8) -> DataFrame:
+    """Each key's leading contributions in order, with their bucket and the facts behind them as an array.
+
+    parts (key, feature, contribution), catalog as fe.catalog_frame(), facts (key, concept, value, status).
+    """
+    base = F.regexp_replace("feature", "__missing$", "")
+    named = ranked_parts(parts, (key,), top).withColumn("_f", base).join(F.broadcast(catalog.select(F.col("feature").alias("_f"), "bucket", "concepts")), "_f", "left")
+    bucket = F.when(F.col("feature").endswith("__missing"), F.lit("missingness")).otherwise(F.coalesce("bucket", F.lit("cross_cutting")))
+    rows = named.withColumn("bucket", bucket).withColumn("concept", F.explode_outer("concepts"))
+    joined = rows.join(facts.select(key, "concept", "value", "status"), [key, "concept"], "left")
+    link = F.when(F.col("value").isNotNull(), F.struct("concept", "value", "status"))
+    return joined.groupBy(key, "place", "feature", "contribution", "bucket").agg(F.array_sort(F.collect_list(link)).alias("evidence"))

@@ -141,3 +141,18 @@ def ordered(rows: DataFrame) -> DataFrame:
     """Asserted first, then by severity and code."""
     rank = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
     return rows.orderBy(F.when(F.col("assertion") == "asserted", 0).otherwise(1), F.try_element_at(rank, F.col("specificity")), "code")
+
+
+def sweep(rows: DataFrame, key: Sequence[str], per_document: int = 3, seed: int = 7, words: dict[str, str] = di.SWEEP, sentence: str = "sentence") -> DataFrame:
+    """Sentences with a code's broad words, a few of each document in hash order, and whether the catalog caught them.
+
+    A sampling operator: rows have the document's key, start and the sentence.
+    """
+    v = view(sentence)
+    hits = F.array_compact(F.array(*[F.when(v.rlike(pattern), F.lit(code)) for code, pattern in words.items()]))
+    pool = rows.select(*key, "start", sentence, F.explode(hits).alias("code"))
+    caught = statements(rows, (*key, "start"), sentence=sentence).where("assertion = 'asserted'").select(*key, "start", "code").distinct().withColumn("_caught", F.lit(True))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*key, "start", "code", F.lit(seed)), "start", "code"))
+    # The limit acts before the exchange too.
+    few = pool.withColumn("_place", place).where(F.col("_place") <= per_document).drop("_place")
+    return few.join(caught, [*key, "start", "code"], "left").withColumn("caught_by_catalog", F.coalesce("_caught", F.lit(False))).drop("_caught")

@@ -163,6 +163,47 @@ def resolve(facts: DataFrame, filings: DataFrame) -> DataFrame:
     return filled(derive(_wide(direct(annual_entries(facts, filings)))))
 
 
+def slot(canonical: DataFrame, concept: str, fy: int) -> DataFrame:
+    """The fact of a concept and year of each filing."""
+    return canonical.where((F.col("concept") == concept) & (F.col("fy") == fy))
+
+
+def by_statement(canonical: DataFrame, statement: str) -> DataFrame:
+    return canonical.where(F.col("statement") == statement)
+
+
+def by_period(canonical: DataFrame, fy: int) -> DataFrame:
+    return canonical.where(F.col("fy") == fy)
+
+
+def periods(canonical: DataFrame) -> DataFrame:
+    """The labels of each filing's years, in order."""
+    years = canonical.groupBy("entity", "accession").agg(F.array_sort(F.collect_set("fy")).alias("years"))
+    return years.select("entity", "accession", F.transform("years", lambda y: F.concat(F.lit("FY"), y.cast("string"))).alias("labels"))
+
+
+def verified_restatements(rows: DataFrame, facts: DataFrame, within: float = 1.0) -> DataFrame:
+    """Restatements looked up again among the reported facts, each side under its own tag.
+
+    rows: entity, fy, kind, and for both sides first_ and restated_ value, tag and accession. Verdicts are
+    confirmed, not_confirmed, accession_absent, or unverifiable where a side has no tag.
+    """
+    raw = facts.select("accession", "tag", F.year("end").cast("long").alias("fy"), "value").groupBy("accession", "tag", "fy").agg(F.array_sort(F.collect_set("value")).alias("v"))
+    for side in ("first", "restated"):
+        mine = raw.select(F.col("accession").alias(f"{side}_accession"), F.col("tag").alias(f"{side}_tag"), "fy", F.col("v").alias(f"_{side}"))
+        rows = rows.join(mine, [f"{side}_accession", f"{side}_tag", "fy"], "left")
+    same = F.exists("_first", lambda a: F.abs(a - F.col("first_value")) <= within) & F.exists("_restated", lambda b: F.abs(b - F.col("restated_value")) <= within)
+    differs = F.exists("_first", lambda a: F.exists("_restated", lambda b: F.abs(a - b) > within))
+    moved = F.col("first_tag") != F.col("restated_tag")
+    holds = F.when(F.col("kind") == "same_tag", same & differs & ~moved).when(F.col("kind") == "tag_change", same & moved).otherwise(same)
+    verdict = F.when(F.col("first_tag").isNull() | F.col("restated_tag").isNull(), F.lit("unverifiable")).when(F.col("_first").isNull() | F.col("_restated").isNull(), F.lit("accession_absent"))
+    verdict = verdict.when(holds, F.lit("confirmed")).otherwise(F.lit("not_confirmed"))
+    a, b = F.abs("first_value"), F.abs("restated_value")
+    ratio = F.when((a > 0) & (b > 0), F.greatest(a, b) / F.least(a, b))
+    scale = F.coalesce((F.abs(ratio - 1e3) < 10.0) | (F.abs(ratio - 1e6) < 1e4), F.lit(False))
+    return rows.withColumns({"verdict": verdict, "looks_like_scale_error": scale}).drop("_first", "_restated")
+
+
 def validations(canonical: DataFrame) -> DataFrame:
     """entity, accession, fy, rule, subject, passed and difference of every check that can be made."""
     names = ("total_assets", "total_liabilities", "total_equity", "operating_cash_flow", "investing_cash_flow", "financing_cash_flow", *ca.NON_NEGATIVE)

@@ -378,3 +378,40 @@ def panel_observations(spark, sf_dir):
     outcomes = lb.with_cases(triggers.select("trigger", "entity", F.col("cutoff").alias("moment")), cases, "entity", ("trigger", "moment"))
     out = fe.observations(fe.build(seen), triggers, outcomes.drop("moment"), au.contributing(seen, "trigger"))
     return out.select("trigger", "entity", F.col("first_event").isNotNull().alias("has_event"), F.size("accessions").cast("long").alias("n_contributing"))
+
+
+@query(f"WITH {CANONICAL} SELECT entity, accession, string_agg('FY' || fy, ',' ORDER BY fy) AS labels FROM (SELECT DISTINCT entity, accession, fy FROM canonical) GROUP BY ALL")
+def period_labels(spark, sf_dir):
+    return rs.periods(canonical(spark, sf_dir)).select("entity", "accession", F.array_join("labels", ",").alias("labels"))
+
+
+@query(f"WITH {CANONICAL} SELECT statement, count(*) AS n, count(*) FILTER (WHERE concept = 'cash') AS n_cash FROM canonical WHERE statement = 'balance_sheet' AND fy = 1996 GROUP BY statement")
+def balance_sheet_slots(spark, sf_dir):
+    rows = rs.by_period(rs.by_statement(canonical(spark, sf_dir), ca.BALANCE), 1996)
+    return rows.groupBy("statement").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("concept") == "cash").alias("n_cash"))
+
+
+_RESTATED = f"""{CANONICAL}, f AS (SELECT c.entity, concept, fy, value, filed, c.accession, form, how FROM canonical c JOIN filings USING (accession) WHERE status = 'found' AND how NOT LIKE '% + %'),
+a AS (SELECT entity, concept, fy, arg_min(value, (filed, accession)) AS first_value, arg_min(how, (filed, accession)) AS first_tag, arg_min(accession, (filed, accession)) AS first_accession FROM f GROUP BY ALL),
+z AS (SELECT f.entity, concept, fy, arg_min(f.value, (filed, f.accession)) AS restated_value, arg_min(f.how, (filed, f.accession)) AS restated_tag, arg_min(f.accession, (filed, f.accession)) AS restated_accession FROM f JOIN a USING (entity, concept, fy) WHERE f.value <> a.first_value GROUP BY ALL),
+rst AS (SELECT *, CASE WHEN first_tag <> restated_tag THEN 'tag_change' ELSE 'same_tag' END AS kind FROM a JOIN z USING (entity, concept, fy)),
+raw AS (SELECT accession, tag, CAST(year("end") AS BIGINT) AS fy, list(DISTINCT value) AS v FROM cf GROUP BY ALL)"""
+
+
+@query(f"""WITH {_RESTATED} SELECT kind, CASE WHEN p.v IS NULL OR q.v IS NULL THEN 'accession_absent'
+ WHEN len(list_filter(p.v, lambda x: abs(x - first_value) <= 1)) > 0 AND len(list_filter(q.v, lambda x: abs(x - restated_value) <= 1)) > 0 AND (kind = 'tag_change' OR list_max(p.v) - list_min(q.v) > 1 OR list_max(q.v) - list_min(p.v) > 1) THEN 'confirmed' ELSE 'not_confirmed' END AS verdict, count(*) AS n
+FROM rst LEFT JOIN raw p ON p.accession = first_accession AND p.tag = first_tag AND p.fy = rst.fy LEFT JOIN raw q ON q.accession = restated_accession AND q.tag = restated_tag AND q.fy = rst.fy GROUP BY ALL""")
+def restatement_verdicts(spark, sf_dir):
+    """Each restatement found again among the raw facts of both filings."""
+    from pyspark.sql import Window
+
+    facts = company_facts(spark, sf_dir)
+    rows = rs.resolve(facts, filings(spark, sf_dir)).where("status = 'found' and not formula like '% + %'").join(filings(spark, sf_dir).select("accession", "filed"), "accession")
+    e = F.struct("filed", "accession", "value", F.col("formula").alias("tag"))
+    first = F.first(e).over(Window.partitionBy("entity", "concept", "fy").orderBy("filed", "accession"))
+    later = rows.withColumn("a", first).where(F.col("value") != F.col("a.value"))
+    both = later.groupBy("entity", "concept", "fy").agg(F.first("a").alias("a"), F.min_by(e, F.struct("filed", "accession")).alias("z"))
+    sides = [F.col(f"{s}.{c}").alias(f"{n}_{c}") for s, n in (("a", "first"), ("z", "restated")) for c in ("value", "tag", "accession")]
+    kind = F.when(F.col("a.tag") != F.col("z.tag"), F.lit("tag_change")).otherwise(F.lit("same_tag"))
+    out = rs.verified_restatements(both.select("entity", "fy", kind.alias("kind"), *sides), facts)
+    return out.groupBy("kind", "verdict").agg(F.count(F.lit(1)).alias("n"))

@@ -46,6 +46,33 @@ def either_date(*columns: str):
     return F.coalesce(*[F.coalesce(F.try_to_date(c, "yyyy-MM-dd"), F.try_to_date(c, "M/d/yyyy")) for c in columns])
 
 
+def company_tickers(texts: DataFrame, column: str = "value") -> DataFrame:
+    """The distinct companies of a JSON map of ticker entries."""
+    entry = "map<string,struct<cik_str:bigint,ticker:string,title:string>>"
+    rows = texts.select(F.explode(F.map_values(F.from_json(F.col(column), entry))).alias("e"))
+    return rows.where("e.cik_str is not null").select(F.col("e.cik_str").alias("cik")).distinct()
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Landed filing documents: path, length and content."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", "content")
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """A case register, unpacked, in Latin-1."""
+    return spark.read.csv(path, header=True, encoding="ISO-8859-1", multiLine=True)
+
+
+def reference_rows(facts: DataFrame, concepts: tuple[str, ...], accession: str) -> DataFrame:
+    """What one filing reported under reference concepts, comparatives included."""
+    return facts.where(F.col("concept").isin(*concepts) & (F.col("accn") == accession))
+
+
+def write_panel(panel: DataFrame, path: str) -> None:
+    """A panel as Parquet, in place of the one before."""
+    panel.write.mode("overwrite").parquet(path)
+
+
 def event_table(rows: DataFrame, entity: str, filed: str, resolved: tuple[str, ...]) -> DataFrame:
     """entity, filed and resolved; rows with an odd entity or date are dropped."""
     e = F.col(entity).cast("string")

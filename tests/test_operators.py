@@ -407,3 +407,47 @@ def test_screens(spark):
     assert gr.parse_drafts(drafts).first().draft.headline.text == "x"
     with pytest.raises(Exception):
         gr.parse_drafts(spark.createDataFrame([("not json",)], "payload string")).collect()
+
+
+def test_sources_without_network(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"0": {"cik_str": 7, "ticker": "X", "title": "x"}, "1": {"cik_str": 7, "ticker": "Y", "title": "y"}, "2": {"cik_str": 9, "ticker": "Z", "title": "z"}}')
+    assert sorted(r.cik for r in so.company_tickers(spark.read.text(str(tmp_path / "t.json"), wholetext=True)).collect()) == [7, 9]
+    (tmp_path / "c.csv").write_bytes("CikBefore,CikEmerging,Name\n1,2,Ünion\n2,,b\n".encode("latin-1"))
+    cases = so.read_cases(spark, str(tmp_path / "c.csv"))
+    assert cases.first().Name == "Ünion" and sorted(r.key for r in au.stacked_keys(cases, "CikBefore", "CikEmerging").collect()) == [1, 2]
+    assert so.read_documents(spark, str(tmp_path / "t.json")).first().length > 10
+    facts = spark.createDataFrame([("Assets", "a"), ("Assets", "b"), ("Cash", "a")], "concept string, accn string")
+    assert so.reference_rows(facts, ("Assets",), "a").count() == 1
+    panel = spark.createDataFrame([(1, float("nan"), None, ""), (2, 2.0, 1, None)], "entity int, x double, label int, censoring_reason string")
+    so.write_panel(panel, str(tmp_path / "p"))
+    back = {r.entity: r for r in fe.from_rows(spark.read.parquet(str(tmp_path / "p"))).collect()}
+    assert back[1].x is None and back[1].censoring_reason.startswith("Censored") and back[2].censoring_reason is None
+
+
+def test_restatement_verdicts(spark):
+    facts = spark.createDataFrame([("a", "T", d("2024-12-31"), 5.0), ("b", "T", d("2024-12-31"), 9000.0), ("b", "U", d("2024-12-31"), 7.0)], "accession string, tag string, end date, value double")
+    rows = [(1, 2024, "same_tag", 5.0, "T", "a", 9000.0, "T", "b"), (2, 2024, "tag_change", 5.0, "T", "a", 7.0, "U", "b"), (3, 2024, "same_tag", 5.0, "T", "a", 6.0, "T", "zz"), (4, 2024, "same_tag", 5.0, None, "a", 6.0, "T", "b"), (5, 2024, "same_tag", 9.0, "T", "a", 9000.0, "T", "b")]
+    df = spark.createDataFrame(rows, "entity int, fy long, kind string, first_value double, first_tag string, first_accession string, restated_value double, restated_tag string, restated_accession string")
+    got = {r.entity: (r.verdict, r.looks_like_scale_error) for r in rs.verified_restatements(df, facts).collect()}
+    assert got == {1: ("confirmed", False), 2: ("confirmed", False), 3: ("accession_absent", False), 4: ("unverifiable", False), 5: ("not_confirmed", True)}
+
+
+def test_saved_model_and_explanation(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = [(i, float(x := rnd.random()), rnd.random() if i % 3 else None, int(rnd.random() < x)) for i in range(200)]
+    df = spark.createDataFrame(rows, "entity int, ratio_roa double, log_revenue double, label int")
+    spec = el.Spec("l", "logistic", ("ratio_roa", "log_revenue"))
+    used = el.final_model(spec, df, str(tmp_path / "m"), {"rows": 200})
+    assert used == ["ratio_roa", "log_revenue", "log_revenue__missing"] and "l" in spark.read.json(str(tmp_path / "m/metadata")).first().metadata
+    model = el.fit(spec, df)
+    parts = el.attributed(model, df, ("entity",))
+    from pyspark.ml.functions import vector_to_array
+
+    links = model[0].transform(el.mo.with_missing_indicators(df, [], ["log_revenue"])[0]).select("entity", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("link"))
+    assert el.reconstruction_error(parts, links, ("entity",)).first().reconstruction_error < 1e-6
+    facts = spark.createDataFrame([(1, "net_income", 5.0, "found")], "entity int, concept string, value double, status string")
+    got = {r.feature: r for r in el.explained(parts.where("entity = 1"), fe.catalog_frame(spark), facts).collect()}
+    assert got["log_revenue__missing"].bucket == "missingness" and got["ratio_roa"].bucket == "profitability"
+    assert [e.concept for e in got["ratio_roa"].evidence] == ["net_income"] and sorted(r.place for r in got.values()) == [1, 2, 3]
+    with pytest.raises(TypeError):
+        el.attributed(el.fit(el.Spec("g", "gradient_boosting", ("ratio_roa",)), df), df, ("entity",))
