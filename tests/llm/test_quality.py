@@ -56,3 +56,34 @@ def test_the_byte_bound_takes_rows_of_any_length(spark, monkeypatch):
     assert 0.3 < sum(len(t) > 100 for t in seen[0]) / len(seen[0]) < 0.7
     op.fit(docs.where("doc_id = 1"), labels, sample_bytes=10)
     assert len(seen[1]) == 1
+
+
+def test_vectors_and_features_equal_plain_loops():
+    texts = ["The cat sat, the CAT sat!", "", "one", "a b a b c 12 x9 -- é ü", "cat"]
+    (_, _, data, offs), = tk.blocks(pa.array(texts))
+    word, shape, first = op.tokens(data, offs)
+    # A text alone has the tokens that it has among others.
+    for i, t in enumerate(texts):
+        alone = [x for *_, d, o in tk.blocks(pa.array([t])) for x in op.tokens(d, o)[:2]]
+        assert not t or (alone[0].tolist() == word[first[i] : first[i + 1]].tolist() and alone[1].tolist() == shape[first[i] : first[i + 1]].tolist())
+        assert first[i + 1] - first[i] == len(t.split())
+    index, shapes = op.index_vectors(op.BUCKETS), op.index_vectors(op.SHAPES, seed=2)
+    total = {}
+    for i in range(len(texts)):
+        own = list(range(first[i], first[i + 1]))
+        for k in own:
+            v = index[word[k]] + shapes[shape[k]]
+            for j in (k - 1, k + 1):
+                if j in own:
+                    v = v + index[word[j]]
+            total[word[k]] = total.get(word[k], 0) + v
+    got = op.word_vectors(texts)
+    for w, v in total.items():
+        want = v if np.any(v) else index[w]
+        assert np.allclose(got[w], want / np.linalg.norm(want), atol=1e-5)
+    model = op.Quality(got, shapes, np.zeros(1), np.ones(1), [], 1.0, 0.5)
+    x = model.features(data, offs)
+    for i in range(len(texts)):
+        own = range(first[i], first[i + 1])
+        mean = np.mean([np.r_[got[word[k]], shapes[shape[k]]] for k in own], axis=0) if len(own) else np.zeros(x.shape[1] - 1)
+        assert np.allclose(x[i, :-1], mean, atol=1e-5) and np.isclose(x[i, -1], np.log1p(len(own)))
