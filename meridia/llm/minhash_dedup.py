@@ -226,13 +226,14 @@ def _ranked(buckets: DataFrame, label: DataFrame | None, leaders: int, all_pairs
 
 
 def shingle_rows(k: int):
-    """Arrow batches (node, text) to a (node, h) for each labelled shingle."""
+    """Arrow batches (node, c, text) to a (node, c, h) for each labelled shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offs in tk.blocks(batch.column("text")):
                 labelled, owner, _, _ = shingles(data, offs, k)
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i).take(pa.array(owner)), pa.array(tk.signed(labelled))], names=["node", "h"])
+                at = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(i, j - i).take(at) for x in ("node", "c")), pa.array(tk.signed(labelled))], names=["node", "c", "h"])
 
     return run
 
@@ -242,7 +243,8 @@ def _own_counts(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
     The overlap of two texts of different components is at most what either has besides its own.
     """
-    rows = texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(sh.frugal(shingle_rows(k)), "node binary, h long").join(nodes, "node")
+    # Components travel with the texts, so shingles meet no join by node.
+    rows = texts.join(nodes, "node").select("node", "c", "text").mapInArrow(sh.frugal(shingle_rows(k)), "node binary, c binary, h long")
     common = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("h")
     return rows.join(common, "h", "left_anti").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
 
