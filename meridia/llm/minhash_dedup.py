@@ -50,6 +50,7 @@ K, SIMILARITY = 5, 0.8
 BANDS, ROWS, PICK = 16, 2, 2
 ALL_PAIRS, LEADERS = 8, 1
 PARITY = 512
+HELD, ROWS_OUT = 1 << 19, 1 << 14
 WORDS = [f"p{i}" for i in range(PARITY // 64)]
 
 
@@ -225,15 +226,63 @@ def _ranked(buckets: DataFrame, label: DataFrame | None, leaders: int, all_pairs
     return rows.withColumn("rank", rank).withColumn("leads", (F.col("m") <= all_pairs) | (F.col("rank") <= leaders))
 
 
-def shingle_rows(k: int):
-    """Arrow batches (node, c, text) to a (node, c, h) for each labelled shingle."""
+def _combined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """(shingle, node, component) triples by shingle: distinct shingles, where each begins, triples in order, and whether it has one component."""
+    h, node, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((c, h))
+    h, node, c = h[order], node[order], c[order]
+    begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    end = np.r_[begin[1:], len(h)] - 1
+    return h[begin], begin, node, c, c[begin] == c[end]
+
+
+def shingle_rows(k: int, size: int = HELD):
+    """Arrow batches (node, c, text) to a (h, c, nodes) for each labelled shingle of some texts.
+
+    c and nodes are those that have it; both are null if several components do, as no text then owns it.
+    """
+
+    def rows(keys: list[pa.Array], parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        names = pa.concat_arrays(keys)
+        h, begin, node, c, one = _combined(parts)
+        counts = np.diff(np.r_[begin, len(node)])
+        own = np.repeat(one, counts)
+        # A text has a labelled shingle once, so nodes are distinct.
+        for i in range(0, len(h), ROWS_OUT):
+            at = slice(i, i + ROWS_OUT)
+            inner = slice(begin[i], begin[i + ROWS_OUT] if i + ROWS_OUT < len(h) else len(node))
+            offsets = np.r_[0, np.cumsum(np.where(one[at], counts[at], 0))].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), names.take(pa.array(node[inner][own[inner]])), mask=pa.array(~one[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(tk.signed(h[at])), names.take(pa.array(c[begin[at]], mask=~one[at])), lists], names=["h", "c", "nodes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[pa.Array] = []
+        known: dict[bytes, int] = {}
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def places(column: pa.Array) -> np.ndarray:
+            found = np.empty(len(column), np.int64)
+            fresh = []
+            for i, x in enumerate(column.to_pylist()):
+                if x not in known:
+                    known[x] = len(known)
+                    fresh.append(x)
+                found[i] = known[x]
+            keys.append(pa.array(fresh, column.type))
+            return found
+
         for batch in batches:
+            node, c = places(batch.column("node")), places(batch.column("c"))
             for i, j, data, offs in tk.blocks(batch.column("text")):
                 labelled, owner, _, _ = shingles(data, offs, k)
-                at = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(i, j - i).take(at) for x in ("node", "c")), pa.array(tk.signed(labelled))], names=["node", "c", "h"])
+                parts.append((labelled, node[i:j][owner], c[i:j][owner]))
+                held += len(labelled)
+            if held >= size:
+                yield from rows(keys, parts)
+                keys, known, parts, held = [], {}, [], 0
+        if held:
+            yield from rows(keys, parts)
 
     return run
 
@@ -241,12 +290,13 @@ def shingle_rows(k: int):
 def _own_counts(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """node and own of nodes (node, c): how many of its shingles no node of another component has.
 
-    The overlap of two texts of different components is at most what either has besides its own.
+    The overlap of two texts of different components is at most what either has besides its own. Shingles
+    are combined where they are made, so copies of a passage are one row of a task, and meet once.
     """
-    # Components travel with the texts, so shingles meet no join by node.
-    rows = texts.join(nodes, "node").select("node", "c", "text").mapInArrow(sh.frugal(shingle_rows(k)), "node binary, c binary, h long")
-    common = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("h")
-    return rows.join(common, "h", "left_anti").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    rows = texts.join(nodes, "node").select("node", "c", "text").mapInArrow(sh.frugal(shingle_rows(k)), "h long, c binary, nodes array<binary>")
+    met = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count_if(F.col("c").isNull()).alias("shared"))
+    own = met.where("shared = 0 and lo = hi").select("h")
+    return rows.where("c is not null").join(own, "h", "left_semi").select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("own"))
 
 
 def _latest(rows: DataFrame, label: DataFrame | None) -> DataFrame:
