@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridia.operators import features as fe
+from meridia.operators import health as ho
 from meridia.operators import panels as pn
 from meridia.operators import resolver as rs
 from meridia.plans import registry
@@ -80,3 +81,8 @@ def test_lines_are_dealt_before_they_are_multiplied(spark):
     plan = plan_of(rs.filing_facts(rq.company_facts(spark, DATA), rq.filings(spark, DATA)))
     above, _, below = plan.partition("Generate explode")
     assert "Exchange hashpartitioning(accession" in below and "BroadcastHashJoin [accession" not in plan
+
+
+def test_layers_that_are_not_asked_for_are_not_made(spark):
+    spark.catalog.clearCache()
+    assert "lineitem" not in plan_of(registry.queries()["gaps_and_caveats"](spark, DATA))
