@@ -86,3 +86,10 @@ def test_lines_are_dealt_before_they_are_multiplied(spark):
 def test_layers_that_are_not_asked_for_are_not_made(spark):
     spark.catalog.clearCache()
     assert "lineitem" not in plan_of(registry.queries()["gaps_and_caveats"](spark, DATA))
+
+
+def test_trends_of_evidence_are_made_once(spark):
+    series = spark.createDataFrame([(1, "roa", "profitability", y, 0.1 * y, "calculated") for y in range(3)], "entity long, ratio string, category string, fy long, value double, status string")
+    found, dims, signals = ho.report(series, "entity", fe.stronger_when_higher(), keep=True)
+    assert found.storageLevel.useMemory and all("InMemoryTableScan" in plan_of(x) for x in (dims, signals))
+    found.unpersist()
