@@ -67,3 +67,7 @@ def test_assembly_in_place_keeps_each_id_once_and_fails_on_clashes_and_late_evid
     for filed in ("date '2024-01-02'", "null"):
         with pytest.raises(Exception, match="not known at the cutoff"):
             am.assemble_items(report(a | {"filed": filed})).collect()
+
+
+def test_register_filters_keeps_nothing(spark):
+    assert in_place(spark, "register_filters")
