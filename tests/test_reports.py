@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridia.operators import assessment as am
+from meridia.operators import evidence as ev
 from meridia.operators import resolver as rs
 from meridia.plans import assessment_queries as aq
 from meridia.plans import registry
@@ -71,3 +72,14 @@ def test_assembly_in_place_keeps_each_id_once_and_fails_on_clashes_and_late_evid
 
 def test_register_filters_keeps_nothing(spark):
     assert in_place(spark, "register_filters")
+
+
+def test_absent_layers_are_found_in_place(spark, gathered, reports):
+    assert in_place(spark, "absent_layers")
+    reasons = F.create_map(*[F.lit(x) for layer in ev.LAYERS for x in (layer, layer[:1])])
+    assessed = reports.select("entity")
+    given = assessed.select("entity", F.explode(F.array(*[F.lit(x) for x in ev.LAYERS])).alias("layer")).withColumn("reason", F.substring("layer", 1, 1))
+    want = rows_of(am.absent_layers(gathered, assessed, given), "entity", "layer", "reason")
+    assert want and rows_of(am.absent_in_place(reports, reasons), "entity", "layer", "reason") == want
+    with pytest.raises(Exception, match="no evidence and no reason"):
+        am.absent_in_place(reports, F.create_map(F.lit("health"), F.lit("x"))).collect()
