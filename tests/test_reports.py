@@ -83,3 +83,14 @@ def test_absent_layers_are_found_in_place(spark, gathered, reports):
     assert want and rows_of(am.absent_in_place(reports, reasons), "entity", "layer", "reason") == want
     with pytest.raises(Exception, match="no evidence and no reason"):
         am.absent_in_place(reports, F.create_map(F.lit("health"), F.lit("x"))).collect()
+
+
+def test_findings_and_packs_are_those_of_frames(spark, gathered, reports):
+    assert in_place(spark, "evidence_packs")
+    found = ev.with_findings(reports).select("entity", F.inline("found"))
+    columns = ("entity", "family", "rule", "subject")
+    want = rows_of(ev.findings(gathered), *columns)
+    assert want and rows_of(found, *columns) == want
+    a = reports.select("entity", "company", "as_of", F.lit(None).cast("string").alias("period_label"))
+    packs = am.packs_in_place(ev.with_findings(reports).withColumn("period_label", F.lit(None).cast("string")))
+    assert rows_of(packs, "entity", "pack") == rows_of(am.evidence_pack(gathered, a, ev.findings(gathered)), "entity", "pack")
