@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meridia.operators import assessment as am
 from meridia.operators import evidence as ev
 from meridia.operators import resolver as rs
+from meridia.operators import views as vi
 from meridia.plans import assessment_queries as aq
 from meridia.plans import registry
 
@@ -94,3 +95,10 @@ def test_findings_and_packs_are_those_of_frames(spark, gathered, reports):
     a = reports.select("entity", "company", "as_of", F.lit(None).cast("string").alias("period_label"))
     packs = am.packs_in_place(ev.with_findings(reports).withColumn("period_label", F.lit(None).cast("string")))
     assert rows_of(packs, "entity", "pack") == rows_of(am.evidence_pack(gathered, a, ev.findings(gathered)), "entity", "pack")
+
+
+def test_cards_are_those_of_frames(spark, gathered, reports):
+    assert in_place(spark, "company_cards")
+    want = vi.cards(gathered, reports.select("entity", "company", "as_of"))
+    columns = sorted(want.columns)
+    assert rows_of(vi.cards_in_place(ev.with_findings(reports)), *columns) == rows_of(want, *columns)
